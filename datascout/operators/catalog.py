@@ -277,13 +277,13 @@ def normalize_kaggle(raw: DataFrame, payload: str = "payload") -> DataFrame:
     )
 
 
-def build_catalog(*parts: DataFrame | None, enabled: Sequence[str] = tuple(PROVIDERS)) -> DataFrame:
-    """All enabled providers' rows; an absent provider contributes nothing."""
+def build_catalog(*parts: DataFrame | None, enabled: Sequence[str] | None = tuple(PROVIDERS)) -> DataFrame:
+    """All enabled providers' rows (``None``: every provider's); an absent one contributes nothing."""
     present = [p for p in parts if p is not None]
     if not present:
         raise ValueError("build_catalog needs at least one provider table")
     merged = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), present)
-    return merged.where(F.col("provider").isin(list(enabled)))
+    return merged if enabled is None else merged.where(F.col("provider").isin(list(enabled)))
 
 
 def public_view(cat: DataFrame) -> DataFrame:

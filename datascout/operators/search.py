@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from datascout.functions.text import match_score, words
 from datascout.operators.groups import first_per_group, top_n_per_group
 from datascout.operators.substring import substring_pairs
+from datascout.runtime import cut_lineage
 
 # Id prefixes that differ from the provider name.
 ID_PREFIX_PROVIDER = {"hf": "huggingface"}
@@ -103,7 +104,8 @@ def _scoped_hits(cat: DataFrame, texts: DataFrame, scope: list[str], k: int) ->
     query: any further one has ``k`` records before it.
     """
     asked = texts.select(*scope, "text", F.explode(words(F.col("text"))).alias("word"))
-    matches = _word_matches(cat, asked, scope)
+    # Read four times below.
+    matches = cut_lineage(_word_matches(cat, asked, scope))
     key = [*scope, "word"]
     best = [F.col("static").desc(), F.col("id")]
     heads = top_n_per_group(matches, [*key, "in_title", "in_desc"], best, k)

@@ -82,65 +82,57 @@ def read_json_lines(spark: SparkSession, path: str | Sequence[str]) -> DataFrame
 
 
 def read_json_doc(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
-    """An array of records, or a column-oriented object ``{column: {row: value}}``."""
-    docs = spark.read.option("multiLine", True).json(path)
-    objects = [f.name for f in docs.schema if isinstance(f.dataType, T.StructType)]
-    if not objects or len(objects) < len(docs.columns):
-        return docs
-    rows = {f.name for c in objects for f in docs.schema[c].dataType}
-    if not all(re.fullmatch(r"[0-9]+", r) for r in rows):
-        return docs
-    return _from_columns(spark, path, objects)
-
-
-def _from_columns(spark: SparkSession, path: str | Sequence[str], names: Sequence[str]) -> DataFrame:
+    """One document per file: an array of records, or columns ``{column: {row: value}}``."""
+    texts = spark.read.text(path, wholetext=True).select(
+        F.col("_metadata.file_path").alias("file"), F.ltrim("value").alias("value")
+    )
+    cells = F.from_json("value", "map<string, map<string, string>>")
+    columns = (
+        texts.where(F.col("value").startswith("{"))
+        .select(F.posexplode(F.map_keys(cells)).alias("pos", "name"))
+        .groupBy("name")
+        .agg(F.min("pos").alias("pos"))
+        .orderBy("pos", "name")
+        .collect()  # one row for each column of the documents
+    )
+    if not columns:
+        return spark.read.option("multiLine", True).json(path)
+    names = [r["name"] for r in columns]
     # The row labels are data, so the cells are read as maps and turned into rows.
-    schema = T.StructType([T.StructField(c, T.MapType(T.StringType(), T.StringType())) for c in names])
-    docs = spark.read.option("multiLine", True).schema(schema).json(path)
-    cells = F.flatten(
-        F.array(
-            *[
-                F.transform(
-                    F.map_entries(ident(c)),
-                    lambda e, c=c: F.struct(F.lit(c).alias("c"), e["key"].alias("r"), e["value"].alias("v")),
-                )
-                for c in names
-            ]
-        )
+    long = (
+        texts.select("file", F.explode(cells).alias("c", "by_row"))
+        .select("file", "c", F.explode("by_row").alias("r", "v"))
     )
-    long = docs.select(F.explode(cells).alias("e")).select("e.*")
-    wide = long.groupBy(F.col("r").cast("bigint").alias("__row")).pivot("c", list(names)).agg(F.first("v"))
-    return infer_types(wide.drop("__row"))
+    wide = long.groupBy("file", "r").pivot("c", names).agg(F.first("v"))
+    return infer_types(wide.drop("file", "r"))
 
 
-def read_arff(spark: SparkSession, path: str, legacy: bool = False) -> DataFrame:
-    """Attribute-relation file: declared names, comma-separated rows, types inferred.
+def read_arff(spark: SparkSession, path: str | Sequence[str], legacy: bool = False) -> DataFrame:
+    """Attribute-relation files: declared names, comma-separated rows, types inferred.
 
-    ``?`` is missing and quoted names are read whole, unless ``legacy``.
+    Every file has its own header; the names of the first one hold for all. ``?`` is missing
+    and quoted names are read whole, unless ``legacy``.
     """
     place = F.struct(F.col("_metadata.file_block_start").alias("b"), F.monotonically_increasing_id().alias("i"))
-    lines = spark.read.text(path).select(F.trim(F.col("value")).alias("line"), place.alias("at"))
-    lines = lines.where((F.col("line") != "") & ~F.col("line").startswith("%"))
-    starts = lines.where(F.lower("line").startswith("@data")).agg(F.min("at").alias("at")).first()["at"]
-    if starts is None:
-        raise ValueError(f"no @data line in {path}")
-    data_at = F.struct(F.lit(starts["b"]).alias("b"), F.lit(starts["i"]).alias("i"))
-    declared = (
-        lines.where(F.lower("line").startswith("@attribute") & (F.col("at") < data_at))
-        .orderBy("at")
-        .collect()  # one row for each declared column
-    )
-    names = [n for n in (_attribute_name(r["line"], legacy) for r in declared) if n]
-    schema = T.StructType([T.StructField(c, T.StringType()) for c in [*names, OVERFLOW]])
-    options = {"quote": "'" if not legacy else '"', "escape": "\\", "ignoreLeadingWhiteSpace": "true"}
-    rows = (
-        lines.where(F.col("at") > data_at)
-        .select(F.from_csv("line", schema.simpleString()[7:-1], options).alias("r"))
-        .select("r.*")
+    lines = spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("file"), F.trim(F.col("value")).alias("line"), place.alias("at")
     )
+    lines = lines.where((F.col("line") != "") & ~F.col("line").startswith("%"))
+    starts = lines.where(F.lower("line").startswith("@data")).groupBy("file").agg(F.min("at").alias("start"))
+    placed = lines.join(starts, "file")
+    declared = placed.where(F.lower("line").startswith("@attribute") & (F.col("at") < F.col("start")))
+    first_file = starts.agg(F.min("file").alias("file"))
+    rows = declared.join(first_file, "file", "left_semi").orderBy("at").collect()  # one per column
+    names = [n for n in (_attribute_name(r["line"], legacy) for r in rows) if n]
+    if not names:
+        raise ValueError(f"no attributes before @data in {path}")
+    fields = ", ".join(f"`{c}` string" for c in [*names, OVERFLOW])
+    options = {"quote": '"' if legacy else "'", "escape": "\\", "ignoreLeadingWhiteSpace": "true"}
+    data = placed.where(F.col("at") > F.col("start")).select(F.from_csv("line", fields, options).alias("r"))
+    data = data.select("r.*")
     if not legacy:
-        rows = rows.select(*[F.when(ident(c) != "?", ident(c)).alias(c) for c in rows.columns])
-    return infer_types(rows)
+        data = data.select(*[F.when(ident(c) != "?", ident(c)).alias(c) for c in data.columns])
+    return infer_types(data)
 
 
 def _attribute_name(line: str, legacy: bool) -> str | None:
