@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import sys
 from collections.abc import Sequence
+from itertools import count
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -102,14 +103,14 @@ def _narrowed(
     one_value = F.col("lo") == F.col("hi")
     direct = F.col("inside") <= one_task_rows
     interval = [*keys, "lo", "hi"]
-    while True:
+    for step in count():
         open_ = state.where(~one_value & ~direct)
         if open_.isEmpty():
             break
         binned = (
             long.join(open_.select(*interval).distinct(), keys)
             .where(v.between(F.col("lo"), F.col("hi")))
-            .groupBy(*interval, _bin(v).alias("bin"))
+            .groupBy(*interval, _bin(v, magnitude=step % 2 == 1).alias("bin"))
             .agg(F.count("*").alias("c"), F.min(v).alias("b_lo"), F.max(v).alias("b_hi"))
         )
         # At most BINS rows for each interval.
@@ -162,8 +163,16 @@ def _narrowed(
     return by_rank.join(sizes, list(keys)).select(*keys, F.array(*[at(p) for p in probs]).alias("q"))
 
 
-def _bin(v: Column) -> Column:
-    # Halving first keeps the width finite; every step is monotone, so bins keep the order.
-    width = F.col("hi") / 2 - F.col("lo") / 2
-    share = F.try_divide(v / 2 - F.col("lo") / 2, width)
+def _bin(v: Column, magnitude: bool) -> Column:
+    """Bin of ``v`` between ``lo`` and ``hi``, by value or by order of magnitude in turn: values
+    spread over many magnitudes would take one linear pass for each few of them."""
+    scale = _magnitude if magnitude else (lambda x: x / 2)  # halving keeps the width finite
+    low, high = scale(F.col("lo")), scale(F.col("hi"))
+    # Every step is monotone, so bins keep the order of values.
+    share = F.coalesce(F.try_divide(scale(v) - low, high - low), F.lit(0.0))
     return F.least(F.floor(share * BINS), F.lit(BINS - 1)).cast("int")
+
+
+def _magnitude(x: Column) -> Column:
+    # ln of the least positive double is above -745.
+    return F.when(x == 0, 0.0).otherwise(F.signum(x) * (F.log(F.abs(x)) + 745.0))

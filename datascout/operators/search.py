@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -124,14 +126,16 @@ def _scoped_hits(cat: DataFrame, texts: DataFrame, scope: list[str], k: int) ->
         .agg(F.max_by("word", F.struct("spread", "word")).alias("common"))
     )
     marked = asked.join(commonest, [*scope, "text"]).withColumn("n", F.size(words(F.col("text"))))
-    is_common = F.col("word") == F.col("common")
+    is_common, is_text = F.col("word") == F.col("common"), F.col("word") == F.col("text")
+    # One word repeated or with spaces around it is not its word: titles may hold it whole.
+    spaced = (F.col("n") == 1) & ~is_text
     parts = [
         marked.where(~is_common).join(matches, key),
-        marked.where(is_common & (F.col("n") > 1)).join(heads, key),
-        marked.where(is_common & (F.col("n") == 1)).join(alone_heads, key),
+        marked.where(is_common & ~is_text).join(heads, key),
+        marked.where(is_text).join(alone_heads, key),
+        marked.where(spaced).join(matches.where("in_title"), key),
     ]
-    parts = [p.select(*scope, "text", "id") for p in parts]
-    candidates = parts[0].union(parts[1]).union(parts[2]).distinct()
+    candidates = reduce(DataFrame.union, [p.select(*scope, "text", "id") for p in parts]).distinct()
     fields = ["id", "name", "description", "popularity", "quality_score"]
     return (
         candidates.join(cat.select(*scope, *fields), [*scope, "id"])
