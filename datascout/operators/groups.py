@@ -62,6 +62,7 @@ def running_sum(
     checkpointed, so that the partitions stay fixed; partition totals (one row for each
     partition and ``within`` key) give every partition its offset.
     """
+    columns = df.columns
     df = df.withColumn("__v", value)
     prior = (Window.unboundedPreceding, -1)
     zero = F.lit(0).cast("bigint")
@@ -80,7 +81,7 @@ def running_sum(
         ranged.withColumn("__local", F.coalesce(F.sum("__v").over(local), zero))
         .join(offsets, [*keys, "__part"])
         .withColumn(out, F.col("__offset") + F.col("__local"))
-        .drop("__v", "__part", "__local", "__offset")
+        .select(*[F.col(f"`{c}`") for c in columns], out)
     )
 
 
