@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from datascout.schema import WHITESPACE
 
+# Every whitespace character; the last is the ideographic space.
+SPACES = "".join(c for c in map(chr, range(0x3001)) if c.isspace())
 SIZE_UNITS = ["B", "KB", "MB", "GB", "TB", "PB"]
 
 
@@ -19,7 +21,8 @@ def words(text: Column) -> Column:
 
 
 def strip(text: Column) -> Column:
-    return F.regexp_replace(text, f"^{WHITESPACE}+|{WHITESPACE}+$", "")
+    """Without whitespace at both ends; looks at the ends only, however long the text."""
+    return F.trim(text, F.lit(SPACES))
 
 
 def match_score(

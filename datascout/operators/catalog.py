@@ -104,9 +104,7 @@ def normalize_openml(raw: DataFrame, payload: str = "payload") -> DataFrame:
         """Last usable value of that name, truncated to a whole number."""
         usable = F.filter(
             "quality",
-            lambda q: (q["name"] == name)
-            & q["value"].try_cast("double").isNotNull()
-            & q["value"].try_cast("double").try_cast("bigint").isNotNull(),
+            lambda q: (q["name"] == name) & q["value"].try_cast("double").try_cast("bigint").isNotNull(),
         )
         last = F.try_element_at(usable, F.lit(-1))
         return last["value"].try_cast("double").try_cast("bigint")
