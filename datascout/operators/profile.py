@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 
 from datascout.operators.groups import ONE_TASK_ROWS
 from datascout.operators.quantiles import between, quantiles, rank_picks, running_counts
+from datascout.runtime import cut_lineage
 from datascout.schema import TARGET_PATTERNS, column_types, ident, is_numeric, nan_to_null, split_columns
 
 QUARTILES = [0.25, 0.5, 0.75]
@@ -363,8 +364,8 @@ def outliers(df: DataFrame, columns: Sequence[str] | None = None, approx: bool =
 def _full_tops(df: DataFrame, tops: DataFrame, names: Sequence[str], keys: Sequence[str]) -> DataFrame:
     """Replace ``top_key`` by ``top``, the whole text.
 
-    Shortened text is looked up in the table again; adaptive execution drops that scan when
-    no top value is long.
+    Shortened text is looked up in the table again, if any top value is long. The figures, one
+    row for each column of a group, are kept meanwhile.
     """
     group = [*keys, "ci"]
     fixed = (T.BooleanType, T.DatetimeType, T.NumericType, T.NullType)
@@ -375,7 +376,10 @@ def _full_tops(df: DataFrame, tops: DataFrame, names: Sequence[str], keys: Seque
     ]
     if not rows:
         return tops.withColumnRenamed("top_key", "top")
+    tops = cut_lineage(tops)
     wanted = tops.where(F.contains("top_key", F.lit("\u0000"))).select(*group, "top_key")
+    if wanted.isEmpty():
+        return tops.withColumnRenamed("top_key", "top")
     if not keys:
         wanted = F.broadcast(wanted)  # one row for each column at most
     full = (

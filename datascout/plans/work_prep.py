@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from datascout.operators import prep
 from datascout.plans.inputs import LABELLED_CTE, documents_with_labels
 from datascout.plans.registry import Tables, query
+from datascout.plans.work_profile import LINEITEM, candidates_sql
 
 
 @query(
@@ -148,7 +149,16 @@ def m12(t: Tables):
     return prep.batches(t("customer"), "c_custkey", seed=7).select("c_custkey", "batch_id")
 
 
-@query("m13_default_target", "SELECT 'l_linenumber' AS lineitem_target, 'label' AS embeddings_target, 'target' AS part_target")
+def _first_candidate(table: str, columns: list[str]) -> str:
+    return f'coalesce((SELECT "column" FROM ({candidates_sql(table, columns, 1)})), \'target\')'
+
+
+@query(
+    "m13_default_target",
+    f"""SELECT {_first_candidate('lineitem', LINEITEM)} AS lineitem_target,
+    {_first_candidate('embeddings', ['vec_id', 'embedding', 'label'])} AS embeddings_target,
+    {_first_candidate('part', ['p_partkey', 'p_name'])} AS part_target""",
+)
 def m13(t: Tables):
     return t.spark.createDataFrame(
         [

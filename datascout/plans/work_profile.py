@@ -224,7 +224,7 @@ def p14(t: Tables):
     return profile.top_correlations(t("lineitem")).withColumn("r", F.round("r", 6))
 
 
-def _candidates_sql(table: str, columns: list[str], limit: int = 3) -> str:
+def candidates_sql(table: str, columns: list[str], limit: int = 3) -> str:
     rows = union(
         [
             f"SELECT '{c}' AS \"column\", {i} AS ci, count(DISTINCT {c}) AS cardinality, count(*) AS n FROM {table}"
@@ -240,12 +240,12 @@ def _candidates_sql(table: str, columns: list[str], limit: int = 3) -> str:
       FROM ({rows})) WHERE score > 20 ORDER BY score DESC, ci LIMIT {limit}"""
 
 
-@query("p15_target_candidates", _candidates_sql("lineitem", LINEITEM))
+@query("p15_target_candidates", candidates_sql("lineitem", LINEITEM))
 def p15(t: Tables):
     return profile.target_candidates(t("lineitem"))
 
 
-@query("p16_task_inference", _candidates_sql("embeddings", ["vec_id", "embedding", "label"]))
+@query("p16_task_inference", candidates_sql("embeddings", ["vec_id", "embedding", "label"]))
 def p16(t: Tables):
     return profile.target_candidates(t("embeddings"))
 
@@ -392,7 +392,7 @@ def q1(t: Tables):
 
 @query(
     "q2_model_findings",
-    f"""WITH target AS ({_candidates_sql('embeddings', ['vec_id', 'embedding', 'label'], 1)})
+    f"""WITH target AS ({candidates_sql('embeddings', ['vec_id', 'embedding', 'label'], 1)})
     SELECT "column" AS subject, unnest(['task', 'model', 'model', 'model', 'validation']) AS rule,
       unnest([inferred_task, 'linear baseline', 'gradient-boosted trees', 'random forest',
         CASE WHEN contains(lower(inferred_task), 'classification') THEN 'stratified k-fold' ELSE 'k-fold, k=5' END]) AS action
@@ -424,7 +424,7 @@ def q3(t: Tables):
 
 @query(
     "q4_summary_findings",
-    f"""WITH {LABELLED_CTE}, target AS ({_candidates_sql('labelled', LABELLED, 1)}),
+    f"""WITH {LABELLED_CTE}, target AS ({candidates_sql('labelled', LABELLED, 1)}),
     m AS (SELECT count(*) AS n, {' + '.join(f'(count(*) - count({c}))' for c in LABELLED)} AS m FROM labelled)
     SELECT n AS "rows", 6::BIGINT AS "columns", "column" AS target, inferred_task AS task, m::BIGINT AS total_missing,
       0::BIGINT AS duplicate_rows FROM m, target""",
@@ -436,7 +436,7 @@ def q4(t: Tables):
 
 @query(
     "q5_profile_digest",
-    f"""WITH target AS ({_candidates_sql('embeddings', ['vec_id', 'embedding', 'label'])})
+    f"""WITH target AS ({candidates_sql('embeddings', ['vec_id', 'embedding', 'label'])})
     SELECT 'embeddings.parquet' AS filename, (SELECT count(*) FROM embeddings) AS "rows", 3::BIGINT AS "columns",
       0::BIGINT AS duplicates, 'vec_id,embedding,label' AS columns_list,
       (SELECT string_agg("column" || ':' || inferred_task, ',' ORDER BY score DESC) FROM target) AS candidates,
