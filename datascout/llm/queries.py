@@ -5,13 +5,28 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from datascout.llm import archive, chat, stage, urls
+from datascout.llm import archive, bpe, chat, stage, tokens, urls
 from datascout.plans.registry import Tables, query
 from datascout.runtime import scratch_path
 
 ODD_TEXT = "\\### Assistant: </turn> ok"
 
 
+
+def vocabulary_path(name: str = "byte_bpe_50k.json") -> str:
+    """Place of a public vocabulary file; the same on every machine of the cluster."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+@query("op1_token_ids")
+def op1(t: Tables) -> DataFrame:
+    out = scratch_path(t.spark, "tokens")
+    tokens.write_tokens(t("documents"), out, vocabulary_path())
+    return tokens.read_tokens(t.spark, out).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 def chat_events(t: Tables) -> DataFrame:
     """`conversations` as events, and conversation -7, whose texts look like the template."""
     odd = t.spark.range(2).select(
@@ -110,3 +125,15 @@ def op9(t: Tables) -> DataFrame:
     return archive.read_archive(t.spark, path).select(
         F.col("page").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to"
     )
+
+
+@query("op8_bpe")
+def op8(t: Tables) -> DataFrame:
+    path = vocabulary_path()
+    encoded = bpe.encode_texts(t("documents").select("doc_id", "text"), path).drop("text")
+    return bpe.decode_ids(encoded, path).select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(bpe.ids_text("ids"), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
