@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from datascout.llm import archive, bpe, chat, stage, tokens, urls
+from datascout.llm import ann, archive, bpe, chat, jaccard, quality, stage, tokens, urls
 from datascout.plans.registry import Tables, query
 from datascout.runtime import scratch_path
 
@@ -137,3 +137,22 @@ def op8(t: Tables) -> DataFrame:
         F.sha2(bpe.ids_text("ids"), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
     )
+
+
+@query("op10_jaccard_join")
+def op10(t: Tables) -> DataFrame:
+    return jaccard.jaccard_components(t("documents"))
+
+
+@query("op6_nearest")
+def op6(t: Tables) -> DataFrame:
+    return ann.nearest(t("embeddings"), lambda vec_id: vec_id % 100 == 0)
+
+
+@query("op5_quality")
+def op5(t: Tables) -> DataFrame:
+    model = quality.fit_quality(t("documents"), t("labels"))
+    scored = quality.score_quality(t("documents").select("doc_id", "text"), model)
+    return scored.select(
+        "doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted")
+    )
