@@ -30,7 +30,7 @@ import pyarrow as pa
 import xxhash
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -404,3 +404,31 @@ def jaccard_components(
     return linked.join(least, "root", "left").select(
         F.col("doc_id").alias(id_col), F.col("n").cast("long").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id")
     )
+
+
+#: Ids of copies up to which they are sent to all tasks instead of being joined by a shuffle.
+SENT_IDS = 500_000
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 75) -> DataFrame:
+    """The rows of `docs`, all columns, without near copies: of each component the smallest id stays.
+
+    Ids name documents: of rows with one id, the one with the smallest text stays. Documents with
+    null ids cannot be named and stay, as do those without words.
+    """
+    found = staged(jaccard_components(docs, id_col, text_col, width, percent), "components")
+    copies = found.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("copy")).distinct()
+    repeated = found.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("again")).count().where("count > 1").drop("count")
+    copies, repeated = staged(copies, "copies"), staged(repeated, "repeated")
+
+    def sent(ids: DataFrame) -> DataFrame:
+        return F.broadcast(ids) if ids.count() <= SENT_IDS else ids
+
+    kept = docs.join(sent(copies), F.col(id_col) == F.col("copy"), "left_anti")
+    if repeated.isEmpty():
+        return kept
+    single = kept.join(sent(repeated), F.col(id_col) == F.col("again"), "left_anti")
+    several = kept.join(sent(repeated), F.col(id_col) == F.col("again"), "left_semi")
+    least = Window.partitionBy(id_col).orderBy(F.asc_nulls_first(text_col))
+    first = several.withColumn("__nth", F.row_number().over(least)).where("__nth = 1").drop("__nth")
+    return single.unionByName(first)

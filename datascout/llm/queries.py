@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from datascout.llm import ann, archive, bpe, chat, jaccard, quality, stage, tokens, urls
+from datascout.llm import ann, archive, bpe, chat, decontaminate, jaccard, licenses, quality, stage, tokens, urls
 from datascout.plans.registry import Tables, query
 from datascout.runtime import scratch_path
 
@@ -156,3 +156,33 @@ def op5(t: Tables) -> DataFrame:
     return scored.select(
         "doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted")
     )
+
+
+@query("op3_licenses")
+def op3(t: Tables) -> DataFrame:
+    docs = t("documents")
+    return licenses.scan_licenses(docs, licenses.fit_scanner(docs))
+
+
+@query(
+    "op4_decontaminate",
+    r"""
+    WITH items AS (
+        SELECT item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}_]+') AS w FROM benchmark WHERE text IS NOT NULL
+    ), widths AS (SELECT DISTINCT least(5, len(w)) AS k FROM items WHERE len(w) > 0
+    ), item_grams AS (
+        SELECT DISTINCT item_id, k, array_to_string(w[i:i + k - 1], ' ') AS gram
+        FROM (SELECT item_id, w, least(5, len(w)) AS k, unnest(range(1, len(w) - least(5, len(w)) + 2)) AS i FROM items WHERE len(w) > 0)
+    ), docs AS (
+        SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}_]+') AS w FROM documents WHERE text IS NOT NULL
+    ), doc_grams AS (
+        SELECT DISTINCT doc_id, k, array_to_string(w[i:i + k - 1], ' ') AS gram
+        FROM (SELECT doc_id, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM docs, widths WHERE len(w) >= k)
+    ), sizes AS (SELECT item_id, count(*) AS n FROM item_grams GROUP BY item_id)
+    SELECT doc_id, item_id, any_value(n) AS item_shingles, count(*) AS shared_shingles
+    FROM doc_grams JOIN item_grams USING (k, gram) JOIN sizes USING (item_id)
+    GROUP BY doc_id, item_id HAVING 100 * count(*) >= 75 * any_value(n)
+    """,
+)
+def op4(t: Tables) -> DataFrame:
+    return decontaminate.find_contained(t("documents"), t("benchmark"))
