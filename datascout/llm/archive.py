@@ -97,7 +97,7 @@ def _field(name: str) -> Column:
 
 
 def _page_of(urn: Column, kind) -> Column:
-    return F.regexp_extract(urn, r"^<urn:page:(.*):[0-9a-f]{16}>$", 1).cast(kind)
+    return F.regexp_extract(urn, r"^<urn:page:(.*):[0-9a-f]{16}>$", 1).try_cast(kind)
 
 
 def read_records(spark: SparkSession, path: str) -> DataFrame:
