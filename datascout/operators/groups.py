@@ -3,14 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from datascout.runtime import cut_lineage
+from datascout.runtime import written
+from datascout.schema import ident
 
-# Largest group a single task sorts; checked against the counts, never assumed.
-ONE_TASK_ROWS = 1_000_000
 # Spark cuts groups to their first rows before the shuffle up to this many rows.
 GROUP_LIMIT = 1000
 SALTS = 64
@@ -48,43 +48,49 @@ def first_per_group(df: DataFrame, keys: Sequence[str | Column], order: Sequence
     return top_n_per_group(df, keys, order, 1)
 
 
-def running_sum(
-    df: DataFrame,
-    order: Sequence[str],
-    value: Column,
-    out: str,
-    within: Sequence[str] = (),
-    one_task_rows: int = ONE_TASK_ROWS,
-) -> DataFrame:
-    """Sum of ``value`` over all earlier rows in the total order ``order`` (per ``within``).
+def join_same(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join on equal keys, a NULL key being equal to NULL; the keys are kept once."""
+    named = {k: f"__right_{i}" for i, k in enumerate(keys)}
+    other = right.select(*[ident(c).alias(named.get(c, c)) for c in right.columns])
+    same = [left[f"`{k}`"].eqNullSafe(other[n]) for k, n in named.items()]
+    return left.join(other, reduce(lambda x, y: x & y, same), how).drop(*named.values())
 
-    A table small enough for one task uses one window. A larger one is range-partitioned and
-    checkpointed, so that the partitions stay fixed; partition totals (one row for each
-    partition and ``within`` key) give every partition its offset.
-    """
-    columns = df.columns
-    df = df.withColumn("__v", value)
-    prior = (Window.unboundedPreceding, -1)
+
+def ranged(df: DataFrame, order: Sequence[str], part: str = "__part") -> DataFrame:
+    """The rows dealt to ranges of ``order`` and written, with the number of their range: however
+    often they are read again, a row stays in its range."""
+    dealt = df.repartitionByRange(*[ident(c).asc_nulls_first() for c in order])
+    return written(dealt.withColumn(part, F.spark_partition_id()), "ranged")
+
+
+def range_offsets(placed: DataFrame, within: Sequence[str], value: str) -> DataFrame:
+    """``(within, __part, __offset, __all)``: the sum of ``value`` in earlier ranges, and in all."""
+    totals = placed.groupBy(*within, "__part").agg(F.sum(value).alias("__t"))  # one row for each range and key in it
+    group = Window.partitionBy(*within)
+    prior = group.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
     zero = F.lit(0).cast("bigint")
-    if df.count() <= one_task_rows:
-        w = Window.partitionBy(*within).orderBy(*order).rowsBetween(*prior)
-        return df.withColumn(out, F.coalesce(F.sum("__v").over(w), zero)).drop("__v")
-    ranged = cut_lineage(df.repartitionByRange(*within, *order).sortWithinPartitions(*within, *order))
-    ranged = ranged.withColumn("__part", F.spark_partition_id())
-    keys = list(within)
-    # One row per partition (and key present in it): bounded by the partition count.
-    totals = ranged.groupBy(*keys, "__part").agg(F.sum("__v").alias("__total"))
-    w = Window.partitionBy(*keys).orderBy("__part").rowsBetween(*prior)
-    offsets = totals.select(*keys, "__part", F.coalesce(F.sum("__total").over(w), zero).alias("__offset"))
-    local = Window.partitionBy(*keys, "__part").orderBy(*order).rowsBetween(*prior)
-    return (
-        ranged.withColumn("__local", F.coalesce(F.sum("__v").over(local), zero))
-        .join(offsets, [*keys, "__part"])
-        .withColumn(out, F.col("__offset") + F.col("__local"))
-        .select(*[F.col(f"`{c}`") for c in columns], out)
+    return totals.select(
+        *[ident(c) for c in within],
+        "__part",
+        F.coalesce(F.sum("__t").over(prior), zero).alias("__offset"),
+        F.coalesce(F.sum("__t").over(group), zero).alias("__all"),
     )
 
 
+def running_sum(df: DataFrame, order: Sequence[str], value: Column, out: str, within: Sequence[str] = ()) -> DataFrame:
+    """Sum of ``value`` over all earlier rows in the total order ``order`` (per ``within``).
+
+    Rows are dealt to ranges; the totals of the ranges give each its offset, and one task sums one
+    range.
+    """
+    placed = ranged(df.withColumn("__v", value), [*within, *order])
+    keys = [*within, "__part"]
+    local = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    summed = placed.withColumn("__local", F.coalesce(F.sum("__v").over(local), F.lit(0).cast("bigint")))
+    found = join_same(summed, range_offsets(placed, within, "__v"), keys)
+    return found.withColumn(out, F.col("__offset") + F.col("__local")).select(*[ident(c) for c in df.columns], out)
+
+
 def hash_index(
     df: DataFrame, key: Sequence[str], seed: int = 42, out: str = "row_index", digits: int = 4
 ) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from datascout.operators.groups import ONE_TASK_ROWS, running_sum
+from datascout.operators.groups import running_sum
 from datascout.schema import LEDGER_COLUMNS, PUBLIC_COLUMNS
 
 HISTORY_LIMIT = 50
@@ -56,20 +56,18 @@ def list_downloads(ledger: DataFrame) -> DataFrame:
     return ledger.select("id", "name", "provider", "local_path")
 
 
-def eviction_plan(
-    ledger: DataFrame, max_bytes: int = DEFAULT_CAP_BYTES, one_task_rows: int = ONE_TASK_ROWS
-) -> DataFrame:
+def eviction_plan(ledger: DataFrame, max_bytes: int = DEFAULT_CAP_BYTES) -> DataFrame:
     """Add ``evict``: the oldest entries whose removal brings the total down to ``max_bytes``.
 
     ``ledger`` holds ``id``, ``downloaded_at``, ``actual_size`` and ``path_exists``. Entries
     without a path count nothing and stay.
     """
     size = F.when(F.col("path_exists"), F.coalesce("actual_size", F.lit(0))).otherwise(0).cast("bigint")
-    total = ledger.agg(F.coalesce(F.sum(size), F.lit(0))).first()[0]
-    ordered = running_sum(ledger, ["downloaded_at", "id"], size, "__prior", one_task_rows=one_task_rows)
-    return ordered.withColumn(
-        "evict", F.col("path_exists") & (F.lit(total) - F.col("__prior") > max_bytes)
-    ).drop("__prior")
+    one = F.lit(1).alias("__one")
+    total = ledger.agg(F.coalesce(F.sum(size), F.lit(0)).alias("__total")).select("__total", one)  # one row
+    ordered = running_sum(ledger, ["downloaded_at", "id"], size, "__prior").select("*", one).join(F.broadcast(total), "__one")
+    evicted = F.col("path_exists") & (F.col("__total") - F.col("__prior") > max_bytes)
+    return ordered.withColumn("evict", evicted).drop("__one", "__prior", "__total")
 
 
 def ledger_as_catalog(ledger: DataFrame) -> DataFrame:

@@ -12,12 +12,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from datascout.operators.groups import ONE_TASK_ROWS, hash_index, running_sum
+from datascout.operators.groups import hash_index, running_sum
 from datascout.operators.profile import (
-    _counted_stats,
-    _full_tops,
-    _typed_counts,
     cardinality,
+    categorical_summary,
     column_quantiles,
     default_target,
 )
@@ -29,14 +27,15 @@ def _replaced(df: DataFrame, new: dict[str, Column]) -> DataFrame:
 
 
 def medians(df: DataFrame, columns: Sequence[str]) -> dict[str, float]:
+    if not columns:
+        return {}
     found = column_quantiles(df, columns, probs=[0.5]).collect()  # one row for each column
     return {columns[r["ci"]]: r["q"][0] for r in found}
 
 
 def modes(df: DataFrame, columns: Sequence[str]) -> dict[str, str]:
-    stats = _counted_stats(_typed_counts(df, columns), [], quartiles=False).select("ci", "top_key")
-    found = _full_tops(df, stats, columns, []).collect()  # one row for each column
-    return {columns[r["ci"]]: r["top"] for r in found if r["top"] is not None}
+    found = categorical_summary(df, columns).where("freq > 0").collect()  # one row for each column
+    return {r["column"]: r["top"] for r in found}
 
 
 def impute_median(df: DataFrame) -> DataFrame:
@@ -107,10 +106,10 @@ def batches(df: DataFrame, key: str | Sequence[str], size: int = 32, seed: int =
     return indexed.withColumn("batch_id", F.floor(F.col("__index") / size).cast("bigint")).drop("__index")
 
 
-def category_codes(df: DataFrame, column: str, one_task_rows: int = ONE_TASK_ROWS) -> DataFrame:
+def category_codes(df: DataFrame, column: str) -> DataFrame:
     """``(value, code)``: codes from 0 in value order."""
     values = df.select(ident(column).alias("value")).where("value is not null").distinct()
-    return running_sum(values, ["value"], F.lit(1), "code", one_task_rows=one_task_rows)
+    return running_sum(values, ["value"], F.lit(1), "code")
 
 
 def encode_categories(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:

@@ -10,19 +10,16 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from datascout.operators.groups import ONE_TASK_ROWS
-from datascout.operators.quantiles import between, quantiles, rank_picks, running_counts
-from datascout.runtime import cut_lineage
+from datascout.operators.groups import join_same
+from datascout.operators.quantiles import counted_quantiles
+from datascout.runtime import written
 from datascout.schema import TARGET_PATTERNS, column_types, ident, is_numeric, nan_to_null, split_columns
 
 QUARTILES = [0.25, 0.5, 0.75]
-# Longer text is counted by its start and SHA-256, so the shuffle does not carry it.
-LONG_TEXT_BYTES = 160
-LONG_TEXT_START = 64
 
 
 def _percent(part: Column, whole: Column) -> Column:
@@ -38,7 +35,7 @@ def _label(names: Sequence[str], index: str | Column = "ci") -> Column:
 
 
 def _stack(df: DataFrame, keys: Sequence[str], rows: Sequence[Sequence[Column]], names: Sequence[str]) -> DataFrame:
-    """One output row for each entry of ``rows``, generated inside the scan stage."""
+    """One output row for each entry of ``rows``, generated inside the scan stage. At least one entry."""
     flat = [c for row in rows for c in row]
     return df.select(*[ident(k) for k in keys], F.stack(F.lit(len(rows)), *flat).alias(*names))
 
@@ -58,37 +55,33 @@ def as_text(c: Column, dtype: T.DataType) -> Column:
     return c.cast("string")
 
 
-def _short(text: Column) -> Column:
-    start = F.substring(text, 1, LONG_TEXT_START)
-    return F.when(F.octet_length(text) <= LONG_TEXT_BYTES, text).otherwise(
-        F.concat(start, F.lit("\u0000"), F.sha2(text, 256))
-    )
-
-
-def _cells(df: DataFrame, names: Sequence[str], keys: Sequence[str], numeric: bool) -> DataFrame:
+def _cells(df: DataFrame, names: Sequence[str], keys: Sequence[str]) -> DataFrame:
     """``(keys, ci, vl, vd, vt)``: each cell in the family of its type, so that whole numbers
-    never pass through doubles. A missing cell has all three NULL."""
+    never pass through doubles. A decimal has its exact text and its double. A missing cell has
+    all three NULL."""
     rows = []
     for i, name in enumerate(names):
         dtype, c = df.schema[name].dataType, ident(name)
         cell = {"vl": F.lit(None).cast("bigint"), "vd": F.lit(None).cast("double"), "vt": F.lit(None).cast("string")}
         if isinstance(dtype, T.IntegralType):
             cell["vl"] = c.cast("bigint")
-        elif isinstance(dtype, (T.FloatType, T.DoubleType)) or (numeric and isinstance(dtype, T.DecimalType)):
+        elif isinstance(dtype, (T.FloatType, T.DoubleType)):
             cell["vd"] = c.cast("double")
         else:
-            cell["vt"] = _short(as_text(c, dtype))
+            cell["vt"] = as_text(c, dtype)
+            if isinstance(dtype, T.DecimalType):
+                cell["vd"] = c.cast("double")
         rows.append([F.lit(i), *cell.values()])
     return _stack(df, keys, rows, ["ci", "vl", "vd", "vt"])
 
 
-def _typed_counts(
-    df: DataFrame, names: Sequence[str], keys: Sequence[str] = (), numeric: bool = False
-) -> DataFrame:
-    """``numeric`` counts decimals by their double value instead of exactly."""
-    cells = _cells(df, names, keys, numeric)
-    # Partial counts collapse frequent values inside the map tasks.
-    return cells.groupBy(*keys, "ci", "vl", "vd", "vt").agg(F.count("*").alias("n"))
+def _typed_counts(df: DataFrame, names: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
+    """Number of cells of each value, by its whole text; frequent values are counted in the map tasks."""
+    return _cells(df, names, keys).groupBy(*keys, "ci", "vl", "vd", "vt").agg(F.count("*").alias("n"))
+
+
+def _number() -> Column:
+    return F.coalesce(F.col("vl").cast("double"), F.col("vd"))
 
 
 def _is_present() -> Column:
@@ -96,13 +89,12 @@ def _is_present() -> Column:
 
 
 def value_counts(df: DataFrame, columns: Sequence[str] | None = None, keys: Sequence[str] = ()) -> DataFrame:
-    """``(keys, column, value, n)`` for every distinct value, missing ones as NULL.
-
-    Long text is given as its start plus SHA-256.
-    """
+    """``(keys, column, value, n)`` for every distinct value, missing ones as NULL."""
     df = nan_to_null(df)
     names = _names(df, columns, keys)
-    value = F.coalesce(F.col("vl").cast("string"), F.col("vd").cast("string"), F.col("vt"))
+    if not names:
+        return _no_columns(df, keys, "value string, n bigint")
+    value = F.coalesce("vt", F.col("vl").cast("string"), F.col("vd").cast("string"))
     return _typed_counts(df, names, keys).select(*keys, _label(names).alias("column"), value.alias("value"), "n")
 
 
@@ -119,6 +111,12 @@ def _column_counts(df: DataFrame, names: Sequence[str], keys: Sequence[str] = ()
     )
 
 
+def _no_columns(df: DataFrame, keys: Sequence[str], rest: str) -> DataFrame:
+    """No rows, for a table without columns of the asked kind."""
+    types = ", ".join(f"cast(null as {t}) as `{c}`" for c, t in (f.split() for f in f"column string, {rest}".split(", ")))
+    return df.select(*[ident(k) for k in keys], F.expr("1")).limit(0).selectExpr(*[f"`{k}`" for k in keys], *types.split(", "))
+
+
 # ---- whole-table figures ------------------------------------------------------------------
 
 
@@ -235,12 +233,12 @@ def column_quantiles(
     probs: Sequence[float] = tuple(QUARTILES),
     approx: bool = False,
 ) -> DataFrame:
-    long = numeric_long(df, names, keys)
+    """``(keys, ci, q)``; a column without values has no row."""
     group = [*keys, "ci"]
+    long = numeric_long(df, names, keys)
     if approx:
         return long.groupBy(*group).agg(F.percentile_approx("v", list(probs), 10_000).alias("q"))
-    # A group of a column has at most as many rows as the table.
-    return quantiles(long, group, "v", probs, rows_bound=df.select(F.lit(1)).count())
+    return counted_quantiles(long.groupBy(*group, "v").agg(F.count("*").alias("n")), group, "v", probs)
 
 
 def _outside(v: Column) -> Column:
@@ -251,157 +249,100 @@ def _outside(v: Column) -> Column:
 STATS = ["mean", "std", "min", "q25", "median", "q75", "max", "outlier_count"]
 
 
-def _numeric_stats(df: DataFrame, names: Sequence[str], keys: Sequence[str], approx: bool) -> DataFrame:
-    """``(keys, ci, STATS)`` from two passes over the numeric cells, without shuffling them."""
-    group = [*keys, "ci"]
-    q = column_quantiles(df, names, keys, approx=approx).select(
-        *group,
-        F.col("q")[0].alias("q25"),
-        F.col("q")[1].alias("median"),
-        F.col("q")[2].alias("q75"),
-    )
-    if not keys:
-        q = F.broadcast(q)  # one row for each column of the table
-    return (
-        numeric_long(df, names, keys)
-        .join(q, group)
-        .groupBy(*group)
-        .agg(
-            F.avg("v").alias("mean"),
-            F.stddev_samp("v").alias("std"),
-            F.min("v").alias("min"),
-            F.first("q25").alias("q25"),
-            F.first("median").alias("median"),
-            F.first("q75").alias("q75"),
-            F.max("v").alias("max"),
-            F.count_if(_outside(F.col("v"))).alias("outlier_count"),
-        )
-    )
-
-
-def _counted_stats(counts: DataFrame, keys: Sequence[str], quartiles: bool) -> DataFrame:
-    """Every figure the value counts hold, for all columns at once; ``quartiles`` only where
-    the distinct values of a column fit one task."""
-    group = [*keys, "ci"]
-    n, present = F.col("n"), _is_present()
-    aggs = [
+def _figures(counts: DataFrame) -> list[Column]:
+    """Aggregates of value counts that need no order."""
+    n, present, v = F.col("n"), _is_present(), _number()
+    worded = F.col("vt").isNotNull() & F.col("vd").isNull()
+    return [
         F.sum("n").alias("total"),
         F.coalesce(F.sum(F.when(~present, n)), F.lit(0)).alias("missing_count"),
         F.count_if(present).alias("cardinality"),
-        F.min(F.when(F.col("vt").isNotNull(), F.struct((-n).alias("m"), "vt"))).alias("best"),
+        F.min(F.when(worded, F.struct((-n).alias("m"), "vt"))).alias("best"),
+        F.try_divide(F.sum(v * n), F.sum(F.when(v.isNotNull(), n))).alias("mean"),
+        F.min(v).alias("min"),
+        F.max(v).alias("max"),
     ]
-    tops = [F.col("best.vt").alias("top_key"), (-F.col("best.m")).alias("freq")]
-    if not quartiles:
-        return counts.groupBy(*group).agg(*aggs).select("*", *tops).drop("best")
-    # All within one shuffle by column: running counts, then quartiles and mean as windows
-    # over the column, then the figures that need them.
-    whole = Window.partitionBy(*group)
-    v = F.col("v")
-    values = counts.withColumn("v", F.coalesce(F.col("vl").cast("double"), F.col("vd")))
-    values = running_counts(values, group, "v")
-    picks = {
-        f"__q{i}{side}": pick.over(whole)
-        for i, p in enumerate(QUARTILES)
-        for side, pick in enumerate(rank_picks("v", p))
-    }
-    values = values.withColumns({"__sum": F.sum(v * n).over(whole), **picks})
-    values = values.withColumns(
-        {
-            "mean": F.try_divide("__sum", "__total"),
-            **{
-                name: between(F.col(f"__q{i}0"), F.col(f"__q{i}1"), p)
-                for i, (name, p) in enumerate(zip(["q25", "median", "q75"], QUARTILES))
-            },
-        }
-    )
-    off = v - F.col("mean")
-    return (
-        values.groupBy(*group)
+
+
+def _counted_stats(counts: DataFrame, keys: Sequence[str], quartiles: DataFrame | None) -> DataFrame:
+    """Every figure the value counts hold, for all columns at once; ``quartiles`` is ``(keys, ci, q)``
+    of the numeric ones. A column has its row whether it has values or not."""
+    group = [*keys, "ci"]
+    out = counts.groupBy(*group).agg(*_figures(counts))
+    out = out.withColumns({"top": F.col("best.vt"), "freq": -F.col("best.m")}).drop("best")
+    if quartiles is None:
+        return out
+    marks = {f"q[{i}]": c for i, c in enumerate(["q25", "median", "q75"])}
+    out = join_same(out, quartiles.selectExpr(*[f"`{k}`" for k in group], *[f"{e} as {c}" for e, c in marks.items()]), group, "left")
+    bounds = out.where("mean is not null").select(*group, "mean", "q25", "q75")
+    numbers = counts.withColumn("v", _number()).where("v is not null").select(*group, "v", "n")
+    if not keys:
+        bounds = F.broadcast(bounds)  # one row for each column of the table
+    off = F.col("v") - F.col("mean")
+    spread = (
+        join_same(numbers, bounds, group)
+        .groupBy(*group)
         .agg(
-            *aggs,
-            F.first("mean").alias("mean"),
-            F.sqrt(F.try_divide(F.sum(off * off * n), F.max("__total") - 1)).alias("std"),
-            F.min(v).alias("min"),
-            *[F.first(c).alias(c) for c in ("q25", "median", "q75")],
-            F.max(v).alias("max"),
-            F.coalesce(F.sum(F.when(_outside(v), n)), F.lit(0)).alias("outlier_count"),
-            F.max("__total").alias("values"),
+            F.sqrt(F.try_divide(F.sum(off * off * F.col("n")), F.sum("n") - 1)).alias("std"),
+            F.coalesce(F.sum(F.when(_outside(F.col("v")), F.col("n"))), F.lit(0)).alias("outlier_count"),
         )
-        .withColumn("outlier_count", F.when(F.col("values") > 0, F.col("outlier_count")))
-        .select("*", *tops)
-        .drop("best", "values")
     )
+    return join_same(out, spread, group, "left")
 
 
-def _fits_one_task(df: DataFrame, approx: bool) -> bool:
-    return not approx and df.select(F.lit(1)).count() <= ONE_TASK_ROWS
+def _quartiles(df: DataFrame, counts: DataFrame, names: Sequence[str], keys: Sequence[str], approx: bool) -> DataFrame:
+    group = [*keys, "ci"]
+    if approx:
+        numeric = [c for c in names if is_numeric(df.schema[c].dataType)]
+        places = F.element_at(F.array(*[F.lit(names.index(c)) for c in numeric]), F.col("ci") + 1)
+        return column_quantiles(df, numeric, keys, approx=True).withColumn("ci", places)
+    numbers = counts.select(*[ident(k) for k in group], _number().alias("v"), "n")
+    # Exact decimals may share a double.
+    numbers = numbers.where("v is not null").groupBy(*group, "v").agg(F.sum("n").alias("n"))
+    return counted_quantiles(numbers, group, "v", QUARTILES)
 
 
 def numeric_summary(
     df: DataFrame, columns: Sequence[str] | None = None, keys: Sequence[str] = (), approx: bool = False
 ) -> DataFrame:
-    """Mean, sample deviation, range, quartiles and outlier count of each numeric column."""
+    """Mean, sample deviation, range, quartiles and outlier count of each numeric column.
+
+    A column without values has NULLs; a table without numeric columns gives no rows."""
     df = nan_to_null(df)
     names = [c for c in _names(df, columns, keys) if is_numeric(df.schema[c].dataType)]
-    if _fits_one_task(df, approx):
-        stats = _counted_stats(_typed_counts(df, names, keys, numeric=True), keys, quartiles=True)
-    else:
-        stats = _numeric_stats(df, names, keys, approx)
-    return stats.select(*keys, _label(names).alias("column"), *STATS)
+    if not names:
+        return _no_columns(df, keys, "mean double, std double, min double, q25 double, median double, q75 double, max double, outlier_count bigint")
+    return _numeric_figures(df, names, keys, approx).select(*[ident(k) for k in keys], _label(names).alias("column"), *STATS)
+
+
+def _numeric_figures(df: DataFrame, names: Sequence[str], keys: Sequence[str], approx: bool) -> DataFrame:
+    counts = written(_typed_counts(df, names, keys), "counts")
+    return _counted_stats(counts, keys, _quartiles(df, counts, names, keys, approx))
 
 
 def outliers(df: DataFrame, columns: Sequence[str] | None = None, approx: bool = False) -> DataFrame:
     """Values outside 1.5 interquartile ranges, as count and percentage of all rows."""
-    total = df.select(F.lit(1)).count()
-    return numeric_summary(df, columns, approx=approx).select(
-        "column", "outlier_count", _percent(F.col("outlier_count"), F.lit(total)).alias("outlier_pct")
+    df = nan_to_null(df)
+    names = [c for c in _names(df, columns, ()) if is_numeric(df.schema[c].dataType)]
+    if not names:
+        return _no_columns(df, (), "outlier_count bigint, outlier_pct double")
+    return _numeric_figures(df, names, (), approx).select(
+        _label(names).alias("column"), "outlier_count", _percent(F.col("outlier_count"), F.col("total")).alias("outlier_pct")
     )
 
 
 # ---- categorical columns ------------------------------------------------------------------
 
 
-def _full_tops(df: DataFrame, tops: DataFrame, names: Sequence[str], keys: Sequence[str]) -> DataFrame:
-    """Replace ``top_key`` by ``top``, the whole text.
-
-    Shortened text is looked up in the table again, if any top value is long. The figures, one
-    row for each column of a group, are kept meanwhile.
-    """
-    group = [*keys, "ci"]
-    fixed = (T.BooleanType, T.DatetimeType, T.NumericType, T.NullType)
-    rows = [
-        [F.lit(i), as_text(ident(c), df.schema[c].dataType)]
-        for i, c in enumerate(names)
-        if not isinstance(df.schema[c].dataType, fixed)
-    ]
-    if not rows:
-        return tops.withColumnRenamed("top_key", "top")
-    tops = cut_lineage(tops)
-    wanted = tops.where(F.contains("top_key", F.lit("\u0000"))).select(*group, "top_key")
-    if wanted.isEmpty():
-        return tops.withColumnRenamed("top_key", "top")
-    if not keys:
-        wanted = F.broadcast(wanted)  # one row for each column at most
-    full = (
-        _stack(df, keys, rows, ["ci", "full"])
-        .where(F.octet_length("full") > LONG_TEXT_BYTES)
-        .withColumn("top_key", _short(F.col("full")))
-        .join(wanted, [*group, "top_key"], "left_semi")
-        .groupBy(*group)
-        .agg(F.min("full").alias("full"))
-    )
-    return (
-        tops.join(full, group, "left").withColumn("top", F.coalesce("full", "top_key")).drop("full", "top_key")
-    )
-
-
 def categorical_summary(df: DataFrame, columns: Sequence[str] | None = None, keys: Sequence[str] = ()) -> DataFrame:
-    """Non-missing count, distinct count and most frequent value of each non-numeric column."""
+    """Non-missing count, distinct count and most frequent value of each non-numeric column; of
+    equally frequent values the first in order. No rows for a table without such columns."""
     df = nan_to_null(df)
     names = [c for c in _names(df, columns, keys) if not is_numeric(df.schema[c].dataType)]
-    stats = _counted_stats(_typed_counts(df, names, keys), keys, quartiles=False)
-    return _full_tops(df, stats, names, keys).select(
-        *keys,
+    if not names:
+        return _no_columns(df, keys, "count bigint, unique bigint, top string, freq bigint")
+    return _counted_stats(_typed_counts(df, names, keys), keys, None).select(
+        *[ident(k) for k in keys],
         _label(names).alias("column"),
         (F.col("total") - F.col("missing_count")).alias("count"),
         F.col("cardinality").alias("unique"),
@@ -560,20 +501,15 @@ def class_balance(df: DataFrame, column: str | None = None, max_classes: int = 3
 
 def _column_profile(df: DataFrame, keys: Sequence[str], approx: bool) -> DataFrame:
     names = _names(df, None, keys)
-    numeric = [c for c in names if is_numeric(df.schema[c].dataType)]
-    group = [*keys, "ci"]
-    quartiles = bool(numeric) and _fits_one_task(df, approx)
-    out = _counted_stats(_typed_counts(df, names, keys, numeric=True), keys, quartiles)
-    if numeric and not quartiles:
-        places = F.element_at(F.array(*[F.lit(names.index(c)) for c in numeric]), F.col("ci") + 1)
-        stats = _numeric_stats(df, numeric, keys, approx).withColumn("ci", places)
-        out = out.join(stats, group, "left")
-    elif not numeric:
+    counts = written(_typed_counts(df, names, keys), "counts")
+    if any(is_numeric(df.schema[c].dataType) for c in names):
+        out = _counted_stats(counts, keys, _quartiles(df, counts, names, keys, approx))
+    else:
+        out = _counted_stats(counts, keys, None)
         out = out.withColumns({c: F.lit(None).cast("double") for c in STATS})
-    out = _full_tops(df, out, names, keys)
     dtypes = dict(column_types(df))
     return out.select(
-        *keys,
+        *[ident(k) for k in keys],
         F.col("ci").alias("position"),
         _label(names).alias("column"),
         _label([dtypes[c] for c in names]).alias("dtype"),

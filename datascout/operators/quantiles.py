@@ -1,178 +1,51 @@
-"""Exact quantiles of long tables, grouped or not.
+"""Exact quantiles of value counts, grouped or not.
 
-While every group is known to be small, one task ranks the value counts of a group. Beyond
-that, quantiles are found by narrowing: each pass counts
-the values of the interval a wanted rank lies in by equal-width bins (pre-aggregated in the
-map tasks, so a hot value only raises a counter) and keeps one bin, until the bin is a single
-value or small enough to be ranked directly.
+The counts are dealt to ranges of (group, value). The totals of the ranges tell which range holds
+a wanted rank; only those ranges are sorted, one task each, and the ranks picked from them.
 """
 
 from __future__ import annotations
 
-import sys
 from collections.abc import Sequence
-from itertools import count
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from datascout.operators.groups import ONE_TASK_ROWS
-from datascout.runtime import cut_lineage
-
-BINS = 4096
-LARGEST = sys.float_info.max
-
-
-def quantiles(
-    long: DataFrame,
-    keys: Sequence[str],
-    value: str,
-    probs: Sequence[float],
-    rows_bound: int | None = None,
-    one_task_rows: int = ONE_TASK_ROWS,
-) -> DataFrame:
-    """``(keys..., q array<double>)``, linear between neighbouring ranks, NULLs ignored.
-
-    ``rows_bound`` is a known upper bound for the rows of a group, which saves counting them.
-    """
-    long = long.where(F.col(value).isNotNull())
-    small = rows_bound is not None and rows_bound <= one_task_rows
-    if not small:
-        largest = long.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
-        small = largest <= one_task_rows
-    if small:
-        return ranked(long.groupBy(*keys, value).agg(F.count("*").alias("n")), keys, value, probs)
-    return _narrowed(long, list(keys), value, list(probs), one_task_rows)
-
-
-def running_counts(counts: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
-    """Add ``__before`` and ``__total`` for the values of each group; NULLs count for neither.
-
-    One task sorts one group. The sort spills, where ``percentile`` holds a map.
-    """
-    group = Window.partitionBy(*keys)
-    n = F.when(F.col(value).isNotNull(), F.col("n"))
-    prior = group.orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    return counts.withColumns(
-        {
-            "__before": F.coalesce(F.sum(n).over(prior), F.lit(0)),
-            "__total": F.coalesce(F.sum(n).over(group), F.lit(0)),
-        }
+from datascout.operators.groups import join_same, range_offsets, ranged
+from datascout.schema import ident
+
+
+def quantiles(long: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float]) -> DataFrame:
+    """``(keys..., q array<double>)``, linear between neighbouring ranks, missing values ignored."""
+    counts = long.where(ident(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("n"))
+    return counted_quantiles(counts, keys, value, probs)
+
+
+def counted_quantiles(counts: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float]) -> DataFrame:
+    """The same of value counts ``(keys..., value, n)``. NULL is a key like any other."""
+    group = list(keys)
+    rows = counts.where(ident(value).isNotNull()).select(*[ident(k) for k in group], ident(value).alias("__v"), "n")
+    placed = ranged(rows, [*group, "__v"])
+    spans = range_offsets(placed, group, "n")
+    totals = placed.groupBy(*group, "__part").agg(F.sum("n").alias("__in"))
+    spans = join_same(spans, totals, [*group, "__part"])
+    ranks = [f(F.lit(float(p)) * (F.col("__all") - 1)) for p in probs for f in (F.floor, F.ceil)]
+    here = (F.col("__rank") >= F.col("__offset")) & (F.col("__rank") < F.col("__offset") + F.col("__in"))
+    # At most two rows for each group and probability.
+    wanted = spans.withColumn("__rank", F.explode(F.array_distinct(F.array(*ranks)))).where(here)
+    near = join_same(placed, wanted.select(*group, "__part").distinct(), [*group, "__part"], "left_semi")
+    local = Window.partitionBy(*group, "__part").orderBy("__v").rowsBetween(Window.unboundedPreceding, -1)
+    near = near.withColumn("__before", F.coalesce(F.sum("n").over(local), F.lit(0)))
+    at = F.col("__rank") - F.col("__offset")
+    picked = join_same(near, wanted, [*group, "__part"]).where((at >= F.col("__before")) & (at < F.col("__before") + F.col("n")))
+    by_rank = picked.groupBy(*group).agg(
+        F.map_from_entries(F.collect_list(F.struct("__rank", "__v"))).alias("__m"), F.first("__all").alias("__all")
     )
+    return by_rank.select(*[ident(k) for k in group], F.array(*[_between(p) for p in probs]).alias("q"))
 
 
-def rank_picks(value: str, p: float) -> list[Column]:
-    """Aggregates for the values at the two ranks around quantile ``p``."""
-    at = F.lit(float(p)) * (F.col("__total") - 1)
-    before, after = F.col("__before"), F.col("__before") + F.col("n")
-    return [F.max(F.when((before <= r) & (r < after), F.col(value))) for r in (F.floor(at), F.ceil(at))]
-
-
-def between(low: Column, high: Column, p: float) -> Column:
-    at = F.lit(float(p)) * (F.col("__total") - 1)
-    part = at - F.floor(at)
+def _between(p: float) -> Column:
+    place = F.lit(float(p)) * (F.col("__all") - 1)
+    low, high = (F.try_element_at("__m", f(place)).cast("double") for f in (F.floor, F.ceil))
+    part = place - F.floor(place)
     return F.when(part == 0, low).otherwise((F.lit(1.0) - part) * low + part * high)
-
-
-def ranked(counts: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float]) -> DataFrame:
-    """Quantiles of value counts ``(keys..., value, n)``."""
-    counts = running_counts(counts.where(F.col(value).isNotNull()), keys, value)
-    picks = [c.alias(f"__q{i}{s}") for i, p in enumerate(probs) for s, c in enumerate(rank_picks(value, p))]
-    found = counts.groupBy(*keys).agg(F.max("__total").alias("__total"), *picks)
-    q = [between(F.col(f"__q{i}0"), F.col(f"__q{i}1"), p) for i, p in enumerate(probs)]
-    return found.select(*keys, F.array(*q).alias("q"))
-
-
-def _narrowed(
-    long: DataFrame, keys: list[str], value: str, probs: list[float], one_task_rows: int
-) -> DataFrame:
-    v = F.col(value)
-    # Infinities stand at the ends of the finite range while intervals are halved.
-    long = long.withColumn(value, F.least(F.greatest(v.cast("double"), F.lit(-LARGEST)), F.lit(LARGEST)))
-    spans = long.groupBy(*keys).agg(F.count("*").alias("n"), F.min(v).alias("lo"), F.max(v).alias("hi"))
-    wanted = spans.withColumn("p", F.explode(F.array(*[F.lit(float(p)) for p in probs]))).withColumn(
-        "at", F.col("p") * (F.col("n") - 1)
-    )
-    both = F.array_distinct(F.array(F.floor("at"), F.ceil("at")))
-    # One row for each group and rank: the interval holding it and the number of values below.
-    state = cut_lineage(
-        wanted.select(*keys, "n", "lo", "hi", F.explode(both).alias("rank"))
-        .distinct()
-        .withColumns({"below": F.lit(0).cast("bigint"), "inside": F.col("n")})
-    )
-    one_value = F.col("lo") == F.col("hi")
-    direct = F.col("inside") <= one_task_rows
-    interval = [*keys, "lo", "hi"]
-    for step in count():
-        open_ = state.where(~one_value & ~direct)
-        if open_.isEmpty():
-            break
-        binned = (
-            long.join(open_.select(*interval).distinct(), keys)
-            .where(v.between(F.col("lo"), F.col("hi")))
-            .groupBy(*interval, _bin(v, magnitude=step % 2 == 1).alias("bin"))
-            .agg(F.count("*").alias("c"), F.min(v).alias("b_lo"), F.max(v).alias("b_hi"))
-        )
-        # At most BINS rows for each interval.
-        w = Window.partitionBy(*interval).orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
-        binned = binned.withColumn("before", F.coalesce(F.sum("c").over(w), F.lit(0)))
-        offset = F.col("rank") - F.col("below")
-        narrowed = (
-            open_.join(binned, interval)
-            .where((offset >= F.col("before")) & (offset < F.col("before") + F.col("c")))
-            .select(
-                *keys,
-                "n",
-                F.col("b_lo").alias("lo"),
-                F.col("b_hi").alias("hi"),
-                "rank",
-                (F.col("below") + F.col("before")).alias("below"),
-                F.col("c").alias("inside"),
-            )
-        )
-        state = cut_lineage(state.where(one_value | direct).unionByName(narrowed))
-    done = state.where(one_value).select(*keys, "rank", F.col("lo").alias("x"))
-    rest = state.where(~one_value)
-    counted = (
-        long.join(rest.select(*interval).distinct(), keys)
-        .where(v.between(F.col("lo"), F.col("hi")))
-        .groupBy(*interval, v.alias("x"))
-        .agg(F.count("*").alias("c"))
-    )
-    w = Window.partitionBy(*interval).orderBy("x").rowsBetween(Window.unboundedPreceding, -1)
-    counted = counted.withColumn("before", F.coalesce(F.sum("c").over(w), F.lit(0)))
-    offset = F.col("rank") - F.col("below")
-    placed = (
-        rest.join(counted, interval)
-        .where((offset >= F.col("before")) & (offset < F.col("before") + F.col("c")))
-        .select(*keys, "rank", "x")
-    )
-    points = done.unionByName(placed)
-    by_rank = points.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("rank", "x"))).alias("m"))
-    sizes = state.groupBy(*keys).agg(F.first("n").alias("n"))
-
-    def at(p: float) -> Column:
-        pos = F.lit(float(p)) * (F.col("n") - 1)
-        low, high = (
-            F.when(F.abs(x) < LARGEST, x).otherwise(F.signum(x) * F.lit(float("inf")))
-            for x in (F.try_element_at("m", F.floor(pos)), F.try_element_at("m", F.ceil(pos)))
-        )
-        part = pos - F.floor(pos)
-        return F.when(part == 0, low).otherwise((F.lit(1.0) - part) * low + part * high)
-
-    return by_rank.join(sizes, list(keys)).select(*keys, F.array(*[at(p) for p in probs]).alias("q"))
-
-
-def _bin(v: Column, magnitude: bool) -> Column:
-    """Bin of ``v`` between ``lo`` and ``hi``, by value or by order of magnitude in turn: values
-    spread over many magnitudes would take one linear pass for each few of them."""
-    scale = _magnitude if magnitude else (lambda x: x / 2)  # halving keeps the width finite
-    low, high = scale(F.col("lo")), scale(F.col("hi"))
-    # Every step is monotone, so bins keep the order of values.
-    share = F.coalesce(F.try_divide(scale(v) - low, high - low), F.lit(0.0))
-    return F.least(F.floor(share * BINS), F.lit(BINS - 1)).cast("int")
-
-
-def _magnitude(x: Column) -> Column:
-    # ln of the least positive double is above -745.
-    return F.when(x == 0, 0.0).otherwise(F.signum(x) * (F.log(F.abs(x)) + 745.0))

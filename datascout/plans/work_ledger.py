@@ -94,7 +94,7 @@ def l5(t: Tables):
     SELECT id, path_exists AND total - prior > 500000 AS evict FROM r""",
 )
 def l5_ranged(t: Tables):
-    return ledger.eviction_plan(document_ledger(t), 500_000, one_task_rows=100).select("id", "evict")
+    return ledger.eviction_plan(document_ledger(t), 500_000).select("id", "evict")
 
 
 @query(

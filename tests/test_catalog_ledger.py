@@ -93,14 +93,13 @@ def test_bookmarks(spark):
     assert [r["score"] for r in ledger.list_bookmarks(left).collect()] == [100.0]
 
 
-@pytest.mark.parametrize("one_task_rows", [1000, 2])
 @pytest.mark.parametrize(
     "cap,expected", [(6, ["a", "b"]), (14, []), (13, ["a"]), (0, ["a", "b", "c", "d"]), (9, ["a"])]
 )
-def test_eviction(spark, cap, expected, one_task_rows):
+def test_eviction(spark, cap, expected):
     rows = [("a", 1.0, 5, True), ("b", 2.0, 4, True), ("c", 2.0, 3, True), ("d", 4.0, 2, True), ("x", 0.0, 99, False)]
     table = spark.createDataFrame(rows, "id string, downloaded_at double, actual_size bigint, path_exists boolean")
-    plan = ledger.eviction_plan(table, cap, one_task_rows)
+    plan = ledger.eviction_plan(table, cap)
     assert ids(plan.where("evict")) == expected and plan.count() == 5
 
 

@@ -46,7 +46,7 @@ def test_encode_in_value_order(spark, table):
     got = {r["s"]: r["c"] for r in prep.encode_categories(table.withColumn("c", F.col("s")), ["c"]).collect()}
     assert got == {"a": 0, "b": 1, "c": 2, None: None}
     many = spark.range(200).select(F.format_string("v%03d", "id").alias("value"))
-    ranged = {r["value"]: r["code"] for r in prep.category_codes(many, "value", one_task_rows=10).collect()}
+    ranged = {r["value"]: r["code"] for r in prep.category_codes(many, "value").collect()}
     assert ranged == {f"v{i:03d}": i for i in range(200)}
 
 

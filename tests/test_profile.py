@@ -56,13 +56,7 @@ def to_spark(spark, pdf):
 
 
 @pytest.mark.parametrize("seed,n", [(1, 1), (2, 2), (3, 40), (4, 300)])
-@pytest.mark.parametrize("one_task_rows", [10**6, 10])
-def test_numeric_figures_match_pandas(spark, monkeypatch, seed, n, one_task_rows):
-    monkeypatch.setattr(profile, "ONE_TASK_ROWS", one_task_rows)
-    original = profile.quantiles
-    monkeypatch.setattr(
-        profile, "quantiles", lambda *a, rows_bound=None, **k: original(*a, **k, rows_bound=rows_bound, one_task_rows=one_task_rows)
-    )
+def test_numeric_figures_match_pandas(spark, seed, n):
     pdf = _frame(seed, n)
     got = by_column(profile.column_profile(to_spark(spark, pdf)))
     for name in ["a", "b", "c", "const", "none"]:
@@ -178,7 +172,7 @@ def test_target_rules(spark):
 
 
 @pytest.mark.parametrize("shape", ["spread", "hot", "tiny", "powers"])
-def test_narrowed_quantiles_are_exact(spark, shape):
+def test_quantiles_are_exact(spark, shape):
     n = 5000
     value = {
         "spread": F.rand(7) * 1e6 - 3e5,
@@ -188,19 +182,17 @@ def test_narrowed_quantiles_are_exact(spark, shape):
     }[shape]
     long = spark.range(n).select((F.col("id") % 10 == 0).cast("int").alias("g"), value.alias("v")).cache()
     probs = [0.0, 0.25, 0.5, 0.9, 1.0]
-    got = {r["g"]: r["q"] for r in Q.quantiles(long, ["g"], "v", probs, one_task_rows=50).collect()}
-    small = {r["g"]: r["q"] for r in Q.quantiles(long, ["g"], "v", probs, rows_bound=n).collect()}
+    got = {r["g"]: r["q"] for r in Q.quantiles(long, ["g"], "v", probs).collect()}
     pdf = long.toPandas()
     for g, part in pdf.groupby("g"):
         expected = part["v"].quantile(probs).tolist()
         assert got[g] == pytest.approx(expected, rel=1e-12)
-        assert small[g] == pytest.approx(expected, rel=1e-12)
 
 
-def test_narrowed_quantiles_with_infinities(spark):
+def test_quantiles_with_infinities(spark):
     rows = [(float("inf"),)] * 30 + [(float("-inf"),)] * 30 + [(float(i),) for i in range(100)]
     df = spark.createDataFrame(rows, "v double").withColumn("g", F.lit(1))
-    q = Q.quantiles(df, ["g"], "v", [0.0, 0.5, 1.0], one_task_rows=20).first()["q"]
+    q = Q.quantiles(df, ["g"], "v", [0.0, 0.5, 1.0]).first()["q"]
     assert q == [float("-inf"), 49.5, float("inf")]
 
 
@@ -219,3 +211,38 @@ def test_approximate_figures_are_close(spark):
     df = spark.range(20000).select(F.rand(3).alias("v"), (F.col("id") % 50).alias("m"))
     assert by_column(profile.cardinality(df, approx=True))["m"]["cardinality"] == pytest.approx(50, rel=0.1)
     assert by_column(profile.numeric_summary(df, approx=True))["v"]["median"] == pytest.approx(0.5, abs=0.02)
+
+
+def test_null_keys_and_columns_without_values_keep_their_figures(spark):
+    rows = [(None, 1.0, None), (None, 3.0, None), ("a", 5.0, None), ("a", None, None)]
+    df = spark.createDataFrame(rows, "k string, v double, none double")
+    got = by_column(profile.profile_by(df, "k"), "k")
+    assert (got[None, "v"]["mean"], got[None, "v"]["median"], got[None, "v"]["outlier_count"]) == (2.0, 2.0, 0)
+    assert (got["a", "v"]["median"], got["a", "v"]["missing_count"]) == (5.0, 1)
+    assert got[None, "none"]["missing_count"] == 2 and got[None, "none"]["median"] is None
+    assert by_column(profile.numeric_summary(df))["none"]["mean"] is None
+    assert by_column(profile.outliers(df))["v"]["outlier_count"] == 0
+
+
+def test_decimals_are_counted_exactly(spark):
+    df = spark.sql("select cast(x as decimal(20,0)) d from values '9007199254740992', '9007199254740993', null t(x)")
+    row = profile.column_profile(df).first()
+    assert row["cardinality"] == profile.cardinality(df).first()["cardinality"] == 2
+    assert row["missing_count"] == 1 and row["top"] is None and row["median"] == pytest.approx(9007199254740992.0)
+
+
+def test_long_values_stay_whole(spark):
+    long = ["x" * 170 + c for c in "aab"]
+    df = spark.createDataFrame([(v,) for v in long], "s string")
+    assert {(r["value"], r["n"]) for r in profile.value_counts(df).collect()} == {(long[0], 2), (long[2], 1)}
+    assert {r["value"] for r in profile.class_balance(df, "s").collect()} == set(long)
+    assert profile.categorical_summary(df).first()["top"] == long[0]
+
+
+def test_one_sided_tables(spark):
+    words, numbers = spark.createDataFrame([("a",)], "s string"), spark.createDataFrame([(1,)], "n int")
+    assert profile.categorical_summary(numbers).count() == profile.numeric_summary(words).count() == profile.outliers(words).count() == 0
+    assert profile.categorical_summary(numbers).columns == ["column", "count", "unique", "top", "freq"]
+    from datascout.operators import advice, prep
+
+    assert prep.impute_median(words).collect() == words.collect() and advice.clean(words).collect() == words.collect()
