@@ -53,12 +53,35 @@ def _points(base: float, *awards: tuple[Column, float]) -> Column:
     return total
 
 
-def _parsed(raw: DataFrame, schema: str, payload: str) -> DataFrame:
-    return raw.select(F.from_json(payload, schema).alias("p"), F.col(payload).alias("raw"))
+#: The field that names a dataset in each hub's payload, and the payload's schema.
+IDENTITY = {
+    "huggingface": ("id", HF_PAYLOAD),
+    "openml": ("did", OPENML_PAYLOAD),
+    "uci": ("data.uci_id", UCI_PAYLOAD),
+    "github": ("full_name", GITHUB_PAYLOAD),
+    "kaggle": ("ref", KAGGLE_PAYLOAD),
+}
+
+
+def _named(provider: str) -> Column:
+    name = F.col(f"p.{IDENTITY[provider][0]}").cast("string")
+    return F.coalesce(name != "", F.lit(False))
+
+
+def _parsed(raw: DataFrame, provider: str, payload: str) -> DataFrame:
+    """Payloads of the hub; one that is broken or of another hub names no dataset and is left out."""
+    schema = IDENTITY[provider][1]
+    return raw.select(F.from_json(payload, schema).alias("p"), F.col(payload).alias("raw")).where(_named(provider))
+
+
+def rejected_payloads(raw: DataFrame, provider: str, payload: str = "payload") -> DataFrame:
+    """``(provider, payloads)``: how many payloads name no dataset of the hub."""
+    parsed = raw.select(F.from_json(payload, IDENTITY[provider][1]).alias("p"))
+    return parsed.agg(F.count_if(~_named(provider)).alias("payloads")).select(F.lit(provider).alias("provider"), "payloads")
 
 
 def normalize_hf(raw: DataFrame, payload: str = "payload") -> DataFrame:
-    df = _parsed(raw, HF_PAYLOAD, payload).select("p.*", "raw")
+    df = _parsed(raw, "huggingface", payload).select("p.*", "raw")
     df = df.withColumns(
         {
             "id": F.coalesce("id", F.lit("")),
@@ -98,7 +121,7 @@ def normalize_hf(raw: DataFrame, payload: str = "payload") -> DataFrame:
 
 
 def normalize_openml(raw: DataFrame, payload: str = "payload") -> DataFrame:
-    df = _parsed(raw, OPENML_PAYLOAD, payload).select("p.*", "raw")
+    df = _parsed(raw, "openml", payload).select("p.*", "raw")
 
     def quality(name: str) -> Column:
         """Last usable value of that name, truncated to a whole number."""
@@ -169,7 +192,7 @@ def normalize_openml(raw: DataFrame, payload: str = "payload") -> DataFrame:
 def normalize_uci(
     raw: DataFrame, payload: str = "payload", popular: Sequence[str] = tuple(POPULAR_DATASETS)
 ) -> DataFrame:
-    df = _parsed(raw, UCI_PAYLOAD, payload).where(F.col("p.status") == 200).select("p.data.*", "raw")
+    df = _parsed(raw, "uci", payload).where(F.col("p.status") == 200).select("p.data.*", "raw")
     number = F.coalesce(F.col("uci_id").cast("string"), F.lit("None"))
     df = df.withColumns(
         {
@@ -209,7 +232,7 @@ def normalize_uci(
 
 
 def normalize_github(raw: DataFrame, payload: str = "payload") -> DataFrame:
-    df = _parsed(raw, GITHUB_PAYLOAD, payload).select("p.*", "raw")
+    df = _parsed(raw, "github", payload).select("p.*", "raw")
     df = df.withColumns(
         {
             "full_name": F.coalesce("full_name", F.lit("")),
@@ -251,7 +274,7 @@ def normalize_github(raw: DataFrame, payload: str = "payload") -> DataFrame:
 
 
 def normalize_kaggle(raw: DataFrame, payload: str = "payload") -> DataFrame:
-    df = _parsed(raw, KAGGLE_PAYLOAD, payload).select("p.*", "raw")
+    df = _parsed(raw, "kaggle", payload).select("p.*", "raw")
     df = df.withColumn("downloads", F.coalesce("downloadCount", F.lit(0)))
     return _catalog_row(
         df,

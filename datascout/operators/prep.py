@@ -128,17 +128,50 @@ def fill_missing_label(df: DataFrame, label: str = "missing") -> DataFrame:
     return df.fillna(label, subset=[f.name for f in df.schema if isinstance(f.dataType, T.StringType)])
 
 
+def objective(df: DataFrame, target: str) -> DataFrame:
+    """One row ``(column, objective)``: binary for at most two values of the target, else multiclass."""
+    kind = F.when(F.col("cardinality") <= 2, "binary").otherwise("multiclass")
+    return cardinality(df, [target]).select("column", kind.alias("objective"))
+
+
 def choose_objective(df: DataFrame, target: str) -> str:
-    return "binary" if cardinality(df, [target]).first()["cardinality"] <= 2 else "multiclass"
+    return objective(df, target).first()["objective"]
 
 
-def _assembled(df: DataFrame, features: Sequence[str], target: str) -> DataFrame:
-    from pyspark.ml.feature import VectorAssembler
+# Defaults of the baseline learners.
+TREES, SEED = 100, 42
+ROUNDS, STEP, DEPTH = 10, 0.3, 6
+# Fixed value: targets with at most so many values are classes.
+MOST_CLASSES = 20
 
-    numbers = df.select(*[ident(c).cast("double").alias(c) for c in [*features, target]])
-    return VectorAssembler(inputCols=list(features), outputCol="features").transform(numbers).select(
-        "features", F.col(f"`{target}`").alias("label")
-    )
+
+def _prepared(train: DataFrame, test: DataFrame, target: str, classes: bool, scaled: bool) -> list[DataFrame]:
+    """``(features, label)`` of both tables: missing features become the medians of the training rows,
+    classes are numbered in order of their text, rows without a known label are left out."""
+    from pyspark.ml.feature import StringIndexer, VectorAssembler
+
+    features = [c for c in split_columns(train)[0] if c != target]
+    train, test = nan_to_null(train), nan_to_null(test)
+    middle = medians(train, features)
+
+    def filled(df: DataFrame) -> DataFrame:
+        label = ident(target).cast("string" if classes else "double").alias("__label")
+        numbers = [F.coalesce(ident(c).cast("double"), F.lit(middle.get(c, 0.0))).alias(f"f{i}") for i, c in enumerate(features)]
+        return df.select(*numbers, label).where(F.col("__label").isNotNull())
+
+    both = [filled(train), filled(test)]
+    names = [f"f{i}" for i in range(len(features))]
+    if scaled:
+        fitted = scaling(both[0], names)
+        both = [standard_scale(d, names, fitted) for d in both]
+    if classes:
+        indexer = StringIndexer(inputCol="__label", outputCol="label", stringOrderType="alphabetAsc", handleInvalid="skip")
+        coder = indexer.fit(both[0])
+        both = [coder.transform(d) for d in both]
+    else:
+        both = [d.withColumnRenamed("__label", "label") for d in both]
+    assemble = VectorAssembler(inputCols=names, outputCol="features").transform
+    return [assemble(d).select("features", "label") for d in both]
 
 
 def _score(spark, metric: str, value: float, objective: str) -> DataFrame:
@@ -146,16 +179,17 @@ def _score(spark, metric: str, value: float, objective: str) -> DataFrame:
 
 
 def fit_baseline(
-    train: DataFrame, test: DataFrame, target: str, regression: bool = False, trees: int = 100, seed: int = 42
+    train: DataFrame, test: DataFrame, target: str, regression: bool | None = None, trees: int = TREES, seed: int = SEED
 ) -> DataFrame:
-    """Random forest on scaled features: accuracy (or R2) on the test rows."""
+    """Random forest on imputed, scaled features: accuracy (or R2) on the test rows. The number of
+    values of the target decides between classes and regression unless ``regression`` says it."""
     from pyspark.ml.classification import RandomForestClassifier
     from pyspark.ml.evaluation import MulticlassClassificationEvaluator, RegressionEvaluator
     from pyspark.ml.regression import RandomForestRegressor
 
-    features = [c for c in split_columns(train)[0] if c != target]
-    fitted = scaling(train, features)
-    data = [_assembled(standard_scale(d, features, fitted), features, target) for d in (train, test)]
+    if regression is None:
+        regression = cardinality(train, [target]).first()["cardinality"] > MOST_CLASSES
+    data = _prepared(train, test, target, classes=not regression, scaled=True)
     learner = RandomForestRegressor if regression else RandomForestClassifier
     model = learner(numTrees=trees, seed=seed).fit(data[0])
     metric = "r2" if regression else "accuracy"
@@ -165,14 +199,14 @@ def fit_baseline(
 
 
 def fit_boosted(
-    train: DataFrame, test: DataFrame, target: str, rounds: int = 10, step: float = 0.3, depth: int = 6, seed: int = 42
+    train: DataFrame, test: DataFrame, target: str, rounds: int = ROUNDS, step: float = STEP, depth: int = DEPTH, seed: int = SEED
 ) -> DataFrame:
-    """Gradient-boosted trees: log loss for two classes, accuracy for more (one against the rest)."""
+    """Gradient-boosted trees: log loss for two classes, of any values; accuracy for more (one against
+    the rest)."""
     from pyspark.ml.classification import GBTClassifier, OneVsRest
     from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 
-    features = [c for c in split_columns(train)[0] if c != target]
-    data = [_assembled(d, features, target) for d in (train, test)]
+    data = _prepared(train, test, target, classes=True, scaled=False)
     objective = choose_objective(train, target)
     learner = GBTClassifier(maxIter=rounds, stepSize=step, maxDepth=depth, seed=seed)
     metric = "logLoss" if objective == "binary" else "accuracy"

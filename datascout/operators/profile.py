@@ -98,17 +98,17 @@ def value_counts(df: DataFrame, columns: Sequence[str] | None = None, keys: Sequ
     return _typed_counts(df, names, keys).select(*keys, _label(names).alias("column"), value.alias("value"), "n")
 
 
+def _count_figures(counts: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    return counts.groupBy(*keys, "ci").agg(
+        F.sum("n").alias("total"),
+        F.coalesce(F.sum(F.when(~_is_present(), F.col("n"))), F.lit(0)).alias("missing_count"),
+        F.count_if(_is_present()).alias("cardinality"),
+    )
+
+
 def _column_counts(df: DataFrame, names: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
     """``(keys, ci, total, missing_count, cardinality)`` for each column."""
-    return (
-        _typed_counts(df, names, keys)
-        .groupBy(*keys, "ci")
-        .agg(
-            F.sum("n").alias("total"),
-            F.coalesce(F.sum(F.when(~_is_present(), F.col("n"))), F.lit(0)).alias("missing_count"),
-            F.count_if(_is_present()).alias("cardinality"),
-        )
-    )
+    return _count_figures(_typed_counts(df, names, keys), keys)
 
 
 def _no_columns(df: DataFrame, keys: Sequence[str], rest: str) -> DataFrame:
@@ -406,7 +406,10 @@ def correlation_matrix(df: DataFrame, columns: Sequence[str] | None = None) -> D
     names = columns or split_columns(df)[0]
     if len(names) < 2:
         return _no_pairs(df)
-    upper = _pair_correlations(df, names)
+    return _matrix(_pair_correlations(df, names), names)
+
+
+def _matrix(upper: DataFrame, names: Sequence[str]) -> DataFrame:
     mirrored = F.when(F.col("i") == F.col("j"), F.array(F.struct("i", "j"))).otherwise(
         F.array(F.struct("i", "j"), F.struct(F.col("j").alias("i"), F.col("i").alias("j")))
     )
@@ -425,7 +428,11 @@ def top_correlations(df: DataFrame, k: int = 10, columns: Sequence[str] | None =
     names = columns or split_columns(df)[0]
     if len(names) < 2:
         return _no_pairs(df)
-    best = _pair_correlations(df, names).where(F.col("i") < F.col("j"))
+    return _top_pairs(_pair_correlations(df, names), names, k)
+
+
+def _top_pairs(pairs: DataFrame, names: Sequence[str], k: int) -> DataFrame:
+    best = pairs.where(F.col("i") < F.col("j"))
     best = best.orderBy(F.abs("r").desc(), "i", "j").limit(k)
     return best.select(
         _label(names, F.col("i")).alias("column_a"), _label(names, F.col("j")).alias("column_b"), "r"
@@ -457,51 +464,60 @@ def _candidates(counts: DataFrame, names: Sequence[str]) -> DataFrame:
     )
 
 
+def _best(found: DataFrame, k: int) -> DataFrame:
+    return found.orderBy(F.col("score").desc(), "ci").limit(k)
+
+
 def target_candidates(df: DataFrame, k: int = 3) -> DataFrame:
     """The ``k`` likeliest target columns: ``(column, score, inferred_task, cardinality)``."""
     df = nan_to_null(df)
-    found = _candidates(_column_counts(df, df.columns), df.columns)
-    return found.orderBy(F.col("score").desc(), "ci").limit(k).drop("ci")
+    return _best(_candidates(_column_counts(df, df.columns), df.columns), k).drop("ci")
+
+
+def default_target_row(df: DataFrame, fallback: str = "target") -> DataFrame:
+    """One row ``(column)``: the likeliest target, or ``fallback``."""
+    return target_candidates(df, 1).agg(F.coalesce(F.first("column"), F.lit(fallback)).alias("column"))
 
 
 def default_target(df: DataFrame, fallback: str = "target") -> str:
-    best = target_candidates(df, 1).first()
-    return best["column"] if best else fallback
+    return default_target_row(df, fallback).first()["column"]
 
 
-def class_balance(df: DataFrame, column: str | None = None, max_classes: int = 30) -> DataFrame:
-    """``(column, value, count, percentage)`` of the primary target (or of ``column``); no rows
-    when it has more than ``max_classes`` values."""
-    if column is None:
-        best = target_candidates(df, 1).first()
-        if best is None:
-            return df.sparkSession.createDataFrame(
-                [], "column string, value string, count bigint, percentage double"
-            )
-        column = best["column"]
-    counts = value_counts(df.select(ident(column)), [column])
-    totals = counts.agg(
-        F.sum("n").alias("total"), F.count_if(F.col("value").isNotNull()).alias("classes")
-    )
-    keep = counts.where(F.col("value").isNotNull()).withColumn("__one", F.lit(1))
+def _balance(counts: DataFrame, wanted: DataFrame, max_classes: int) -> DataFrame:
+    """Class balance from value counts of all columns; ``wanted`` is ``(ci, column)`` of one row at most."""
+    value = F.coalesce("vt", F.col("vl").cast("string"), F.col("vd").cast("string"))
+    chosen = counts.join(F.broadcast(wanted), "ci").select("column", value.alias("value"), "n")
+    totals = chosen.groupBy("column").agg(F.sum("n").alias("total"), F.count("value").alias("classes"))
     return (
-        keep.join(F.broadcast(totals.withColumn("__one", F.lit(1))), "__one")
+        chosen.where(F.col("value").isNotNull())
+        .join(F.broadcast(totals), "column")
         .where(F.col("classes") <= max_classes)
-        .select(
-            "column",
-            "value",
-            F.col("n").alias("count"),
-            _percent(F.col("n"), F.col("total")).alias("percentage"),
-        )
+        .select("column", "value", F.col("n").alias("count"), _percent(F.col("n"), F.col("total")).alias("percentage"))
     )
 
 
+def class_balance(df: DataFrame, column: str | None = None, max_classes: int = 30) -> DataFrame:
+    """``(column, value, count, percentage)`` of the primary target (or of ``column``); no rows
+    when it has more than ``max_classes`` values."""
+    df = nan_to_null(df)
+    names = [column] if column else df.columns
+    counts = _typed_counts(df, names)
+    if column:
+        one = df.sparkSession.range(1).select(F.lit(0).alias("ci"), F.lit(column).alias("column"))
+        return _balance(counts, one, max_classes)
+    counts = written(counts, "counts")
+    return _balance(counts, _best(_candidates(_count_figures(counts), names), 1).select("ci", "column"), max_classes)
+
+
 # ---- the full report ----------------------------------------------------------------------
 
 
 def _column_profile(df: DataFrame, keys: Sequence[str], approx: bool) -> DataFrame:
+    return _profiled(df, written(_typed_counts(df, _names(df, None, keys), keys), "counts"), keys, approx)
+
+
+def _profiled(df: DataFrame, counts: DataFrame, keys: Sequence[str], approx: bool) -> DataFrame:
     names = _names(df, None, keys)
-    counts = written(_typed_counts(df, names, keys), "counts")
     if any(is_numeric(df.schema[c].dataType) for c in names):
         out = _counted_stats(counts, keys, _quartiles(df, counts, names, keys, approx))
     else:
@@ -551,12 +567,23 @@ def table_profile(df: DataFrame) -> DataFrame:
 
 
 def profile(df: DataFrame, approx: bool = False) -> dict[str, DataFrame]:
-    """The report as flat tables."""
+    """The report as flat tables.
+
+    The values of all columns are counted once; column figures, targets and class balance come from
+    those counts, and matrix and top pairs from one result.
+    """
+    df = nan_to_null(df)
+    counts = written(_typed_counts(df, df.columns), "counts")
+    columns = written(_profiled(df, counts, [], approx), "columns")
+    figures = columns.select(F.col("position").alias("ci"), "total", "missing_count", "cardinality")
+    found = _candidates(figures, df.columns)
+    names = split_columns(df)[0]
+    pairs = written(_pair_correlations(df, names), "pairs") if len(names) > 1 else None
     return {
         "table": table_profile(df),
-        "columns": column_profile(df, approx),
-        "correlations": top_correlations(df),
-        "matrix": correlation_matrix(df),
-        "target_candidates": target_candidates(df),
-        "class_balance": class_balance(df),
+        "columns": columns,
+        "correlations": _no_pairs(df) if pairs is None else _top_pairs(pairs, names, 10),
+        "matrix": _no_pairs(df) if pairs is None else _matrix(pairs, names),
+        "target_candidates": _best(found, 3).drop("ci"),
+        "class_balance": _balance(counts, _best(found, 1).select("ci", "column"), 30),
     }

@@ -250,8 +250,9 @@ def resolve(requests: DataFrame, ledger: DataFrame) -> DataFrame:
 def resolve_metadata(requests: DataFrame, cached: DataFrame, cat: DataFrame) -> DataFrame:
     """``(id, resolved_id, origin)`` for each distinct requested id.
 
-    The persisted record wins; without one, the best match of the id's last segment among
-    the records of the provider its first segment names.
+    The persisted record wins. Without one, a ``uci`` id means the record of that very id; any
+    other the best match of its last segment among the records of the provider that its first
+    segment names.
     """
     ids = requests.select("id").distinct()
     known = ids.join(cached.select("id"), "id", "left_semi").select(
@@ -262,13 +263,19 @@ def resolve_metadata(requests: DataFrame, cached: DataFrame, cat: DataFrame) ->
     provider = prefix
     for short, full in ID_PREFIX_PROVIDER.items():
         provider = F.when(prefix == short, full).otherwise(provider)
-    missing = ids.join(cached.select("id"), "id", "left_anti").select(
+    uncached = ids.join(cached.select("id"), "id", "left_anti")
+    exact = (
+        uncached.where(prefix == "uci")
+        .join(cat.where(F.col("provider") == "uci").select("id").distinct(), "id", "left_semi")
+        .select("id", F.col("id").alias("resolved_id"), F.lit("provider").alias("origin"))
+    )
+    missing = uncached.where(prefix != "uci").select(
         F.col("id").alias("query_id"), F.element_at(parts, -1).alias("query"), provider.alias("provider")
     )
     fetched = search_batch(cat, missing, k=1, min_score=1e-9, scope=["provider"]).select(
         F.col("query_id").alias("id"), F.col("id").alias("resolved_id"), F.lit("provider").alias("origin")
     )
-    return known.unionByName(fetched)
+    return known.unionByName(exact).unionByName(fetched)
 
 
 def limit_per_provider(cat: DataFrame, n: int = 15) -> DataFrame:

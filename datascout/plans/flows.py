@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Sequence
+from urllib.parse import unquote
 
+from pyspark.errors import AnalysisException, SparkRuntimeException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,7 +15,9 @@ from datascout.operators.filters import filter_catalog, merge_conditions, with_c
 from datascout.operators.ledger import ledger_as_catalog
 from datascout.operators.profile import profile
 from datascout.operators.search import dedupe, limit_per_provider, scored
-from datascout.sources.readers import read_table
+from datascout.runtime import written
+from datascout.sources.files import detect_files, text_lines
+from datascout.sources.readers import CHARSETS, read_delimited, read_table
 
 CONDITION_ARGUMENTS = ["task", "size_cond", "rows_cond", "license_type"]
 
@@ -35,7 +40,41 @@ def search_datasets(
 
 
 def inspect_file(spark: SparkSession, path: str, approx: bool = False, **options) -> dict[str, DataFrame]:
-    return profile(read_table(spark, path, **options), approx)
+    """The profile of one file, and ``file``: filename, encoding, delimiter and, for a file that
+    cannot be read, the error; that is then the only table."""
+    found = detect_files(spark, path).orderBy("path").first()
+    report: dict[str, DataFrame] = {}
+    error = None
+    try:
+        report = profile(read_table(spark, path, **options), approx)
+    except (AnalysisException, SparkRuntimeException, ValueError) as e:
+        error = str(e).splitlines()[0]
+    facts = (os.path.basename(path.rstrip("/")), found and found["encoding"], found and found["delimiter_name"], error)
+    return report | {"file": spark.createDataFrame([facts], "filename string, encoding string, delimiter string, error string")}
+
+
+def inspect_files(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """``(path, delimiter, encoding, rows, columns, error)`` of every delimited file below ``path``.
+
+    Files of one delimiter, encoding and header line are read together. Quoted values may hold line
+    breaks. An empty file has the error of an empty table.
+    """
+    found = written(detect_files(spark, path), "files")
+    lines = text_lines(spark, path).groupBy("path").agg(F.min_by("value", F.struct("block", "line_id")).alias("header"))
+    found = written(found.join(lines, "path", "left"), "files")
+    kinds = found.where(F.col("header").isNotNull()).select("delimiter", "encoding", "header").distinct().collect()  # one row a layout
+    counted = spark.createDataFrame([], "path string, rows bigint, columns bigint")
+    for delimiter, encoding, header in kinds:
+        same = (F.col("delimiter") == delimiter) & (F.col("encoding") == encoding) & (F.col("header") == header)
+        paths = [unquote(r["path"]) for r in found.where(same).select("path").collect()]  # the reader takes the list of files
+        raw = read_delimited(spark, paths, delimiter, CHARSETS[encoding], infer=False)
+        rows = raw.groupBy(F.col("_metadata.file_path").alias("path")).agg(F.count("*").alias("rows"))
+        counted = counted.unionByName(rows.withColumn("columns", F.lit(len(raw.columns)).cast("bigint")))
+    out = found.join(counted, "path", "left").withColumn("rows", F.coalesce("rows", F.lit(0)))
+    return out.select(
+        "path", F.col("delimiter_name").alias("delimiter"), "encoding", "rows", F.coalesce("columns", F.lit(0)).alias("columns"),
+        F.when(F.col("rows") == 0, "Dataset is empty.").alias("error"),
+    )
 
 
 def filter_ledger(ledger: DataFrame, text: str | None = None, **explicit: str) -> DataFrame:

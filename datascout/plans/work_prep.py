@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from datascout.operators import prep
+from datascout.operators import prep, profile
 from datascout.plans.inputs import LABELLED_CTE, documents_with_labels
 from datascout.plans.registry import Tables, query
 from datascout.plans.work_profile import LINEITEM, candidates_sql
@@ -100,8 +100,7 @@ def m6(t: Tables):
 )
 def m7(t: Tables):
     df = t("lineitem")
-    rows = [(c, prep.choose_objective(df, c)) for c in ("l_linestatus", "l_returnflag")]
-    return t.spark.createDataFrame(rows, "column string, objective string")
+    return prep.objective(df, "l_linestatus").unionByName(prep.objective(df, "l_returnflag"))
 
 
 def _learning_table(t: Tables):
@@ -113,14 +112,17 @@ def _learning_table(t: Tables):
     return [split.where(F.col("split") == s).drop("split") for s in ("train", "test")]
 
 
-@query("m8_fit_baseline")
+@query("m8_fit_baseline", "SELECT 'classification' AS objective, 'accuracy' AS metric, true AS plausible")
 def m8(t: Tables):
-    return prep.fit_baseline(*_learning_table(t), "l_linestatus", trees=20)
+    found = prep.fit_baseline(*_learning_table(t), "l_linestatus", trees=20)
+    # Two classes at even odds: no learner may do much worse than chance.
+    return found.select("objective", "metric", F.col("value").between(0.4, 1.0).alias("plausible"))
 
 
-@query("m9_fit_boosted")
+@query("m9_fit_boosted", "SELECT 'binary' AS objective, 'logLoss' AS metric, true AS plausible")
 def m9(t: Tables):
-    return prep.fit_boosted(*_learning_table(t), "l_linestatus", rounds=5, depth=3)
+    found = prep.fit_boosted(*_learning_table(t), "l_linestatus", rounds=5, depth=3)
+    return found.select("objective", "metric", F.col("value").between(0.0, 0.8).alias("plausible"))
 
 
 @query("m10_pruned_read", "SELECT o_orderkey, o_totalprice FROM orders")
@@ -130,14 +132,34 @@ def m10(t: Tables):
     return read_table(t.spark, t.path("orders"), columns=["o_orderkey", "o_totalprice"])
 
 
-@query("m11_preview")
+@query("m11_preview", "SELECT 5::BIGINT AS shown, 5::BIGINT AS known")
 def m11(t: Tables):
-    return prep.preview(t("orders"))
+    orders = t("orders")
+    shown = prep.preview(orders)
+    known = orders.join(F.broadcast(shown.select("o_orderkey")), "o_orderkey", "left_semi")  # five rows
+    parts = shown.select(F.lit(1).alias("a"), F.lit(0).alias("b")).unionByName(known.select(F.lit(0).alias("a"), F.lit(1).alias("b")))
+    return parts.agg(F.sum("a").alias("shown"), F.sum("b").alias("known"))
 
 
-@query("m11_summarize")
+@query(
+    "m11_summarize",
+    """SELECT count(c_acctbal) AS "count", round(avg(c_acctbal), 4) AS mean, round(stddev_samp(c_acctbal), 4) AS std,
+    min(c_acctbal) AS min, max(c_acctbal) AS max, count(DISTINCT c_custkey) AS customers FROM customer""",
+)
 def m11_summary(t: Tables):
-    return prep.summarize(t("customer"))
+    found = prep.summarize(t("customer"))
+
+    def figure(name: str, column: str = "c_acctbal"):
+        return F.first(F.when(F.col("summary") == name, F.col(column)), ignorenulls=True).cast("double")
+
+    return found.agg(
+        figure("count").cast("bigint").alias("count"),
+        F.round(figure("mean"), 4).alias("mean"),
+        F.round(figure("stddev"), 4).alias("std"),
+        figure("min").alias("min"),
+        figure("max").alias("max"),
+        figure("count", "c_custkey").cast("bigint").alias("customers"),
+    )
 
 
 @query(
@@ -160,13 +182,10 @@ def _first_candidate(table: str, columns: list[str]) -> str:
     {_first_candidate('part', ['p_partkey', 'p_name'])} AS part_target""",
 )
 def m13(t: Tables):
-    return t.spark.createDataFrame(
-        [
-            (
-                prep.default_target(t("lineitem")),
-                prep.default_target(t("embeddings")),
-                prep.default_target(t("part").select("p_partkey", "p_name")),
-            )
-        ],
-        "lineitem_target string, embeddings_target string, part_target string",
-    )
+    tables = {"lineitem": t("lineitem"), "embeddings": t("embeddings"), "part": t("part").select("p_partkey", "p_name")}
+    rows = [
+        profile.default_target_row(df).select(F.lit(name).alias("name"), "column") for name, df in tables.items()
+    ]
+    found = rows[0].unionByName(rows[1]).unionByName(rows[2])  # one row a table
+    pick = lambda name: F.max(F.when(F.col("name") == name, F.col("column"))).alias(f"{name}_target")
+    return found.agg(*map(pick, tables))

@@ -76,9 +76,12 @@ def p5(t: Tables):
     return profile.cardinality(t("lineitem"))
 
 
-@query("p5_cardinality_approx")
+@query("p5_cardinality_approx", union([f"SELECT '{c}' AS \"column\", true AS close" for c in LINEITEM]))
 def p5_approx(t: Tables):
-    return profile.cardinality(t("lineitem"), approx=True)
+    exact = profile.cardinality(t("lineitem")).withColumnRenamed("cardinality", "exact")
+    found = profile.cardinality(t("lineitem"), approx=True).join(exact, "column")
+    # Four times the sketch's standard error of 5 %.
+    return found.select("column", (F.abs(F.col("cardinality") - F.col("exact")) <= 1 + F.col("exact") * 0.2).alias("close"))
 
 
 @query(
@@ -130,9 +133,17 @@ def p10(t: Tables):
     return found.select(label.alias("column"), *q)
 
 
-@query("p10_quartiles_approx")
+@query(
+    "p10_quartiles_approx",
+    union([f"SELECT '{c}' AS \"column\", true AS close" for c in ["o_orderkey", "o_custkey", "o_totalprice"]]),
+)
 def p10_approx(t: Tables):
-    return profile.numeric_summary(t("orders"), approx=True)
+    orders = t("orders")
+    found = profile.numeric_summary(orders, approx=True)
+    exact = profile.numeric_summary(orders).select("column", *[F.col(c).alias(f"x_{c}") for c in ("q25", "median", "q75")], F.col("max") - F.col("min"))
+    both = found.join(exact, "column")
+    off = F.greatest(*[F.abs(F.col(c) - F.col(f"x_{c}")) for c in ("q25", "median", "q75")])
+    return both.select("column", (off <= F.col("(max - min)") * 0.01).alias("close"))
 
 
 def _outlier_sql(column: str, table: str) -> str:
@@ -371,6 +382,86 @@ def p20_user(t: Tables):
     return found.select("user_id", "column", "total", "cardinality", rounded("median"))
 
 
+@query(
+    "p18_profile_documents",
+    _profile_sql("documents", ["doc_id", "text", "lang", "source", "n_chars"], ["bigint", "string", "string", "string", "bigint"], ["doc_id", "n_chars"]),
+)
+def p18_documents(t: Tables):
+    return _flat_profile(profile.column_profile(t("documents")))
+
+
+@query(
+    "p18_decimals",
+    """WITH d AS (SELECT CAST(p_partkey AS HUGEINT) * 9007199254740993 AS d FROM part)
+    SELECT 'd' AS "column", count(DISTINCT d) AS cardinality, count(*) AS total FROM d""",
+)
+def p18_decimals(t: Tables):
+    d = (F.col("p_partkey").cast("decimal(18,0)") * F.lit(9007199254740993).cast("decimal(19,0)")).cast("decimal(38,0)")
+    return profile.column_profile(t("part").select(d.alias("d"))).select("column", "cardinality", "total")
+
+
+@query(
+    "p19_long_values",
+    "SELECT 'text' AS \"column\", text AS \"value\", count(*) AS n FROM documents GROUP BY text",
+)
+def p19_long(t: Tables):
+    return profile.value_counts(t("documents"), ["text"])
+
+
+NULL_KEY = "CASE WHEN l_linestatus = 'O' THEN 'O' END"
+
+
+@query(
+    "p20_null_key",
+    f"""WITH d AS (SELECT {NULL_KEY} AS k, l_quantity AS q, NULL::DOUBLE AS gone FROM lineitem)
+    SELECT k, 'q' AS "column", count(*) AS total, 0::BIGINT AS missing_count, round(avg(q), 4) AS mean,
+      round(quantile_cont(q::DOUBLE, 0.5), 4) AS median FROM d GROUP BY k
+    UNION ALL SELECT k, 'gone', count(*), count(*), NULL, NULL FROM d GROUP BY k""",
+)
+def p20_null_key(t: Tables):
+    df = t("lineitem").select(
+        F.when(F.col("l_linestatus") == "O", "O").alias("k"), F.col("l_quantity").alias("q"), F.lit(None).cast("double").alias("gone")
+    )
+    found = profile.profile_by(df, "k")
+    return found.select("k", "column", "total", "missing_count", rounded("mean"), rounded("median"))
+
+
+_CARDINALITIES = union([f"SELECT '{c}' AS \"column\", count(DISTINCT {c}) AS cardinality FROM lineitem" for c in LINEITEM])
+
+
+@query(
+    "p18_full_report",
+    f"""WITH target AS ({candidates_sql('lineitem', LINEITEM)}),
+    pairs AS (SELECT * FROM ({union([_corr_sql(a, b, 'lineitem') for a, b in _PAIRS])}) ORDER BY abs(r) DESC LIMIT 10)
+    SELECT 'table' AS part, 'rows' AS name, count(*)::DOUBLE AS figure FROM lineitem
+    UNION ALL SELECT 'columns', "column", cardinality::DOUBLE FROM (
+      {_CARDINALITIES})
+    UNION ALL SELECT 'correlations', column_a || ',' || column_b, r FROM pairs
+    UNION ALL SELECT 'targets', "column", score FROM target
+    UNION ALL SELECT 'balance', l_linestatus::VARCHAR, count(*)::DOUBLE FROM lineitem
+      WHERE (SELECT first("column") FROM target) = 'l_linestatus' GROUP BY l_linestatus
+    UNION ALL SELECT 'balance', l_returnflag::VARCHAR, count(*)::DOUBLE FROM lineitem
+      WHERE (SELECT first("column") FROM target) = 'l_returnflag' GROUP BY l_returnflag
+    UNION ALL SELECT 'balance', l_linenumber::VARCHAR, count(*)::DOUBLE FROM lineitem
+      WHERE (SELECT first("column") FROM target) = 'l_linenumber' GROUP BY l_linenumber""",
+)
+def p18_full(t: Tables):
+    report = profile.profile(t("lineitem"))
+    row = lambda part, name, figure: (F.lit(part).alias("part"), name.alias("name"), figure.cast("double").alias("figure"))
+    pair = F.concat_ws(",", "column_a", "column_b")
+    parts = [
+        report["table"].select(*row("table", F.lit("rows"), F.col("rows"))),
+        report["columns"].select(*row("columns", F.col("column"), F.col("cardinality"))),
+        report["correlations"].select(*row("correlations", pair, F.round("r", 6))),
+        report["target_candidates"].select(*row("targets", F.col("column"), F.col("score"))),
+        report["class_balance"].select(*row("balance", F.col("value"), F.col("count"))),
+    ]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
 # ---- advice -------------------------------------------------------------------------------
 
 

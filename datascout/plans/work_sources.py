@@ -4,6 +4,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from datascout.plans.inputs import CATALOG_CTE, part_catalog, rounded, when_mod
+from datascout.plans.flows import inspect_files
 from datascout.plans.registry import Tables, query
 from datascout.runtime import cut_lineage, scratch_path
 from datascout.sources import files, readers, store
@@ -27,6 +28,32 @@ def s2(t: Tables):
     return readers.read_tsv(t.spark, path)
 
 
+@query("s1_quoted_line_breaks", "SELECT doc_id, text, lang FROM documents")
+def s1_quoted(t: Tables):
+    path = scratch_path(t.spark, "s1q")
+    plain = {"header": True, "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+    t("documents").select("doc_id", "text", "lang").write.options(**plain).csv(path)
+    return readers.read_delimited(t.spark, path)
+
+
+KINDS = {"comma": (",", "UTF-8"), "semicolon": (";", "UTF-8"), "tab": ("\t", "UTF-8"), "pipe": ("|", "UTF-8"), "latin": (",", "ISO-8859-1")}
+
+
+@query(
+    "s1_inspect_files",
+    """SELECT kind, name AS delimiter, encoding, (SELECT count(*) FROM supplier) AS "rows", 3::BIGINT AS "columns", NULL::VARCHAR AS error
+    FROM (VALUES ('comma', 'Comma', 'utf-8'), ('semicolon', 'Semicolon', 'utf-8'), ('tab', 'Tab', 'utf-8'), ('pipe', 'Pipe', 'utf-8'),
+      ('latin', 'Comma', 'latin-1')) v(kind, name, encoding)""",
+)
+def s1_inspect(t: Tables):
+    path = scratch_path(t.spark, "s1i")
+    rows = t("supplier").select("s_suppkey", F.concat(F.lit("caf\u00e9 "), "s_name").alias("place"), "s_acctbal")
+    for kind, (sep, encoding) in KINDS.items():
+        rows.coalesce(1).write.options(header=True, sep=sep, encoding=encoding).csv(f"{path}/{kind}")
+    found = inspect_files(t.spark, [f"{path}/{kind}" for kind in KINDS])
+    return found.select(F.regexp_extract("path", "/([a-z]+)/[^/]*$", 1).alias("kind"), "delimiter", "encoding", "rows", "columns", "error")
+
+
 @query("s3_read_parquet", "SELECT * FROM customer")
 def s3(t: Tables):
     return readers.read_table(t.spark, t.path("customer"))
@@ -134,7 +161,7 @@ def s8(t: Tables):
     rows = _supplier_chunks(t)
     value = when_mod("chunk", 4, {r: line(s) for r, s in _SEPARATORS.items()}).alias("value")
     pattern = _written(rows.select("chunk", value), scratch_path(t.spark, "s8"))
-    found = files.detect_delimiter(files.text_lines(t.spark, pattern))
+    found = files.detect_delimiter(files.text_lines(t.spark, pattern), files.file_names(t.spark, pattern))
     return found.select(F.regexp_extract("path", "chunk=([0-9]+)", 1).cast("bigint").alias("chunk"), "delimiter_name")
 
 
@@ -147,7 +174,7 @@ def s9(t: Tables):
     path = scratch_path(t.spark, "s9")
     rows = t("documents").select("lang", F.regexp_replace("text", "[\r\n]", " ").alias("text"))
     rows.repartition("lang").write.partitionBy("lang").option("encoding", "ISO-8859-1").csv(path)
-    found = files.detect_encoding(files.text_lines(t.spark, f"{path}/lang=*"))
+    found = files.detect_encoding(files.text_lines(t.spark, f"{path}/lang=*"), files.file_names(t.spark, f"{path}/lang=*"))
     lang = F.regexp_extract("path", "lang=([a-z]+)", 1).alias("lang")
     # A language of many files is latin-1 if any of them is.
     return found.groupBy(lang).agg(F.min("encoding").alias("encoding"))
@@ -238,12 +265,11 @@ def s13_directories(t: Tables):
 )
 def s14(t: Tables):
     rows = _supplier_chunks(t).select("chunk", "s_suppkey", F.col("s_name").alias("value"))
-    path = scratch_path(t.spark, "s14")
+    path = scratch_path(t.spark, "s14") + "/50% of files"
     lines = rows.repartition("chunk").sortWithinPartitions("chunk", "s_suppkey").select("chunk", "value")
     lines.write.partitionBy("chunk").text(path)
     number = F.regexp_extract("path", "chunk=([0-9]+)", 1).cast("bigint")
-    # A small limit, so that both ways of hashing run.
-    digests = cut_lineage(files.file_digests(t.spark, f"{path}/chunk=*", whole_file_bytes=100))  # read three times
+    digests = cut_lineage(files.file_digests(t.spark, f"{path}/chunk=*"))  # read three times
     names = F.sort_array(F.collect_list(F.struct("s_suppkey", "value")))  # 50 of a chunk
     content = F.concat(F.array_join(F.transform(names, lambda r: r["value"]), "\n"), F.lit("\n"))
     expected = rows.groupBy("chunk").agg(F.upper(F.sha2(content, 256)).alias("expected"))

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Sequence
 
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,7 +19,6 @@ DATA_EXTENSIONS = [".csv", ".parquet", ".json", ".arff"]
 REPO_EXTENSIONS = [".csv", ".parquet", ".json", ".tsv"]
 SKIPPED_EXTENSIONS = [".md", ".txt", ".gitattributes"]
 BINARY_EXTENSIONS = [".parquet"]
-WHOLE_FILE_BYTES = 256 * 1024**2
 
 
 def text_lines(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
@@ -46,13 +48,30 @@ def _ends_with(path: Column, endings: Sequence[str]) -> Column:
     return out
 
 
-def detect_delimiter(lines: DataFrame) -> DataFrame:
+HEAD_LINES = 5
+
+
+def _first_lines(batches):
+    """The first lines of each (path, block) that the task reads; their order is that of the scan."""
+    taken: dict[tuple[str, int], int] = {}
+    for batch in batches:
+        kept = []
+        for i, key in enumerate(zip(batch.column("path").to_pylist(), batch.column("block").to_pylist())):
+            n = taken.get(key, 0)
+            if n < HEAD_LINES:
+                taken[key] = n + 1
+                kept.append(i)
+        yield batch.take(pa.array(kept, pa.int64()))
+
+
+def detect_delimiter(lines: DataFrame, listing: DataFrame | None = None) -> DataFrame:
     """``(path, delimiter, delimiter_name)`` from the first five lines of each file.
 
-    Each task passes on at most five lines of a file. Files that are not delimited text
-    report a comma.
+    Each task passes on at most five lines of a file's block, and only those are ordered. Files that
+    are not delimited text report a comma, and so do those of ``listing`` (path) without lines.
     """
-    head = top_n_per_group(lines, ["path"], [F.col("block"), F.col("line_id")], 5)
+    lines = lines.select("path", "block", "line_id", "value")
+    head = top_n_per_group(lines.mapInArrow(_first_lines, lines.schema), ["path"], [F.col("block"), F.col("line_id")], HEAD_LINES)
     counts = [
         F.sum(F.length("value") - F.length(F.replace("value", F.lit(d), F.lit("")))).alias(f"n{i}")
         for i, d in enumerate(DELIMITERS)
@@ -65,6 +84,8 @@ def detect_delimiter(lines: DataFrame) -> DataFrame:
         best = F.when(n == most, d).otherwise(best)
     usable = (most > 0) & _ends_with(F.lower("path"), DETECTED_EXTENSIONS)
     delimiter = F.when(usable, best).otherwise(",")
+    if listing is not None:
+        totals = listing.select("path").distinct().join(totals, "path", "left")
     return totals.select("path", delimiter.alias("delimiter"), delimiter_name(delimiter).alias("delimiter_name"))
 
 
@@ -72,19 +93,38 @@ def delimiter_name(delimiter: Column) -> Column:
     return F.coalesce(*[F.when(delimiter == d, name) for d, name in DELIMITERS.items()])
 
 
-def detect_encoding(lines: DataFrame) -> DataFrame:
+def detect_encoding(lines: DataFrame, listing: DataFrame | None = None) -> DataFrame:
     """``(path, encoding)``: utf-8 if every line of the file is valid UTF-8, else latin-1.
 
     No UTF-8 sequence spans a line break, so the lines of a file are checked where they lie
-    and only one flag per task and file is shuffled. Binary formats have no encoding.
+    and only one flag per task and file is shuffled. Binary formats have no encoding; files of
+    ``listing`` (path) without lines are utf-8.
     """
     valid = lines.groupBy("path").agg(F.bool_and(F.is_valid_utf8("value")).alias("valid"))
-    encoding = F.when(F.col("valid"), "utf-8").otherwise("latin-1")
+    if listing is not None:
+        valid = listing.select("path").distinct().join(valid, "path", "left")
+    encoding = F.when(F.coalesce("valid", F.lit(True)), "utf-8").otherwise("latin-1")
     return valid.select(
         "path", F.when(~_ends_with(F.lower("path"), BINARY_EXTENSIONS), encoding).alias("encoding")
     )
 
 
+def file_names(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
+    """``(path, size)`` of every file, empty ones included, with paths written as in ``text_lines``."""
+    return (
+        spark.read.format("binaryFile")
+        .option("recursiveFileLookup", True)
+        .load(path)
+        .select(F.col("_metadata.file_path").alias("path"), F.col("length").alias("size"))
+    )
+
+
+def detect_files(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
+    """``(path, delimiter, delimiter_name, encoding)`` of every file below ``path``."""
+    lines, listing = text_lines(spark, path), file_names(spark, path)
+    return detect_delimiter(lines, listing).join(detect_encoding(lines, listing), "path")
+
+
 def pick_data_file(files: DataFrame) -> DataFrame:
     """First data file of each dataset: ``(dataset_id, path)``."""
     return (
@@ -99,34 +139,35 @@ def path_sizes(files: DataFrame) -> DataFrame:
     return files.groupBy("dataset_id").agg(F.coalesce(F.sum("size"), F.lit(0)).alias("size_bytes"))
 
 
-def _streamed_digests(files: DataFrame) -> DataFrame:
-    """SHA-256 of large files, read in pieces so that memory stays constant."""
-
-    def digest(frames):
-        import hashlib
+def file_digests(spark: SparkSession, path: str | Sequence[str], schemes: dict[str, str] | None = None) -> DataFrame:
+    """``(path, sha256)`` of every file, each read in pieces so that memory stays constant.
 
-        import pandas as pd
-        from pyarrow import fs
+    A digest is sequential: a file is one row of one task, and files are spread over all tasks.
+    ``schemes`` renames schemes of paths to those that Arrow's file systems know.
+    """
+    renamed = {"s3a": "s3", "s3n": "s3"} | (schemes or {})
+    listed = (
+        spark.read.format("binaryFile")
+        .option("recursiveFileLookup", True)
+        .load(path)
+        .select("path", F.col("_metadata.file_path").alias("uri"))
+    )
 
-        for frame in frames:
+    def digest(batches):
+        for batch in batches:
             found = []
-            for path in frame["path"]:
-                system, inner = fs.FileSystem.from_uri(path)
+            for uri in batch.column("uri").to_pylist():
+                scheme, _, rest = uri.partition(":")
+                system, inner = fs.FileSystem.from_uri(f"{renamed.get(scheme, scheme)}:{rest}")
                 total = hashlib.sha256()
                 with system.open_input_stream(inner) as stream:
                     while piece := stream.read(1 << 20):
                         total.update(piece)
                 found.append(total.hexdigest())
-            yield pd.DataFrame({"path": frame["path"], "sha256": found})
-
-    return files.select("path").repartition("path").mapInPandas(digest, "path string, sha256 string")
-
+            yield pa.RecordBatch.from_arrays([batch.column("path"), pa.array(found, pa.string())], ["path", "sha256"])
 
-def file_digests(spark: SparkSession, path: str | Sequence[str], whole_file_bytes: int = WHOLE_FILE_BYTES) -> DataFrame:
-    """``(path, sha256)`` of every file. Small files are hashed whole, large ones in pieces."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-    small = files.where(F.col("length") <= whole_file_bytes).select("path", F.sha2("content", 256).alias("sha256"))
-    return small.unionByName(_streamed_digests(files.where(F.col("length") > whole_file_bytes)))
+    spread = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return listed.repartition(spread, "path").mapInArrow(digest, "path string, sha256 string")
 
 
 def verify_checksums(digests: DataFrame, manifest: DataFrame) -> DataFrame:

@@ -11,6 +11,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from datascout.schema import NA_TOKENS, ident
+from datascout.sources.files import detect_files
+
+#: Names of the detected encodings as Spark's reader knows them.
+CHARSETS = {"utf-8": "UTF-8", "latin-1": "ISO-8859-1"}
 
 INTEGER = r"^\s*[+-]?[0-9]+\s*$"
 DECIMAL = r"^\s*[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?\s*$"
@@ -61,20 +65,46 @@ def infer_types(df: DataFrame) -> DataFrame:
 
 
 def read_delimited(
-    spark: SparkSession, path: str | Sequence[str], sep: str = ",", encoding: str = "UTF-8", infer: bool = True
+    spark: SparkSession,
+    path: str | Sequence[str],
+    sep: str = ",",
+    encoding: str = "UTF-8",
+    infer: bool = True,
+    multiline: bool = True,
+    schema: T.StructType | str | None = None,
 ) -> DataFrame:
-    """Delimited text with a header line. Short lines are padded with NULL, longer ones raise."""
-    options = {"sep": sep, "encoding": encoding, "quote": '"', "escape": '"'}
-    header = spark.read.options(**options, header=True).csv(path)  # reads the first line only
+    """Delimited text with a header line. Short lines are padded with NULL, longer ones raise.
+
+    Quoted values may hold line breaks; a file is then one task. ``multiline=False`` says that they
+    do not, which lets large files be split. With ``schema`` the values are read as those types in
+    one scan, missing-value tokens as NULL; otherwise a first scan infers them.
+    """
+    options = {"sep": sep, "encoding": encoding, "quote": '"', "escape": '"', "multiLine": multiline}
+    header = spark.read.options(**options, header=True).csv(path)  # reads the first record only
     names = header.columns
-    schema = T.StructType([T.StructField(c, T.StringType()) for c in [*names, OVERFLOW]])
-    raw = spark.read.options(**options, header=True, enforceSchema=True, mode="PERMISSIVE").schema(schema).csv(path)
+    texts = T.StructType([T.StructField(c, T.StringType()) for c in [*names, OVERFLOW]])
+    raw = spark.read.options(**options, header=True, enforceSchema=True, mode="PERMISSIVE").schema(texts).csv(path)
+    if schema is not None:
+        return _typed(raw.drop(OVERFLOW), schema)
     return infer_types(raw) if infer else raw.drop(OVERFLOW)
 
 
-def read_tsv(spark: SparkSession, path: str | Sequence[str], encoding: str = "UTF-8") -> DataFrame:
+def _typed(raw: DataFrame, schema: T.StructType | str) -> DataFrame:
+    """The columns of ``schema`` by place, values that are no such type as NULL."""
+    wanted = T._parse_datatype_string(schema) if isinstance(schema, str) else schema
+    if len(wanted) != len(raw.columns):
+        raise ValueError(f"the schema has {len(wanted)} columns, the file {len(raw.columns)}")
+    return raw.select(
+        *[
+            F.when(~ident(c).isin(NA_TOKENS), ident(c)).try_cast(f.dataType).alias(f.name)
+            for c, f in zip(raw.columns, wanted)
+        ]
+    )
+
+
+def read_tsv(spark: SparkSession, path: str | Sequence[str], encoding: str = "UTF-8", multiline: bool = True) -> DataFrame:
     """``.tsv`` and ``.txt`` are tab-separated, whatever a detector says."""
-    return read_delimited(spark, path, sep="\t", encoding=encoding)
+    return read_delimited(spark, path, sep="\t", encoding=encoding, multiline=multiline)
 
 
 def read_json_lines(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
@@ -147,10 +177,14 @@ def read_table(
     spark: SparkSession,
     path: str,
     columns: Sequence[str] | None = None,
-    sep: str = ",",
-    encoding: str = "UTF-8",
+    sep: str | None = None,
+    encoding: str | None = None,
 ) -> DataFrame:
-    """A table by its extension; ``columns`` are pruned in the scan."""
+    """A table by its extension; ``columns`` are pruned in the scan.
+
+    Delimiter and encoding of delimited text are detected unless given. A folder is read as its
+    first file says.
+    """
     extension = os.path.splitext(path.rstrip("/"))[1].lower()
     if extension == ".parquet":
         df = spark.read.parquet(path)
@@ -160,8 +194,10 @@ def read_table(
         df = read_json_doc(spark, path)
     elif extension == ".jsonl":
         df = read_json_lines(spark, path)
-    elif extension in (".tsv", ".txt"):
-        df = read_tsv(spark, path, encoding=encoding)
     else:
-        df = read_delimited(spark, path, sep=sep, encoding=encoding)
+        tabbed = extension in (".tsv", ".txt")
+        if encoding is None or (sep is None and not tabbed):
+            found = detect_files(spark, path).orderBy("path").first()
+            sep, encoding = sep or found["delimiter"], encoding or found["encoding"]
+        df = read_delimited(spark, path, sep="\t" if tabbed else sep, encoding=CHARSETS.get(encoding, encoding))
     return df.select(*[ident(c) for c in columns]) if columns else df

@@ -109,3 +109,28 @@ def test_downloads_and_rehydration(spark):
     row = ledger.track_downloads(current, new).first()
     assert row["downloaded_at"] == 0.0
     assert ledger.ledger_as_catalog(current).columns == ["id", "name", "score"]
+
+
+def test_broken_and_foreign_payloads_name_nothing(spark):
+    from datascout.operators import catalog
+
+    good = {
+        "huggingface": '{"id": "a/b"}', "openml": '{"did": 3}', "uci": '{"status": 200, "data": {"uci_id": 5, "name": "n"}}',
+        "github": '{"full_name": "o/r", "name": "r"}', "kaggle": '{"ref": "u/d", "title": "t"}',
+    }
+    normalise = dict(zip(good, (catalog.normalize_hf, catalog.normalize_openml, catalog.normalize_uci, catalog.normalize_github, catalog.normalize_kaggle)))
+    for provider, run in normalise.items():
+        rows = [(p,) for k, p in good.items()] + [("not json",), ("{}",), (None,), ("[1]",)]
+        raw = spark.createDataFrame(rows, "payload string")
+        assert [r["provider"] for r in run(raw).collect()] == [provider]
+        assert catalog.rejected_payloads(raw, provider).first()["payloads"] == 8
+
+
+def test_uci_ids_mean_that_very_record(spark):
+    from datascout.operators.search import resolve_metadata
+
+    rows = [("uci/53", "iris", "uci", 10.0, 1.0, "d"), ("uci/153", "other", "uci", 90.0, 9.0, "d")]
+    cat = spark.createDataFrame(rows, "id string, name string, provider string, popularity double, quality_score double, description string")
+    asked = spark.createDataFrame([("uci/53",), ("uci/3",)], "id string")
+    found = resolve_metadata(asked, cat.limit(0), cat).collect()
+    assert [(r["id"], r["resolved_id"], r["origin"]) for r in found] == [("uci/53", "uci/53", "provider")]

@@ -93,3 +93,16 @@ def test_leakage_and_clean(spark, table):
     cleaned = advice.clean(dirty)
     assert cleaned.columns == table.columns and cleaned.count() == 5
     assert cleaned.where("n is null or x is null or s is null or f is null").count() == 0
+
+
+def test_baselines_take_gaps_and_any_two_labels(spark):
+    df = spark.range(200).select(
+        F.col("id"), F.when(F.col("id") % 10 != 0, F.col("id") % 7).alias("x"), (1 + (F.col("id") % 7 > 3).cast("int")).alias("y"),
+        (F.col("id") % 7 * 10 + F.col("id") / 1000).alias("z"),
+    )
+    train, test = df.where("id % 4 > 0").drop("id"), df.where("id % 4 = 0").drop("id")
+    forest = prep.fit_baseline(train.drop("z"), test.drop("z"), "y", trees=5).first()
+    assert forest["objective"] == "classification" and forest["value"] > 0.8
+    assert prep.fit_baseline(train.drop("y"), test.drop("y"), "z", trees=5).first()["objective"] == "regression"
+    boosted = prep.fit_boosted(train.drop("z"), test.drop("z"), "y", rounds=3).first()
+    assert boosted["objective"] == "binary" and boosted["value"] < 0.6

@@ -96,12 +96,11 @@ def test_detection_over_many_files(spark, tmp_path):
     assert sizes["b.tsv"] == 4
 
 
-@pytest.mark.parametrize("limit", [10**6, 3])
-def test_checksums(spark, tmp_path, limit):
-    contents = {"a.bin": b"hello", "b.bin": b"other" * 1000, "c.bin": b"x"}
+def test_checksums(spark, tmp_path):
+    contents = {"a.bin": b"hello", "b.bin": b"other" * 1000, "c.bin": b"x", "d e 50%20.bin": b"odd name", "f.bin": b""}
     for name, data in contents.items():
         (tmp_path / name).write_bytes(data)
-    digests = files.file_digests(spark, str(tmp_path), whole_file_bytes=limit)
+    digests = files.file_digests(spark, str(tmp_path))
     got = {r["path"].rsplit("/", 1)[1]: r["sha256"] for r in digests.collect()}
     assert got == {n: hashlib.sha256(d).hexdigest() for n, d in contents.items()}
     base = digests.first()["path"].rsplit("/", 1)[0]
@@ -131,3 +130,31 @@ def test_pruned_columns_reach_the_scan(spark, tmp_path):
     spark.range(5).selectExpr("id", "id * 2 as twice", "id * 3 as thrice").write.parquet(path)
     df = readers.read_table(spark, path, columns=["twice"])
     assert "ReadSchema: struct<twice:bigint>" in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_quoted_line_breaks(spark, tmp_path):
+    path = write(tmp_path / "q.csv", 'n,t\r\n1,"x\ny"\r\n2,"say ""hi"", you"\r\n3,plain\r\n')
+    rows = readers.read_delimited(spark, path).orderBy("n").collect()
+    assert [tuple(r) for r in rows] == [(1, "x\ny"), (2, 'say "hi", you'), (3, "plain")]
+    typed = readers.read_delimited(spark, path, schema="k int, t string").orderBy("k").collect()
+    assert [tuple(r) for r in typed] == [tuple(r) for r in rows]
+    assert readers.read_delimited(spark, write(tmp_path / "p.csv", "a,b\n1,NA\n"), multiline=False, schema="a int, b int").first()[1] is None
+
+
+def test_files_are_inspected_as_detected(spark, tmp_path):
+    from datascout.plans.flows import inspect_file, inspect_files
+
+    write(tmp_path / "a b.csv", "x;y\n1;2\n3;4\n")
+    write(tmp_path / "latin.csv", "x,y\ncafé,2\n", "latin-1")
+    write(tmp_path / "empty.csv", "")
+    found = {r["path"].rsplit("/", 1)[1]: tuple(r)[1:] for r in inspect_files(spark, str(tmp_path)).collect()}
+    assert found == {
+        "a%20b.csv": ("Semicolon", "utf-8", 2, 2, None), "latin.csv": ("Comma", "latin-1", 1, 2, None),
+        "empty.csv": ("Comma", "utf-8", 0, 0, "Dataset is empty."),
+    }
+    one = inspect_file(spark, str(tmp_path / "a b.csv"))
+    assert tuple(one["file"].first()) == ("a b.csv", "utf-8", "Semicolon", None)
+    assert [r["column"] for r in one["columns"].orderBy("position").collect()] == ["x", "y"]
+    assert readers.read_table(spark, str(tmp_path / "latin.csv")).first()["x"] == "café"
+    bad = inspect_file(spark, write(tmp_path / "bad.csv", "a,b\n1,2,3\n"))
+    assert list(bad) == ["file"] and "more fields" in bad["file"].first()["error"]
