@@ -25,8 +25,8 @@ SAMPLE, CALIBRATED, TARGET = 20_000, 100, 0.97
 BRANCHES, LEAF_SAMPLE, LEAF_ROWS = 8, 24, 500
 #: Vectors of one leaf that one task compares.
 CHUNK_ROWS = 50_000
-#: Distances computed at once.
-CELLS = 4_000_000
+#: Neighbours that a task holds before it hands them on.
+HELD_ROWS = 1_000_000
 
 
 def _kmeans(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 12) -> tuple[np.ndarray, np.ndarray]:
@@ -116,9 +116,8 @@ def fit_tree(vectors: DataFrame, rows: int) -> Tree:
     return Tree(sample, max(LEAF_SAMPLE, len(sample) * LEAF_ROWS // max(rows, 1)))
 
 
-def build_index(vectors: DataFrame, tree: Tree, k: int) -> DataFrame:
-    """Every vector with its leaf, and its place among equal vectors by id. Of equal vectors only
-    the k + 1 of the smallest ids can be among k neighbours, the query itself being one of them."""
+def build_index(vectors: DataFrame, tree: Tree) -> DataFrame:
+    """Every vector with its leaf."""
     kinds = {f.name: f.dataType for f in vectors.schema.fields}
     schema = T.StructType([T.StructField("id", kinds["id"]), T.StructField("vec", kinds["vec"]), T.StructField("leaf", T.IntegerType())])
 
@@ -131,7 +130,8 @@ def build_index(vectors: DataFrame, tree: Tree, k: int) -> DataFrame:
 
 
 def _spread(index: DataFrame, k: int) -> DataFrame:
-    """The vectors that can be results; WindowGroupLimit cuts the copies in the map tasks."""
+    """The vectors that can be results: of equal vectors the k + 1 of the smallest ids, the query
+    itself being one of them. WindowGroupLimit cuts the copies in the map tasks."""
     copies = Window.partitionBy("vec").orderBy("id")
     return index.withColumn("copy", F.row_number().over(copies)).where(F.col("copy") <= k + 1).drop("copy")
 
@@ -182,21 +182,32 @@ def calibrate(rows: DataFrame, tree: Tree, total: int, k: int, target: float) ->
     return needed[min(len(needed) - 1, int(np.ceil(target * len(needed))))] if needed else tree.leaves
 
 
+def _merged(found: list[tuple[np.ndarray, np.ndarray, np.ndarray]], k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k nearest of each query, of all that was found."""
+    query, ids, d = (np.concatenate(c) for c in zip(*found))
+    order = np.lexsort((ids, d, query))
+    query, ids, d = query[order], ids[order], d[order]
+    first = np.flatnonzero(np.concatenate(([True], query[1:] != query[:-1]))) if len(query) else np.empty(0, np.int64)
+    sizes = np.diff(np.append(first, len(query)))
+    kept = np.arange(len(query)) - np.repeat(first, sizes) < k
+    return query[kept], ids[kept], d[kept]
+
+
 def _search(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (leaf, chunk), queries first: yields the k nearest of each query there."""
+    """Rows sorted by (leaf, chunk), queries first: yields the k nearest of each query in this task's
+    leaves together. What is held meanwhile is handed on early if it is more than HELD_ROWS."""
+    found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    size = 0
 
     def compare(queries, held):
         ids = np.concatenate([h[0] for h in held])
         x = np.concatenate([h[1] for h in held])
-        found = [(own, *_nearest(ids, x, q, own, k)) for own, q in queries]
-        return pa.RecordBatch.from_arrays(
-            [
-                pa.array(np.repeat(np.array([f[0] for f in found], np.int64), [len(f[1]) for f in found])),
-                pa.array(np.concatenate([f[1] for f in found])),
-                pa.array(np.concatenate([f[2] for f in found])),
-            ],
-            ["query_id", "vec_id", "score"],
-        )
+        for own, q in queries:
+            near, d = _nearest(ids, x, q, own, k)
+            yield np.full(len(near), own, np.int64), near, d
+
+    def told(rows):
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in rows], ["query_id", "vec_id", "score"])
 
     now, queries, held = None, [], []
     for b in batches:
@@ -208,14 +219,23 @@ def _search(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatc
         for a, z in zip(cuts, cuts[1:]):
             if keys[a][:2] != now:
                 if queries and held:
-                    yield compare(queries, held)
+                    found += compare(queries, held)
                 now, queries, held = keys[a][:2], [], []
             if keys[a][2]:
                 queries += zip(ids[a:z].tolist(), x[a:z])
             else:
                 held.append((ids[a:z], x[a:z]))
+            size = sum(len(f[0]) for f in found) if len(found) > 1000 else size
+            if size > HELD_ROWS:
+                found = [_merged(found, k)]
+                size = len(found[0][0])
+                if size > HELD_ROWS // 2:
+                    yield told(found[0])
+                    found, size = [], 0
     if queries and held:
-        yield compare(queries, held)
+        found += compare(queries, held)
+    if found:
+        yield told(_merged(found, k))
 
 
 def nearest(
@@ -235,7 +255,7 @@ def nearest(
     if not total:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     tree = fit_tree(vectors, total)
-    index = staged(build_index(vectors, tree, k), "vectors")
+    index = staged(build_index(vectors, tree), "vectors")
     rows = staged(_spread(index, k), "candidates")
     counts = {r["leaf"]: r["count"] for r in rows.groupBy("leaf").count().collect()}  # one row a leaf of the fitted tree
     opened = calibrate(rows, tree, total, k, target)
