@@ -39,9 +39,9 @@ from datascout.llm.components import components
 from datascout.llm.stage import shuffle_parts, staged
 
 #: Bytes of text indexed at once in a task; bytes of text for each range of hashes.
-BATCH_BYTES, RANGE_BYTES = 16_000_000, 12_000_000
+BATCH_BYTES, RANGE_BYTES = 4_000_000, 6_000_000
 #: Shingles of a region (or of a block of it) that one task holds.
-TASK_SHINGLES = 8_000_000
+TASK_SHINGLES = 1_500_000
 #: Share of probed lists: the longer the lists, the fewer are merged.
 PROBE_WEIGHT = 0.01
 MIX = [np.uint64(m) for m in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
