@@ -149,7 +149,7 @@ def read_arff(spark: SparkSession, path: str | Sequence[str], legacy: bool = Fal
     )
     lines = lines.where((F.col("line") != "") & ~F.col("line").startswith("%"))
     starts = lines.where(F.lower("line").startswith("@data")).groupBy("file").agg(F.min("at").alias("start"))
-    placed = lines.join(starts, "file")
+    placed = lines.join(F.broadcast(starts), "file")  # one row a file, of those that the driver lists
     declared = placed.where(F.lower("line").startswith("@attribute") & (F.col("at") < F.col("start")))
     first_file = starts.agg(F.min("file").alias("file"))
     rows = declared.join(first_file, "file", "left_semi").orderBy("at").collect()  # one per column
