@@ -110,13 +110,11 @@ def detect_encoding(lines: DataFrame, listing: DataFrame | None = None) -> DataF
 
 
 def file_names(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
-    """``(path, size)`` of every file, empty ones included, with paths written as in ``text_lines``."""
-    return (
-        spark.read.format("binaryFile")
-        .option("recursiveFileLookup", True)
-        .load(path)
-        .select(F.col("_metadata.file_path").alias("path"), F.col("length").alias("size"))
-    )
+    """``(path, uri)`` of every file, empty ones included, with paths written as in ``text_lines``. Spark
+    lists files on the driver anyway; its scans leave empty files out."""
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).inputFiles()
+    rows = [(f"file:/{f[8:]}" if f.startswith("file:///") else f, f) for f in sorted(listed)]
+    return spark.createDataFrame(rows, "path string, uri string")
 
 
 def detect_files(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
@@ -143,15 +141,12 @@ def file_digests(spark: SparkSession, path: str | Sequence[str], schemes: dict[s
     """``(path, sha256)`` of every file, each read in pieces so that memory stays constant.
 
     A digest is sequential: a file is one row of one task, and files are spread over all tasks.
-    ``schemes`` renames schemes of paths to those that Arrow's file systems know.
+    ``schemes`` renames schemes of paths to those that Arrow's file systems know. Paths are written
+    as Spark's own listing of files writes them.
     """
     renamed = {"s3a": "s3", "s3n": "s3"} | (schemes or {})
-    listed = (
-        spark.read.format("binaryFile")
-        .option("recursiveFileLookup", True)
-        .load(path)
-        .select("path", F.col("_metadata.file_path").alias("uri"))
-    )
+    plain = F.url_decode(F.replace("path", F.lit("+"), F.lit("%2B")))
+    listed = file_names(spark, path).select(plain.alias("path"), "uri")
 
     def digest(batches):
         for batch in batches:
