@@ -35,9 +35,7 @@ def keep_clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each document, and its text as decoded from them."""
-    path = vocabulary_path()
-    coded = bpe.encode_texts(docs, path).drop("text")
-    return bpe.decode_ids(coded, path, into="text").withColumn("n_tokens", F.size("ids").cast("long"))
+    return bpe.encode_texts(docs, vocabulary_path(), decoded="text").withColumn("n_tokens", F.size("ids").cast("long"))
 
 
 STAGES = [("quality", keep_good), ("near_copies", keep_one_copy), ("decontaminate", keep_clean), ("bpe", encode)]

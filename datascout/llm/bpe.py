@@ -12,7 +12,6 @@ from __future__ import annotations
 import functools
 import json
 from collections.abc import Iterator
-from itertools import chain
 
 import ahocorasick
 import numpy as np
@@ -22,10 +21,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from datascout.llm.stage import released
+
 #: The public pattern of byte-level BPE that cuts a text into pieces: a fixed value.
 PIECES = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Entries of a worker's caches; long pieces are not kept.
-CACHED_PIECES, CACHED_PIECE_CHARS, CACHED_PAIRS = 300_000, 48, 500_000
+#: Where a space is no border: white space before it, and white space or the end after it.
+RUN = regex.compile(r"\s (?:\s|$)")
+#: Entries of a worker's caches; long pieces are not kept. The encoder here keeps fewer: it codes a
+#: piece about as fast as the library does, and its own tables take memory.
+CACHED_PIECES, OWN_PIECES, CACHED_PIECE_CHARS, CACHED_PAIRS = 300_000, 120_000, 48, 250_000
 #: Characters of text handled at once in a task.
 BATCH_CHARS = 2_000_000
 #: Ids decoded at once.
@@ -41,22 +45,76 @@ def byte_alphabet() -> dict[str, int]:
 
 
 class PieceCache(dict):
-    """Ids of pieces. A full cache becomes the older generation, from which used pieces return."""
+    """Packed ids of pieces. A full cache becomes the older generation, from which used pieces return."""
 
-    def __init__(self, make):
+    def __init__(self, make, most: int | None = None):
         super().__init__()
-        self.make, self.older = make, {}
+        self.make, self.older, self.most = make, {}, most or CACHED_PIECES
 
-    def __missing__(self, piece: str) -> tuple[int, ...]:
+    def __missing__(self, piece: str) -> bytes:
         found = self.older.get(piece)
         if found is None:
             found = self.make(piece)
+        self.keep(piece, found)
+        return found
+
+    def keep(self, piece: str, found: bytes) -> None:
         if len(piece) <= CACHED_PIECE_CHARS:
-            if len(self) >= CACHED_PIECES:
+            if len(self) >= self.most:
                 self.older = dict(self)
                 self.clear()
             self[piece] = found
-        return found
+
+    def unknown(self, pieces: set[str]) -> list[str]:
+        return [p for p in pieces if p not in self and p not in self.older]
+
+
+class PieceCoder:
+    """Ids of texts from the ids of their pieces, as little-endian 32-bit integers.
+
+    A text is cut at its spaces first, which is cheap: a piece holds a space only at its start or in
+    a run of white space, so what lies between two spaces is coded alike wherever it occurs.
+    """
+
+    def __init__(self, encode_piece, most: int | None = None):
+        self.pieces = PieceCache(lambda piece: np.array(encode_piece(piece), "<i4").tobytes(), most)
+        self.words = PieceCache(lambda word: self._cut(" " + word), most)
+        self.find = regex.compile(PIECES).findall
+
+    def _cut(self, text: str) -> bytes:
+        return b"".join(map(self.pieces.__getitem__, self.find(text)))
+
+    def encode_many(self, texts: list[str], encode_pieces) -> list[bytes]:
+        """As `encode`, but the pieces of all texts that are not known yet are coded together."""
+        known = self.words.get
+        cut = [None if RUN.search(text) else text.split(" ") for text in texts]
+        coded = [None if ws is None else list(map(known, ws)) for ws in cut]
+        absent: set[str] = set()
+        for ws, found in zip(cut, coded):
+            if found and None in found:
+                absent.update(w for w, f in zip(ws, found) if f is None)
+        pieces = {w: self.find(" " + w) for w in self.words.unknown(absent)}
+        new = self.pieces.unknown({p for ps in pieces.values() for p in ps})
+        for piece, packed in zip(new, encode_pieces(new)):
+            self.pieces.keep(piece, packed)
+        for word, ps in pieces.items():
+            self.words.keep(word, b"".join(map(self.pieces.__getitem__, ps)))
+        out = []
+        for text, ws, found in zip(texts, cut, coded):
+            if ws is None:
+                out.append(self._cut(text))
+                continue
+            if None in found:
+                found = [self.words[w] if f is None else f for w, f in zip(ws, found)]
+            found[0] = self._cut(ws[0])  # the first word has no space before it
+            out.append(b"".join(found))
+        return out
+
+    def encode(self, text: str) -> bytes:
+        if RUN.search(text):
+            return self._cut(text)
+        first, *words = text.split(" ")
+        return self._cut(first) + b"".join(map(self.words.__getitem__, words))
 
 
 class Vocabulary:
@@ -83,7 +141,6 @@ class Vocabulary:
             self.bytes[i] = token.encode()
         self.added = added
         self.split_added = regex.compile("|".join(map(regex.escape, sorted(added, key=len, reverse=True)))) if added else None
-        self.pieces = regex.compile(PIECES)
         # Pair of tokens -> rank of the merge that joins them; token -> rank and parts of its merge.
         self.pair_rank: dict[tuple[int, int], int] = {}
         self.rank, self.parts = [-1] * size, [(0, 0)] * size
@@ -100,7 +157,7 @@ class Vocabulary:
         self.offsets = np.concatenate(([0], np.cumsum(self.lengths)))
         self.blob = np.frombuffer(b"".join(self.bytes), np.uint8)
         self.compatible: dict[tuple[int, int], bool] = {}
-        self.cache = PieceCache(self.encode_piece)
+        self.coder = PieceCoder(self.encode_piece, OWN_PIECES)
 
     def fits(self, left: int, right: int) -> bool:
         """Whether the merges leave the border between two tokens alone.
@@ -156,20 +213,14 @@ class Vocabulary:
                 choice = choices.pop() - 1
         return tuple(out)
 
-    def _plain(self, text: str) -> Iterator[int]:
-        return chain.from_iterable(map(self.cache.__getitem__, self.pieces.findall(text)))
-
     def encode(self, text: str) -> np.ndarray:
         if self.split_added is None or not self.split_added.search(text):
-            return np.fromiter(self._plain(text), np.int32)
-        out: list[int] = []
-        at = 0
+            return np.frombuffer(self.coder.encode(text), "<i4")
+        out, at = [], 0
         for m in self.split_added.finditer(text):
-            out.extend(self._plain(text[at : m.start()]))
-            out.append(self.added[m[0]])
+            out += [self.coder.encode(text[at : m.start()]), np.array([self.added[m[0]]], "<i4").tobytes()]
             at = m.end()
-        out.extend(self._plain(text[at:]))
-        return np.array(out, np.int32)
+        return np.frombuffer(b"".join([*out, self.coder.encode(text[at:])]), "<i4")
 
     def decode(self, ids: np.ndarray) -> bytes:
         """The bytes of the ids, gathered from one blob by the offset of each token."""
@@ -207,28 +258,27 @@ def _sizes(values: pa.Array) -> np.ndarray:
     return pc.fill_null(count(values), 0).to_numpy(zero_copy_only=False)
 
 
-def _with(df: DataFrame, name: str, kind: T.DataType, run) -> DataFrame:
-    """`df` and a column; one of that name is replaced."""
-    kept = df.drop(name)
-    schema = T.StructType([*kept.schema.fields, T.StructField(name, kind)])
-    wanted = kept.columns
+def _with(df: DataFrame, added: dict[str, T.DataType], run, source: str) -> DataFrame:
+    """`df` and new columns; those of the same names are replaced."""
+    wanted = [c for c in df.columns if c not in added]
+    fields = [df.schema[c] for c in wanted] + [T.StructField(n, k) for n, k in added.items()]
 
     def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in run(batch):
-                rows, made = part
-                yield pa.RecordBatch.from_arrays([*(rows.column(c) for c in wanted), made], names=[*wanted, name])
+            for rows, made in run(batch):
+                yield pa.RecordBatch.from_arrays([*(rows.column(c) for c in wanted), *made], names=[*wanted, *added])
 
-    return df.mapInArrow(mapped, schema)
+    return df.select(*wanted, *([source] if source in added else [])).mapInArrow(lambda b: released(mapped(b)), T.StructType(fields))
 
 
-def encode_texts(df: DataFrame, path: str, text_col: str = "text", into: str = "ids") -> DataFrame:
+def encode_texts(df: DataFrame, path: str, text_col: str = "text", into: str = "ids", decoded: str | None = None) -> DataFrame:
     """Adds the token ids of each whole text as array<int>, as the tokenizers library gives them
-    with no added end tokens, truncation or padding.
+    with no added end tokens, truncation or padding. With ``decoded`` that column gets the text
+    decoded from those ids, in the same pass.
 
     Null texts count as empty and have no ids. Strings of added tokens in a text become those
-    tokens. Columns of any names pass through; one called `into` is replaced. `path` names the
-    vocabulary file, which every executor has to have.
+    tokens. Columns of any names pass through; those called as a new one are replaced. `path` names
+    the vocabulary file, which every executor has to have.
     """
 
     def run(batch):
@@ -236,9 +286,13 @@ def encode_texts(df: DataFrame, path: str, text_col: str = "text", into: str = "
         for rows in slices(batch, text_col):
             found = [v.encode(t) if t else np.empty(0, np.int32) for t in rows.column(text_col).to_pylist()]
             ends = np.cumsum([0, *map(len, found)]).astype(np.int32)
-            yield rows, pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(found)))
+            made = [pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(found)))]
+            if decoded:
+                made.append(pa.array([v.decode(ids).decode("utf-8", "replace") for ids in found], pa.string()))
+            yield rows, made
 
-    return _with(df, into, T.ArrayType(T.IntegerType()), run)
+    added = {into: T.ArrayType(T.IntegerType())} | ({decoded: T.StringType()} if decoded else {})
+    return _with(df, added, run, text_col)
 
 
 def decode_ids(df: DataFrame, path: str, ids_col: str = "ids", into: str = "decoded") -> DataFrame:
@@ -254,9 +308,9 @@ def decode_ids(df: DataFrame, path: str, ids_col: str = "ids", into: str = "deco
             for ids in rows.column(ids_col):
                 known = ids.values.drop_null().to_numpy() if ids.is_valid else np.empty(0, np.int32)
                 texts.append(v.decode(known).decode("utf-8", "replace"))
-            yield rows, pa.array(texts, pa.string())
+            yield rows, [pa.array(texts, pa.string())]
 
-    return _with(df, into, T.StringType(), run)
+    return _with(df, {into: T.StringType()}, run, ids_col)
 
 
 def ids_text(ids: str = "ids"):

@@ -25,6 +25,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from datascout.llm.bpe import slices
 from datascout.llm.jaccard import MIX, needed
+from datascout.llm.stage import released
 
 #: Bytes of item text in one block.
 BLOCK_BYTES = 4_000_000
@@ -146,7 +147,7 @@ def find_contained(
                     yield pa.RecordBatch.from_arrays([ids, *rest], names=names)
 
         arrow = to_arrow_schema(schema).types
-        one = rows.mapInArrow(run, schema)
+        one = rows.mapInArrow(lambda b, run=run: released(run(b)), schema)
         found = one if found is None else found.unionByName(one)
     return found
 
@@ -162,5 +163,5 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, text_col: str = "text",
                 for part in slices(batch, text_col, BATCH_BYTES):
                     yield part.filter(pa.array([not shared.value.contained(t.as_py()) for t in part.column(text_col)], pa.bool_()))
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = docs.mapInArrow(lambda b, run=run: released(run(b)), docs.schema)
     return docs

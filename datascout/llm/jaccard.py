@@ -36,7 +36,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from datascout.llm.bpe import slices
 from datascout.llm.components import components
-from datascout.llm.stage import shuffle_parts, staged
+from datascout.llm.stage import released, shuffle_parts, staged
 
 #: Bytes of text indexed at once in a task; bytes of text for each range of hashes.
 BATCH_BYTES, RANGE_BYTES = 4_000_000, 6_000_000
@@ -373,9 +373,9 @@ def jaccard_components(
     indexed = rows.limit(0).selectExpr(*(f"cast(null as {t}) as {c}" for c, t in (x.split() for x in INDEXED.format(id=kind.simpleString()).split(", ")))).schema
     arrow = to_arrow_schema(indexed)
     counted = staged(
-        rows.mapInArrow(lambda b: _index(b, ranges, width, arrow), indexed)
+        rows.mapInArrow(lambda b: released(_index(b, ranges, width, arrow)), indexed)
         .repartitionById(ranges, F.col("bucket"))
-        .mapInArrow(lambda b: _count(b, arrow), indexed),
+        .mapInArrow(lambda b: released(_count(b, arrow)), indexed),
         "shingles",
     )
     documents = counted.where("head is null").select("doc_id", "class", "n")
@@ -386,18 +386,18 @@ def jaccard_components(
         .select("batch", "ord", "class", "n", "head", "ords")
         .repartition(ranges, "batch")
         .sortWithinPartitions("batch", F.desc(F.col("head").isNull()))
-        .mapInArrow(lambda b: _survive(b, percent, survivor_arrow), survivor)
+        .mapInArrow(lambda b: released(_survive(b, percent, survivor_arrow)), survivor)
     )
     survivors = staged(found.dropDuplicates(["class"]), "survivors")
 
-    postings = survivors.mapInArrow(lambda b: _prefixes(b, percent), "shingle long, node long")
+    postings = survivors.mapInArrow(lambda b: released(_prefixes(b, percent)), "shingle long, node long")
     first = postings.groupBy("shingle").agg(F.min("node").alias("v"), F.count("*").alias("many")).where("many > 1").drop("many")
     stars = postings.join(first, "shingle").where("node != v").select(F.col("node").alias("u"), "v").distinct()
     regions = components(stars)
     node = F.conv(F.hex(F.col("class").substr(1, 8)), 16, -10).cast("long")
     placed = survivors.drop("counts").withColumn("node", node).join(regions, "node")
     dealt = _tasks(staged(placed.drop("node"), "regions"), percent).repartition(ranges, "task").sortWithinPartitions("task", "n", "class")
-    links = components(dealt.mapInArrow(lambda b: _link(b, percent), "u binary, v binary"))
+    links = components(dealt.mapInArrow(lambda b: released(_link(b, percent)), "u binary, v binary"))
 
     linked = documents.join(links.withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))
     least = linked.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("component_id"))

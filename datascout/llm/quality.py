@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from datascout.llm.bpe import slices
+from datascout.llm.stage import released
 
 #: Labelled documents the model is fitted on, and the characters and lines one of them may have.
 SAMPLED_DOCS, SAMPLED_CHARS, SAMPLED_LINES = 3_000, 60_000, 400
@@ -232,4 +233,4 @@ def score_quality(docs: DataFrame, model: Model, text_col: str = "text", into: s
                 scores = pa.array([model.score(t.as_py()) for t in part.column(text_col)], pa.float64())
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), scores], names=[*names, into])
 
-    return kept.mapInArrow(run, schema)
+    return kept.mapInArrow(lambda b: released(run(b)), schema)

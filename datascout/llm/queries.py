@@ -130,8 +130,7 @@ def op9(t: Tables) -> DataFrame:
 @query("op8_bpe")
 def op8(t: Tables) -> DataFrame:
     path = vocabulary_path()
-    encoded = bpe.encode_texts(t("documents").select("doc_id", "text"), path).drop("text")
-    return bpe.decode_ids(encoded, path).select(
+    return bpe.encode_texts(t("documents").select("doc_id", "text"), path, decoded="decoded").select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(bpe.ids_text("ids"), 256).alias("ids_sha256"),

@@ -15,34 +15,36 @@ tables, so a lost executor costs its tasks and nothing else.
 from __future__ import annotations
 
 import functools
+import gc
 import hashlib
 import os
 import zlib
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-import regex
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from datascout.llm.bpe import CACHED_PIECE_CHARS, CACHED_PIECES, PIECES, slices
+from datascout.llm.bpe import PieceCoder, slices
 from datascout.llm.stage import shuffle_parts, staged
 
 #: The dictionary is trained on about so many documents of at most so many characters.
 SAMPLED_DOCS, SAMPLED_CHARS = 2_000, 65_536
 DICTIONARY_BYTES = 64 * 1024
 BLOCK_BYTES = 1 << 20
+#: Pieces handed to the library as one text.
+JOINED_PIECES = 500
 
 
 class Encoder:
     """Ids of texts by the tokenizers library; of each distinct piece once, while it is cached.
 
-    Byte-level BPE never joins across pieces, so the ids of a text are those of its pieces.
+    Byte-level BPE never joins across pieces, so the ids of a text are those of its pieces. A text
+    that holds the string of an added token is handed to the library whole.
     """
 
     def __init__(self, path: str):
@@ -50,36 +52,41 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.pieces = regex.compile(PIECES)
-        added = self.tokenizer.get_added_tokens_decoder()
-        self.marks = [t.content for t in added.values()]
-        self.cache: dict[str, tuple[int, ...]] = {}
-        self.older: dict[str, tuple[int, ...]] = {}
+        self.marks = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.coder = PieceCoder(self._ids)
+        names = (self.tokenizer.id_to_token(i) or "" for i in range(self.tokenizer.get_vocab_size()))
+        self.spaced = np.array([n.startswith("\u0120") for n in names])  # the character for a space
+
+    def _ids(self, text: str) -> list[int]:
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
+
+    def _many(self, pieces: list[str]) -> list[bytes]:
+        """Packed ids of many pieces. Those that begin with a space are coded as one text, which the
+        library cuts into the same pieces again: a token that begins with a space begins a piece."""
+        packed: dict[str, bytes] = {}
+        spaced = [p for p in pieces if p[0] == " " and len(p) > 1 and not p[1].isspace()]
+        for i in range(0, len(spaced), JOINED_PIECES):
+            some = spaced[i : i + JOINED_PIECES]
+            (e,) = self.tokenizer.encode_batch_fast(["".join(some)], add_special_tokens=False)
+            ids = np.array(e.ids, "<i4")
+            firsts = np.flatnonzero(self.spaced[ids]).tolist()
+            if len(firsts) != len(some):
+                raise RuntimeError("pieces were cut otherwise than in their texts")
+            data = ids.tobytes()
+            packed.update((p, data[4 * a : 4 * z]) for p, a, z in zip(some, firsts, [*firsts[1:], len(ids)]))
+        for p in pieces:
+            if p not in packed:
+                packed[p] = np.array(self._ids(p), "<i4").tobytes()
+        return [packed[p] for p in pieces]
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        plain = [not any(m in t for m in self.marks) for t in texts]
-        cut = [self.pieces.findall(t) if p else [] for t, p in zip(texts, plain)]
-        if len(self.cache) >= CACHED_PIECES:  # a full cache becomes the older generation
-            self.cache, self.older = {}, self.cache
-        known = self.cache
-        new = list({w for words in cut for w in words if w not in known})
-        for w in new:
-            if w in self.older:
-                known[w] = self.older[w]
-        new = [w for w in new if w not in known]
-        for i in range(0, len(new), 10_000):
-            some = new[i : i + 10_000]
-            known.update((w, tuple(e.ids)) for w, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False)))
-        out = []
-        for t, p, words in zip(texts, plain, cut):
-            if p:
-                out.append(np.fromiter(chain.from_iterable(map(known.__getitem__, words)), np.uint32))
-            else:
-                out.append(np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, np.uint32))
-        for w in new:
-            if len(w) > CACHED_PIECE_CHARS:
-                del known[w]
-        return out
+        whole = [any(m in t for m in self.marks) for t in texts]
+        gc.disable()  # millions of strings are made, no cycles
+        try:
+            packed = self.coder.encode_many(["" if w else t for t, w in zip(texts, whole)], self._many)
+        finally:
+            gc.enable()
+        return [np.array(self._ids(t), "<u4") if w else np.frombuffer(d, "<u4") for t, w, d in zip(texts, whole, packed)]
 
 
 @functools.lru_cache(maxsize=2)
@@ -260,5 +267,5 @@ def read_tokens(spark: SparkSession, out: str, where: Column | None = None) -> D
 
 def read_document(spark: SparkSession, out: str, doc_id) -> DataFrame:
     """The document of one id: only blocks that span the id are opened, by the statistics of the files."""
-    near = (F.col("first_id") <= doc_id) & (F.col("last_id") >= doc_id)
+    near = (F.col("first_id").isNull() | (F.col("first_id") <= doc_id)) & (F.col("last_id") >= doc_id)
     return read_tokens(spark, out, near).where(F.col("doc_id") == doc_id)

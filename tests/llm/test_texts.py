@@ -74,10 +74,9 @@ def test_encoder_and_decoder_match_the_library(library):
     assert v.decode(np.array(broken)).decode("utf-8", "replace") == library.decode(broken, skip_special_tokens=False)
 
 
-def test_piece_cache_keeps_used_pieces(monkeypatch):
-    monkeypatch.setattr(bpe, "CACHED_PIECES", 2)
+def test_piece_cache_keeps_used_pieces():
     asked = []
-    cache = bpe.PieceCache(lambda p: asked.append(p) or p.encode())
+    cache = bpe.PieceCache(lambda p: asked.append(p) or p.encode(), 2)
     assert [cache[p] for p in ("a", "b", "c", "a", "d", "a")] == [b"a", b"b", b"c", b"a", b"d", b"a"]
     assert asked == ["a", "b", "c", "d"] and len(cache) <= 2
 
@@ -91,6 +90,8 @@ def test_coding_tables(spark, library, monkeypatch):
     for r in found:
         want = library.encode(r.text or "", add_special_tokens=False).ids
         assert r.ids == want and r.decoded == (r.text or "") and r.told == ",".join(map(str, want))
+    both = bpe.encode_texts(docs, PATH, decoded="text").collect()
+    assert sorted((r.text, r.ids) for r in both) == sorted((r.decoded, r.ids) for r in found)
     assert bpe.decode_ids(bpe.encode_texts(docs.limit(0), PATH), PATH).count() == 0
 
 
