@@ -37,6 +37,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from datascout.llm.bpe import slices
 from datascout.llm.components import components
 from datascout.llm.stage import released, shuffle_parts, staged
+from datascout.schema import ident
 
 #: Bytes of text indexed at once in a task; bytes of text for each range of hashes.
 BATCH_BYTES, RANGE_BYTES = 4_000_000, 6_000_000
@@ -353,17 +354,9 @@ def _tasks(sets: DataFrame, percent: int) -> DataFrame:
     return small.select(*wanted).unionByName(cut.select(*wanted))
 
 
-def jaccard_components(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 75
-) -> DataFrame:
-    """One row per row of `docs`: id, n_shingles, component_id (the smallest id that links reach).
-
-    Two documents are linked when 100 * intersection >= percent * union of their sets of `width`-word
-    shingles. A text with fewer words is one shingle; null texts and those without words have an
-    empty set, are linked with nothing and are their own component. Equal rows are linked with each
-    other. Null ids are returned but never name a component that has other ids. Other columns are
-    not read. An empty table gives an empty result.
-    """
+def _placed(docs: DataFrame, id_col: str, text_col: str, width: int, percent: int) -> DataFrame:
+    """One row per row of `docs`: doc_id, class, n, root (the class that names its component; null
+    for the empty set), component_id (the smallest id there)."""
     spark, parts = docs.sparkSession, shuffle_parts(docs)
     kind = docs.schema[id_col].dataType
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
@@ -401,8 +394,22 @@ def jaccard_components(
 
     linked = documents.join(links.withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))
     least = linked.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    return linked.join(least, "root", "left").select(
-        F.col("doc_id").alias(id_col), F.col("n").cast("long").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id")
+    return linked.join(least, "root", "left").select("doc_id", "class", "n", "root", F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def jaccard_components(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 75
+) -> DataFrame:
+    """One row per row of `docs`: id, n_shingles, component_id (the smallest id that links reach).
+
+    Two documents are linked when 100 * intersection >= percent * union of their sets of `width`-word
+    shingles. A text with fewer words is one shingle; null texts and those without words have an
+    empty set, are linked with nothing and are their own component. Equal rows are linked with each
+    other. Null ids are returned but never name a component that has other ids. Other columns are
+    not read. An empty table gives an empty result.
+    """
+    return _placed(docs, id_col, text_col, width, percent).select(
+        F.col("doc_id").alias(id_col), F.col("n").cast("long").alias("n_shingles"), "component_id"
     )
 
 
@@ -411,24 +418,42 @@ SENT_IDS = 500_000
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 75) -> DataFrame:
-    """The rows of `docs`, all columns, without near copies: of each component the smallest id stays.
+    """The rows of `docs`, all columns, without near copies: of each component one row stays, that of
+    the smallest id and, among rows of this id, the smallest text.
 
-    Ids name documents: of rows with one id, the one with the smallest text stays. Documents with
-    null ids cannot be named and stay, as do those without words.
+    Rows are decided one by one: an id may name several texts, and each is kept or left by its own
+    component. Rows with null ids cannot be named and stay, as do those without words.
     """
-    found = staged(jaccard_components(docs, id_col, text_col, width, percent), "components")
-    copies = found.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("copy")).distinct()
-    repeated = found.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("again")).count().where("count > 1").drop("count")
-    copies, repeated = staged(copies, "copies"), staged(repeated, "repeated")
+    found = staged(_placed(docs, id_col, text_col, width, percent), "components").where("doc_id is not null")
+    is_copy = F.col("root").isNotNull() & (F.col("doc_id") != F.col("component_id"))
+    by_id = found.groupBy("doc_id").agg((F.count("*") > 1).alias("again"), F.max(is_copy).alias("copy")).where("again or copy")
+    by_id = staged(by_id, "copies")
+    # An id of one row decides it; the rows of a repeated id are told apart by their classes.
+    copies = by_id.where("not again").select(F.col("doc_id").alias("__copy"))
+    repeated = by_id.where("again").select(F.col("doc_id").alias("__again"))
 
     def sent(ids: DataFrame) -> DataFrame:
         return F.broadcast(ids) if ids.count() <= SENT_IDS else ids
 
-    kept = docs.join(sent(copies), F.col(id_col) == F.col("copy"), "left_anti")
+    kept = docs.join(sent(copies), F.col(id_col) == F.col("__copy"), "left_anti")
     if repeated.isEmpty():
         return kept
-    single = kept.join(sent(repeated), F.col(id_col) == F.col("again"), "left_anti")
-    several = kept.join(sent(repeated), F.col(id_col) == F.col("again"), "left_semi")
-    least = Window.partitionBy(id_col).orderBy(F.asc_nulls_first(text_col))
-    first = several.withColumn("__nth", F.row_number().over(least)).where("__nth = 1").drop("__nth")
-    return single.unionByName(first)
+    ids = sent(repeated)
+    single = kept.join(ids, F.col(id_col) == F.col("__again"), "left_anti")
+    several = docs.join(ids, F.col(id_col) == F.col("__again"), "left_semi")
+    has_words = F.coalesce(F.col(text_col).rlike(r"[^ \t-\r]"), F.lit(False))
+
+    @F.arrow_udf("binary")
+    def class_named(texts: pa.Array) -> pa.Array:
+        return pa.array([class_of(shingle_hashes(words_of(t.as_py()), width)) for t in texts], pa.binary())
+
+    firsts = (
+        found.where(F.col("root").isNotNull() & (F.col("doc_id") == F.col("component_id")))
+        .select(F.col("doc_id").alias("__id"), F.col("class").alias("__of"), F.col("root").alias("__root"))
+        .distinct()
+    )
+    named = several.where(has_words).withColumn("__class", class_named(F.col(text_col)))
+    named = named.join(firsts, (F.col(id_col) == F.col("__id")) & (F.col("__class") == F.col("__of")))
+    least = Window.partitionBy("__root").orderBy(text_col)
+    chosen = named.withColumn("__nth", F.row_number().over(least)).where("__nth = 1").select(*[ident(c) for c in docs.columns])
+    return single.unionByName(several.where(~has_words)).unionByName(chosen)

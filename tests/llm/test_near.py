@@ -91,6 +91,24 @@ def test_one_of_each_group_stays(spark):
     assert jaccard.keep_one(docs.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("sent", [500_000, 0])
+def test_rows_of_one_id_are_decided_one_by_one(spark, monkeypatch, sent):
+    monkeypatch.setattr(jaccard, "SENT_IDS", sent)
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(40)) for x in "abcd")
+    near = {t: t + " more" for t in (a, b, d)}
+    rows = [
+        (5, a), (9, near[a]), (5, b), (3, near[b]),  # one id in two components, in one of them as a copy
+        (5, c), (5, c), (5, c.upper()),  # a text of its own, repeated
+        (7, d), (7, near[d]), (None, d), (8, d),  # both texts of an id in one component
+        (5, None), (5, " \n"), (7, ""), (6, None), (4, "alone"),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"class": F.lit(5), "copy": F.lit(1)}).repartition(3)
+    kept = jaccard.keep_one(docs)
+    assert kept.columns == docs.columns
+    want = [(5, a), (3, near[b]), (5, c.upper()), (7, d), (None, d), (5, None), (5, " \n"), (7, ""), (6, None), (4, "alone")]
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == sorted(want, key=str)
+
+
 @pytest.mark.parametrize("kind", ["long", "string"])
 def test_components(spark, kind):
     rng = random.Random(5)
