@@ -5,13 +5,15 @@ from __future__ import annotations
 import os
 import re
 from collections.abc import Sequence
+from functools import reduce
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from datascout.schema import NA_TOKENS, ident
-from datascout.sources.files import detect_files
+from datascout.sources.files import detect_files, text_lines
 
 #: Names of the detected encodings as Spark's reader knows them.
 CHARSETS = {"utf-8": "UTF-8", "latin-1": "ISO-8859-1"}
@@ -79,16 +81,41 @@ def read_delimited(
     do not, which lets large files be split. With ``schema`` the values are read as those types in
     one scan, missing-value tokens as NULL; otherwise a first scan infers them.
     """
-    options = {"sep": sep, "encoding": encoding, "quote": '"', "escape": '"', "multiLine": multiline}
-    header = spark.read.options(**options, header=True).csv(path)  # reads the first record only
-    names = header.columns
-    texts = T.StructType([T.StructField(c, T.StringType()) for c in [*names, OVERFLOW]])
-    raw = spark.read.options(**options, header=True, enforceSchema=True, mode="PERMISSIVE").schema(texts).csv(path)
+    raw = _raw(spark, path, sep, encoding, multiLine=multiline)
     if schema is not None:
         return _typed(raw.drop(OVERFLOW), schema)
     return infer_types(raw) if infer else raw.drop(OVERFLOW)
 
 
+def _raw(spark: SparkSession, path: str | Sequence[str], sep: str, encoding: str, **more) -> DataFrame:
+    """Delimited text as strings, with OVERFLOW for what exceeds the header."""
+    options = {"sep": sep, "encoding": encoding, "quote": '"', "escape": '"', **more}
+    header = spark.read.options(**options, header=True).csv(path)  # reads the first record only
+    names = header.columns
+    texts = T.StructType([T.StructField(c, T.StringType()) for c in [*names, OVERFLOW]])
+    return spark.read.options(**options, header=True, enforceSchema=True, mode="PERMISSIVE").schema(texts).csv(path)
+
+
+def _read_detected(spark: SparkSession, path: str, sep: str | None, encoding: str | None) -> DataFrame:
+    """Delimited text below ``path``: files of one delimiter, encoding and header line are read
+    together, the columns of all are matched by name, and types are inferred over all rows."""
+    first = F.min_by("value", F.struct("block", "line_id"))
+    headers = text_lines(spark, path).groupBy("path").agg(F.md5(first).alias("header"))
+    plain = spark.read.text(path)
+    listed = {f"file:/{f[8:]}" if f.startswith("file:///") else f for f in plain.inputFiles()}
+    found = detect_files(spark, path).join(headers, "path", "left").orderBy("path").collect()  # one row a file, of those that the driver lists
+    kinds: dict[tuple, list[str]] = {}
+    for r in found:
+        if r["path"] in listed and r["header"] is not None:  # empty files have no rows
+            kinds.setdefault((sep or r["delimiter"], encoding or r["encoding"], r["header"]), []).append(unquote(r["path"]))
+    if len(kinds) <= 1:
+        told = next(iter(kinds), (sep or ",", encoding or "utf-8"))
+        return read_delimited(spark, path, sep=told[0], encoding=CHARSETS.get(told[1], told[1]))
+    base = {"basePath": path} if len(plain.columns) > 1 else {}  # folders named key=value are columns
+    parts = [_raw(spark, paths, s, CHARSETS.get(e, e), multiLine=True, **base) for (s, e, _), paths in kinds.items()]
+    return infer_types(reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts))
+
+
 def _typed(raw: DataFrame, schema: T.StructType | str) -> DataFrame:
     """The columns of ``schema`` by place, values that are no such type as NULL."""
     wanted = T._parse_datatype_string(schema) if isinstance(schema, str) else schema
@@ -182,8 +209,9 @@ def read_table(
 ) -> DataFrame:
     """A table by its extension; ``columns`` are pruned in the scan.
 
-    Delimiter and encoding of delimited text are detected unless given. A folder is read as its
-    first file says.
+    Delimiter and encoding of delimited text are detected for each file of a folder unless given.
+    Columns are then matched by name; where a file has no such column its values are NULL. If both
+    are given, nothing is detected, and the first header holds for all files.
     """
     extension = os.path.splitext(path.rstrip("/"))[1].lower()
     if extension == ".parquet":
@@ -197,7 +225,7 @@ def read_table(
     else:
         tabbed = extension in (".tsv", ".txt")
         if encoding is None or (sep is None and not tabbed):
-            found = detect_files(spark, path).orderBy("path").first()
-            sep, encoding = sep or found["delimiter"], encoding or found["encoding"]
-        df = read_delimited(spark, path, sep="\t" if tabbed else sep, encoding=CHARSETS.get(encoding, encoding))
+            df = _read_detected(spark, path, "\t" if tabbed else sep, encoding)
+        else:
+            df = read_delimited(spark, path, sep="\t" if tabbed else sep, encoding=CHARSETS.get(encoding, encoding))
     return df.select(*[ident(c) for c in columns]) if columns else df

@@ -158,3 +158,20 @@ def test_files_are_inspected_as_detected(spark, tmp_path):
     assert readers.read_table(spark, str(tmp_path / "latin.csv")).first()["x"] == "café"
     bad = inspect_file(spark, write(tmp_path / "bad.csv", "a,b\n1,2,3\n"))
     assert list(bad) == ["file"] and "more fields" in bad["file"].first()["error"]
+
+
+def test_files_of_a_mixed_folder_are_read_each_in_its_own_way(spark, tmp_path):
+    from datascout.plans.flows import inspect_file
+
+    write(tmp_path / "a.csv", "x,n\nplain,1\n")
+    write(tmp_path / "b.csv", "x,n\ncafé,2\n", "latin-1")
+    write(tmp_path / "c d.csv", "n;x\n3;naïve\n")
+    write(tmp_path / "e.csv", "x,n,more\ny,4.5,z\n")
+    write(tmp_path / "f.csv", "")
+    df = readers.read_table(spark, str(tmp_path))
+    assert df.dtypes == [("x", "string"), ("n", "double"), ("more", "string")]
+    assert sorted(map(tuple, df.collect()), key=lambda r: r[1]) == [("plain", 1.0, None), ("café", 2.0, None), ("naïve", 3.0, None), ("y", 4.5, "z")]
+    assert inspect_file(spark, str(tmp_path))["table"].first()["rows"] == 4
+    write(tmp_path / "g.csv", "n;x\n3;a;b\n")
+    with pytest.raises(ValueError, match="more fields"):
+        readers.read_table(spark, str(tmp_path))
