@@ -4,6 +4,9 @@ Paragraphs are classified by sparse multinomial logistic regression on word 1- t
 licence families and an unknown class. It is fitted on varied template notices and on paragraphs of
 the documents themselves; a temperature, fitted on variations kept apart, calibrates its
 probabilities. A family is reported if it is likelier than all else and a template of it agrees.
+Paragraphs with a word of licensing are classified by overlapping windows as well, so that several
+notices in one are told apart. Lines that only name licences (`MIT License`, `License: MIT`, SPDX
+identifiers) are read by rule.
 """
 
 from __future__ import annotations
@@ -61,21 +64,64 @@ NAMES = [*TEMPLATES, "unknown"]
 VARIED, SAMPLED, EPOCHS = 60, 4_000, 200
 LIKELY, AGREED = 0.5, 0.75
 BATCH_BYTES = 4_000_000
+#: Words that make a paragraph worth windows; without a family, it is reported as unknown for one of NOTICE.
+NOTICE = {"license", "licence", "licensed", "licenced", "licenses", "licences", "copyright", "copyrighted", "spdx"}
+SIGNAL = NOTICE | {"permission", "redistribution", "waived", "cc", "cc0", "gpl", "lgpl", "agpl", "mpl", "mit", "bsd", "apache", "mozilla", "gnu", "commons"}
+#: Names of the families, as `_named` reduces them.
+SHORT = {
+    "apache 2": "Apache-2.0", "mit": "MIT", "gpl 3": "GPL-3.0", "gpl 2": "GPL-2.0", "lgpl 3": "LGPL-3.0", "agpl 3": "AGPL-3.0",
+    "bsd 3": "BSD-3-Clause", "3 bsd": "BSD-3-Clause", "mpl 2": "MPL-2.0", "cc by 4": "CC-BY-4.0", "cc by sa 4": "CC-BY-SA-4.0",
+    "cc by nc 4": "CC-BY-NC-4.0", "cc0 1": "CC0-1.0", "cc0": "CC0-1.0",
+}
+LONG = {
+    "gnu lesser general public": "lgpl", "gnu affero general public": "agpl", "gnu general public": "gpl", "mozilla public": "mpl",
+    "creative commons": "cc", "attribution": "by", "sharealike": "sa", "noncommercial": "nc",
+}
+DROPPED = set("the a license licence version v gnu only or later international universal software clause".split())
 WORD = re.compile(r"[a-z0-9]+(?:\.[0-9]+)*")
 FILLER = "this file work project code data text version the is copy of our free new all in document site page".split()
 
 
+def _named(name: str) -> str | None:
+    """The family of a licence's short name, `unknown` for another; None if nothing is named."""
+    name = re.sub(r"\bv\.?\s*(?=[0-9])|(?<=[a-z])v(?=[0-9])", " ", name.lower())
+    words = " ".join(w.removesuffix(".0") for w in WORD.findall(name))
+    for long, short in LONG.items():
+        words = words.replace(long, short)
+    key = " ".join(w for w in words.split() if w not in DROPPED)
+    return SHORT.get(key, "unknown") if key else None
+
+
+def short_forms(line: str) -> list[str]:
+    """Families that a line names which is nothing but a licence's name, a licence field or an SPDX expression."""
+    line = line.strip(" \t#/*;-<>!.%\"'")
+    field = re.match(r"(?:spdx-license-identifier|licen[sc]es?)\s*[:=]\s*(.+)", line, re.IGNORECASE)
+    if not field and (len(line) > 150 or not re.search("licen[sc]e", line, re.IGNORECASE)):
+        return []
+    names = re.sub("[()]", " ", field[1]) if field else re.sub(r"\([^)]*\)", " ", line)
+    names = re.sub(r"\s+with\s+\S+", "", names, flags=re.IGNORECASE)
+    parts = re.split(r"\s+(?:or|and)\s+(?!later)|\s*[/|;&]\s*|,\s*(?![\sv])", names, flags=re.IGNORECASE)
+    found = [f for n in parts if (f := _named(n))]
+    if field and line[:4].lower() != "spdx" and len(WORD.findall(names)) > 14:
+        return []  # a sentence after a colon
+    return found if field or "unknown" not in found else []
+
+
 def paragraphs(text: str | None) -> list[str]:
     """Lines joined up to a blank line or one that ends a sentence."""
+    return [" ".join(lines) for lines in lined_paragraphs(text)]
+
+
+def lined_paragraphs(text: str | None) -> list[list[str]]:
     out, held = [], []
     for line in (text or "").split("\n"):
         line = line.strip()
         if line:
             held.append(line)
         if held and (not line or line[-1] in ".!?:;"):
-            out.append(" ".join(held))
+            out.append(held)
             held = []
-    return [*out, " ".join(held)] if held else out
+    return [*out, held] if held else out
 
 
 def grams(words: list[str]) -> set[str]:
@@ -104,7 +150,7 @@ class Scanner:
         self.heat = 1.0
         self._fit([t for t, p in zip(tokens, part) if not p])
         self._calibrate([t for t, p in zip(tokens, part) if p])
-        self.words = {g for g in self.column if " " not in g}
+        self.spans = sorted({len(WORD.findall(n.lower())) for ns in TEMPLATES.values() for n in ns})
         self.templates = {f: [grams(WORD.findall(n.lower())) for n in ns] for f, ns in TEMPLATES.items()}
 
     def _fit(self, examples) -> None:
@@ -143,23 +189,48 @@ class Scanner:
         self.heat = min((0.25 * 1.15**i for i in range(25)), key=loss)
 
     def classify(self, paragraph: str) -> tuple[str, float, float] | None:
-        """(family or unknown, its probability, agreement of its closest template); None if no word
-        of the paragraph, or too small a share of them, occurs in any notice."""
-        words = WORD.findall(paragraph.lower())
-        if sum(w in self.words for w in words) < 3:
-            return None
+        """(family or unknown, its probability, agreement of its closest template); None if it reads
+        like no notice."""
+        return self._told(WORD.findall(paragraph.lower()))
+
+    def _told(self, words: list[str]) -> tuple[str, float, float] | None:
         found = grams(words)
         z = self.scores(found) / self.heat
         p = np.exp(z - z.max())
         p /= p.sum()
         best = int(p.argmax())
         if best == len(NAMES) - 1:
-            return None
+            return None if NOTICE.isdisjoint(words) else ("unknown", float(p[best]), 0.0)
         agreed = max(len(found & t) / len(t) for t in self.templates[NAMES[best]])
         sure = p[best] >= LIKELY and agreed >= AGREED
         return (NAMES[best] if sure else "unknown"), float(p[best]), float(agreed)
 
 
+    def notices(self, lines: list[str]) -> list[tuple[str, float, float]]:
+        """`classify` for every notice of a paragraph: a row for each family; `unknown` where there is none,
+        or a field names another licence. Names read by rule have probability and agreement 1."""
+        words = WORD.findall(" ".join(lines).lower())
+        whole = self._told(words)
+        if SIGNAL.isdisjoint(words):
+            return [whole] if whole else []
+        best: dict[str, tuple[str, float, float]] = {f: (f, 1.0, 1.0) for line in lines for f in short_forms(line)}
+        named = set(best)
+        marked = np.concatenate(([0], np.cumsum([w in SIGNAL for w in words])))
+        told = [whole]
+        for n in self.spans:  # a window of each width holds any notice of that length whole
+            step = max(1, n // 4)
+            for i in range(0, max(1, len(words) - n + 1), step) if len(words) > n else ():
+                end = min(len(words), i + n + step)
+                if marked[end] > marked[i]:
+                    told.append(self._told(words[i:end]))
+        for t in told:
+            if t and (t[0] not in best or t[1:] > best[t[0]][1:]):
+                best[t[0]] = t
+        if len(best) > 1 and "unknown" not in named:
+            best.pop("unknown", None)
+        return [best[f] for f in sorted(best)]
+
+
 def fit_scanner(docs: DataFrame, text_col: str = "text") -> Scanner:
     """Fits on the templates and at most SAMPLED paragraphs of documents chosen by hash (texts of up to 20,000
     characters) that share no three words in a row with a template."""
@@ -173,8 +244,8 @@ def fit_scanner(docs: DataFrame, text_col: str = "text") -> Scanner:
 
 
 def scan_licenses(docs: DataFrame, scanner: Scanner, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, paragraph, family, probability, agreement) for each paragraph that reads like a licence
-    notice; family is `unknown` where the classifier or the templates are not sure.
+    """(id, paragraph, family, probability, agreement) for each family of each paragraph that reads like a
+    licence notice; family is `unknown` where the classifier or the templates are not sure.
 
     Paragraphs count from 0. Null and empty texts have none. Equal rows are scanned each. Other
     columns are not read.
@@ -197,8 +268,8 @@ def scan_licenses(docs: DataFrame, scanner: Scanner, id_col: str = "doc_id", tex
                 hits = [
                     (i, n, *told)
                     for i, t in enumerate(part.column("text"))
-                    for n, p in enumerate(paragraphs(t.as_py()))
-                    if (told := scanner.classify(p))
+                    for n, lines in enumerate(lined_paragraphs(t.as_py()))
+                    for told in scanner.notices(lines)
                 ]
                 kinds = (pa.int32(), pa.string(), pa.float64(), pa.float64())
                 ids = part.column("id").take(pa.array([h[0] for h in hits], pa.int64()))

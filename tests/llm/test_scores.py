@@ -91,6 +91,22 @@ def test_scan_of_the_documents(spark, scanner):
     assert licenses.scan_licenses(docs.limit(0), scanner).count() == 0
 
 
+def test_short_forms_and_several_notices_of_a_paragraph(spark, scanner):
+    mit, apache = licenses.TEMPLATES["MIT"][0], licenses.TEMPLATES["Apache-2.0"][0]
+    prose = "and then the weather was fine over the hills where we walked all day " * 3
+    texts = {
+        "MIT License": ["MIT"], "The MIT License (MIT)": ["MIT"], "License: MIT": ["MIT"], "# SPDX-License-Identifier: MIT": ["MIT"],
+        "// SPDX-License-Identifier: (MIT OR Apache-2.0)": ["Apache-2.0", "MIT"], "SPDX-License-Identifier: GPL-3.0-or-later": ["GPL-3.0"],
+        "SPDX-License-Identifier: ISC": ["unknown"], "MIT License\nApache License, Version 2.0": ["Apache-2.0", "MIT"],
+        "All rights reserved, copyright by the author.": ["unknown"],
+        f"{mit[:-1]}\n{apache[:-1]}": ["Apache-2.0", "MIT"], f"{prose}{mit} {prose}{apache} {prose}": ["Apache-2.0", "MIT"],
+        prose: [],
+    }
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = licenses.scan_licenses(docs, scanner).collect()
+    assert {t: sorted(r.family for r in found if r.doc_id == i) for i, t in enumerate(texts)} == texts
+
+
 def grams(text, k):
     words = decontaminate.item_words(text)
     return {tuple(words[i : i + k]) for i in range(len(words) - k + 1)}
