@@ -15,7 +15,6 @@ tables, so a lost executor costs its tasks and nothing else.
 from __future__ import annotations
 
 import functools
-import gc
 import hashlib
 import os
 import zlib
@@ -23,14 +22,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from datascout.llm.bpe import PieceCoder, slices
-from datascout.llm.stage import shuffle_parts, staged
+from datascout.llm.bpe import slices
+from datascout.llm.stage import released, shuffle_parts, staged
+from datascout.llm.words import WordCoder, spread
 
 #: The dictionary is trained on about so many documents of at most so many characters.
 SAMPLED_DOCS, SAMPLED_CHARS = 2_000, 65_536
@@ -52,41 +53,49 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.size = self.tokenizer.get_vocab_size()
         self.marks = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.coder = PieceCoder(self._ids)
-        names = (self.tokenizer.id_to_token(i) or "" for i in range(self.tokenizer.get_vocab_size()))
+        self.coder = WordCoder(self._many)
+        names = (self.tokenizer.id_to_token(i) or "" for i in range(self.size))
         self.spaced = np.array([n.startswith("\u0120") for n in names])  # the character for a space
 
     def _ids(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
-    def _many(self, pieces: list[str]) -> list[bytes]:
-        """Packed ids of many pieces. Those that begin with a space are coded as one text, which the
-        library cuts into the same pieces again: a token that begins with a space begins a piece."""
-        packed: dict[str, bytes] = {}
-        spaced = [p for p in pieces if p[0] == " " and len(p) > 1 and not p[1].isspace()]
-        for i in range(0, len(spaced), JOINED_PIECES):
-            some = spaced[i : i + JOINED_PIECES]
-            (e,) = self.tokenizer.encode_batch_fast(["".join(some)], add_special_tokens=False)
+    def _many(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all pieces, how many each has). Those that begin with a space are coded as one text, which
+        the library cuts into the same pieces again: a token that begins with a space begins a piece."""
+        joined = [i for i, p in enumerate(pieces) if p[0] == " " and len(p) > 1 and not p[1].isspace()]
+        coded, lengths, order = [], [], []
+        for k in range(0, len(joined), JOINED_PIECES):
+            some = joined[k : k + JOINED_PIECES]
+            (e,) = self.tokenizer.encode_batch_fast(["".join([pieces[i] for i in some])], add_special_tokens=False)
             ids = np.array(e.ids, "<i4")
-            firsts = np.flatnonzero(self.spaced[ids]).tolist()
-            if len(firsts) != len(some):
-                raise RuntimeError("pieces were cut otherwise than in their texts")
-            data = ids.tobytes()
-            packed.update((p, data[4 * a : 4 * z]) for p, a, z in zip(some, firsts, [*firsts[1:], len(ids)]))
-        for p in pieces:
-            if p not in packed:
-                packed[p] = np.array(self._ids(p), "<i4").tobytes()
-        return [packed[p] for p in pieces]
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        whole = [any(m in t for m in self.marks) for t in texts]
-        gc.disable()  # millions of strings are made, no cycles
-        try:
-            packed = self.coder.encode_many(["" if w else t for t, w in zip(texts, whole)], self._many)
-        finally:
-            gc.enable()
-        return [np.array(self._ids(t), "<u4") if w else np.frombuffer(d, "<u4") for t, w, d in zip(texts, whole, packed)]
+            firsts = np.flatnonzero(self.spaced[ids])
+            if len(firsts) == len(some):  # else the library's tables of characters differ here
+                coded.append(ids)
+                lengths.append(np.diff(np.append(firsts, len(ids))))
+                order += some
+        done = set(order)
+        others = [i for i in range(len(pieces)) if i not in done]
+        alone = [e.ids for e in self.tokenizer.encode_batch_fast([pieces[i] for i in others], add_special_tokens=False)]
+        ids = np.concatenate([*coded, np.array([i for x in alone for i in x], "<i4")])
+        n = np.concatenate([*lengths, np.array([len(x) for x in alone], np.int64)])
+        back = np.argsort(np.array([*order, *others], np.int64))
+        return ids[spread(np.cumsum(n) - n, n, back)], n[back]
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, their ends); null texts have none."""
+        whole = np.zeros(len(texts), bool)
+        for mark in self.marks:
+            whole |= pc.fill_null(pc.match_substring(texts, mark), False).to_numpy(zero_copy_only=False)
+        if not whole.any():
+            return self.coder.encode(texts)
+        ids, ends = self.coder.encode(pc.if_else(pa.array(whole), pa.scalar(None, texts.type), texts))
+        parts = np.split(ids, ends[:-1])
+        for i in np.flatnonzero(whole):
+            parts[i] = np.array(self._ids(texts[int(i)].as_py()), "<i4")
+        return np.concatenate(parts), np.cumsum([len(x) for x in parts])
 
 
 @functools.lru_cache(maxsize=2)
@@ -99,6 +108,11 @@ def _dictionary(data: bytes) -> zstandard.ZstdCompressionDict | None:
     return zstandard.ZstdCompressionDict(data) if data else None
 
 
+def ended(ids: np.ndarray, ends: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+    """The ids with an end id after each text."""
+    return np.insert(ids, ends, end_id), ends + np.arange(1, len(ends) + 1)
+
+
 def _kind(width: int) -> str:
     return "<u2" if width == 2 else "<u4"
 
@@ -113,8 +127,9 @@ def train_dictionary(docs: DataFrame, path: str, text_col: str, width: int) -> b
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
-                found = encoder(path).encode(part.column("text").to_pylist())
-                yield pa.RecordBatch.from_arrays([pa.array([i.astype(_kind(width)).tobytes() for i in found], pa.binary())], ["ids"])
+                ids, ends = encoder(path).encode(part.column("text"))
+                raw = [i.astype(_kind(width)).tobytes() for i in np.split(ids, ends[:-1])]
+                yield pa.RecordBatch.from_arrays([pa.array(raw, pa.binary())], ["ids"])
 
     samples = [bytes(r[0]) for r in rows.mapInArrow(run, "ids binary").collect()]
     if len(samples) < 100:
@@ -125,9 +140,7 @@ def train_dictionary(docs: DataFrame, path: str, text_col: str, width: int) -> b
         return b""
 
 
-def write_tokens(
-    docs: DataFrame, out: str, path: str, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", vocabulary_size: int = 50_257
-) -> None:
+def write_tokens(docs: DataFrame, out: str, path: str, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> None:
     """Encodes every whole text (null: empty), appends `end_id` and writes the tables below `out`.
 
     Documents are in ascending order of `id_col`, nulls first; of equal ids, by the checksum of
@@ -135,7 +148,7 @@ def write_tokens(
     tables without blocks.
     """
     spark = docs.sparkSession
-    width = 2 if vocabulary_size <= 1 << 16 else 4
+    width = 2 if max(encoder(path).size, end_id + 1) <= 1 << 16 else 4
     trained = train_dictionary(docs, path, text_col, width)
     digest = hashlib.sha256(trained).hexdigest()
     kind = docs.schema[id_col].dataType
@@ -146,8 +159,9 @@ def write_tokens(
         packer = zstandard.ZstdCompressor(level=3, dict_data=_dictionary(trained))
         for batch in batches:
             for part in slices(batch, "text"):
-                found = encoder(path).encode([t or "" for t in part.column("text").to_pylist()])
-                raw = [np.append(i, end_id).astype(_kind(width)).tobytes() for i in found]
+                ids, ends = ended(*encoder(path).encode(part.column("text")), end_id)
+                data, cuts = ids.astype(_kind(width)).tobytes(), [0, *(width * ends).tolist()]
+                raw = [data[a:z] for a, z in zip(cuts, cuts[1:])]
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column("id"),
@@ -161,7 +175,7 @@ def write_tokens(
     framed = T.StructType(
         [T.StructField("id", kind), T.StructField("tie", T.LongType()), T.StructField("n", T.LongType()), T.StructField("frame", T.BinaryType())]
     )
-    rows = staged(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(frames, framed), "frames")
+    rows = staged(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(lambda b: released(frames(b)), framed), "frames")
     ordered = rows.repartitionByRange(shuffle_parts(docs), F.asc_nulls_first("id"), "tie").sortWithinPartitions(
         F.asc_nulls_first("id"), "tie"
     )
