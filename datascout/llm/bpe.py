@@ -4,7 +4,7 @@ Encoding a piece of text takes the longest vocabulary token that starts at each
 Aho-Corasick pass) and checks it against its left neighbour: two tokens may stand side by side only
 if the merges would not have joined anything across their border. Where no token fits, the encoder
 steps back and marks the place as dead, so each place is tried once: time linear in the piece.
-Pieces are encoded once per worker while they stay in a bounded cache.
+Pieces are encoded once per worker while they stay in a bounded table.
 """
 
 from __future__ import annotations
@@ -16,26 +16,27 @@ from collections.abc import Iterator
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from datascout.llm.stage import released
+from datascout.llm.words import WordCoder
 
-#: The public pattern of byte-level BPE that cuts a text into pieces: a fixed value.
-PIECES = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Where a space is no border: white space before it, and white space or the end after it.
-RUN = regex.compile(r"\s (?:\s|$)")
-#: Entries of a worker's caches; long pieces are not kept. The encoder here keeps fewer: it codes a
-#: piece about as fast as the library does, and its own tables take memory.
-CACHED_PIECES, OWN_PIECES, CACHED_PIECE_CHARS, CACHED_PAIRS = 300_000, 120_000, 48, 250_000
+#: Pairs of tokens whose border a worker has looked at and keeps.
+CACHED_PAIRS = 250_000
 #: Characters of text handled at once in a task.
 BATCH_CHARS = 2_000_000
 #: Ids decoded at once.
 DECODED_IDS = 1 << 20
 
 
+#: A character that is in no token: tokens are matched as the characters of their bytes.
+SEPARATOR = chr(256)
+
+
 def byte_alphabet() -> dict[str, int]:
     """The characters that stand for bytes in vocabulary files: printable bytes for themselves,
     the others, in order, for the characters from 256."""
@@ -44,79 +45,6 @@ def byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in printable} | {chr(256 + i): b for i, b in enumerate(others)}
 
 
-class PieceCache(dict):
-    """Packed ids of pieces. A full cache becomes the older generation, from which used pieces return."""
-
-    def __init__(self, make, most: int | None = None):
-        super().__init__()
-        self.make, self.older, self.most = make, {}, most or CACHED_PIECES
-
-    def __missing__(self, piece: str) -> bytes:
-        found = self.older.get(piece)
-        if found is None:
-            found = self.make(piece)
-        self.keep(piece, found)
-        return found
-
-    def keep(self, piece: str, found: bytes) -> None:
-        if len(piece) <= CACHED_PIECE_CHARS:
-            if len(self) >= self.most:
-                self.older = dict(self)
-                self.clear()
-            self[piece] = found
-
-    def unknown(self, pieces: set[str]) -> list[str]:
-        return [p for p in pieces if p not in self and p not in self.older]
-
-
-class PieceCoder:
-    """Ids of texts from the ids of their pieces, as little-endian 32-bit integers.
-
-    A text is cut at its spaces first, which is cheap: a piece holds a space only at its start or in
-    a run of white space, so what lies between two spaces is coded alike wherever it occurs.
-    """
-
-    def __init__(self, encode_piece, most: int | None = None):
-        self.pieces = PieceCache(lambda piece: np.array(encode_piece(piece), "<i4").tobytes(), most)
-        self.words = PieceCache(lambda word: self._cut(" " + word), most)
-        self.find = regex.compile(PIECES).findall
-
-    def _cut(self, text: str) -> bytes:
-        return b"".join(map(self.pieces.__getitem__, self.find(text)))
-
-    def encode_many(self, texts: list[str], encode_pieces) -> list[bytes]:
-        """As `encode`, but the pieces of all texts that are not known yet are coded together."""
-        known = self.words.get
-        cut = [None if RUN.search(text) else text.split(" ") for text in texts]
-        coded = [None if ws is None else list(map(known, ws)) for ws in cut]
-        absent: set[str] = set()
-        for ws, found in zip(cut, coded):
-            if found and None in found:
-                absent.update(w for w, f in zip(ws, found) if f is None)
-        pieces = {w: self.find(" " + w) for w in self.words.unknown(absent)}
-        new = self.pieces.unknown({p for ps in pieces.values() for p in ps})
-        for piece, packed in zip(new, encode_pieces(new)):
-            self.pieces.keep(piece, packed)
-        for word, ps in pieces.items():
-            self.words.keep(word, b"".join(map(self.pieces.__getitem__, ps)))
-        out = []
-        for text, ws, found in zip(texts, cut, coded):
-            if ws is None:
-                out.append(self._cut(text))
-                continue
-            if None in found:
-                found = [self.words[w] if f is None else f for w, f in zip(ws, found)]
-            found[0] = self._cut(ws[0])  # the first word has no space before it
-            out.append(b"".join(found))
-        return out
-
-    def encode(self, text: str) -> bytes:
-        if RUN.search(text):
-            return self._cut(text)
-        first, *words = text.split(" ")
-        return self._cut(first) + b"".join(map(self.words.__getitem__, words))
-
-
 class Vocabulary:
     """Tables of one vocabulary file of the tokenizers library (model BPE, byte level)."""
 
@@ -156,8 +84,14 @@ class Vocabulary:
         self.lengths = np.array([len(b) for b in self.bytes], np.int64)
         self.offsets = np.concatenate(([0], np.cumsum(self.lengths)))
         self.blob = np.frombuffer(b"".join(self.bytes), np.uint8)
+        # Of each token, the longest other token that begins it.
+        own = {b: i for i, b in enumerate(self.bytes) if b and i not in added.values()}
+        self.shorter = [-1] * size
+        for token, i in own.items():
+            self.shorter[i] = next((own[token[:k]] for k in range(len(token) - 1, 0, -1) if token[:k] in own), -1)
+        self.sizes = self.lengths.tolist()
         self.compatible: dict[tuple[int, int], bool] = {}
-        self.coder = PieceCoder(self.encode_piece, OWN_PIECES)
+        self.coder = WordCoder(self.encode_pieces)
 
     def fits(self, left: int, right: int) -> bool:
         """Whether the merges leave the border between two tokens alone.
@@ -186,46 +120,77 @@ class Vocabulary:
             self.compatible[key] = found
         return found
 
-    def encode_piece(self, piece: str) -> tuple[int, ...]:
-        text = piece.encode().decode("latin-1")
-        n = len(text)
-        starting: list[list[tuple[int, int]]] = [[] for _ in range(n)]
-        for last, match in self.automaton.iter(text):
-            starting[last + 1 - match[0]].append(match)  # shorter ones first
+    def encode_pieces(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all pieces, how many each has); one run of the automaton finds the tokens of all."""
+        raw = [p.encode().decode("latin-1") for p in pieces]
+        text = SEPARATOR.join(raw)
+        longest = [0] * len(text)
+        for last, (length, token) in self.automaton.iter(text):
+            longest[last + 1 - length] = token  # a later end is a longer token
         out: list[int] = []
-        choices: list[int] = []
-        dead = bytearray(n + 1)
-        at, choice = 0, len(starting[0]) - 1
-        while at < n:
-            while choice >= 0:
-                length, token = starting[at][choice]
-                if not dead[at + length] and (not out or self.fits(out[-1], token)):
-                    break
-                choice -= 1
-            if choice >= 0:
+        counts, at = [], 0
+        for piece in raw:
+            found = self._piece(longest, at, at + len(piece))
+            out += found
+            counts.append(len(found))
+            at += len(piece) + 1
+        return np.array(out, "<i4"), np.array(counts, np.int64)
+
+    def _piece(self, longest: list[int], start: int, end: int) -> list[int]:
+        sizes, shorter, compatible = self.sizes, self.shorter, self.compatible
+        token, at = longest[start], start
+        if sizes[token] == end - start:
+            return [token]
+        out: list[int] = []
+        dead: set[int] = set()
+        while at < end:
+            while token >= 0:
+                if at + sizes[token] not in dead:
+                    if not out:
+                        break
+                    fits = compatible.get((out[-1], token))
+                    if self.fits(out[-1], token) if fits is None else fits:
+                        break
+                token = shorter[token]
+            if token >= 0:
                 out.append(token)
-                choices.append(choice)
-                at += length
-                choice = len(starting[at]) - 1 if at < n else 0
+                at += sizes[token]
+                token = longest[at] if at < end else 0
             else:
-                dead[at] = 1
-                at -= len(self.bytes[out.pop()])
-                choice = choices.pop() - 1
-        return tuple(out)
-
-    def encode(self, text: str) -> np.ndarray:
-        if self.split_added is None or not self.split_added.search(text):
-            return np.frombuffer(self.coder.encode(text), "<i4")
-        out, at = [], 0
-        for m in self.split_added.finditer(text):
-            out += [self.coder.encode(text[at : m.start()]), np.array([self.added[m[0]]], "<i4").tobytes()]
-            at = m.end()
-        return np.frombuffer(b"".join([*out, self.coder.encode(text[at:])]), "<i4")
+                dead.add(at)
+                token = out.pop()
+                at -= sizes[token]
+                token = shorter[token]
+        return out
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, their ends); null texts have none."""
+        texts = pc.fill_null(texts, "")
+        marked = np.zeros(len(texts), bool)
+        for mark in self.added:
+            marked |= pc.match_substring(texts, mark).to_numpy(zero_copy_only=False)
+        if not marked.any():
+            return self.coder.encode(texts)
+        ids, ends = self.coder.encode(pc.if_else(pa.array(marked), pa.scalar("", texts.type), texts))
+        parts = np.split(ids, ends[:-1])
+        for i in np.flatnonzero(marked):
+            text, found, at = texts[int(i)].as_py(), [], 0
+            for m in self.split_added.finditer(text):
+                found += [self.coder.encode(pa.array([text[at : m.start()]]))[0], [self.added[m[0]]]]
+                at = m.end()
+            parts[i] = np.concatenate([*found, self.coder.encode(pa.array([text[at:]]))[0]]).astype("<i4")
+        return np.concatenate(parts), np.cumsum([len(x) for x in parts])
 
     def decode(self, ids: np.ndarray) -> bytes:
         """The bytes of the ids, gathered from one blob by the offset of each token."""
         return b"".join(self._gather(ids[i : i + DECODED_IDS]) for i in range(0, len(ids), DECODED_IDS))
 
+    def texts(self, ids: np.ndarray, ends: np.ndarray) -> list[str]:
+        """The texts of consecutive ids that end at `ends`."""
+        data = self.decode(ids)
+        cuts = np.concatenate(([0], np.cumsum(self.lengths[ids])))[np.concatenate(([0], ends))].tolist()
+        return [data[a:z].decode("utf-8", "replace") for a, z in zip(cuts, cuts[1:])]
+
     def _gather(self, ids: np.ndarray) -> bytes:
         lengths = self.lengths[ids]
         ends = np.cumsum(lengths)
@@ -252,15 +217,14 @@ def slices(batch: pa.RecordBatch, column: str, most: int = BATCH_CHARS) -> Itera
 
 
 def _sizes(values: pa.Array) -> np.ndarray:
-    import pyarrow.compute as pc
-
     count = pc.list_value_length if pa.types.is_list(values.type) else pc.binary_length
     return pc.fill_null(count(values), 0).to_numpy(zero_copy_only=False)
 
 
 def _with(df: DataFrame, added: dict[str, T.DataType], run, source: str) -> DataFrame:
     """`df` and new columns; those of the same names are replaced."""
-    wanted = [c for c in df.columns if c not in added]
+    made = {n.lower() for n in added}
+    wanted = [c for c in df.columns if c.lower() not in made]
     fields = [df.schema[c] for c in wanted] + [T.StructField(n, k) for n, k in added.items()]
 
     def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -268,7 +232,7 @@ def _with(df: DataFrame, added: dict[str, T.DataType], run, source: str) -> Data
             for rows, made in run(batch):
                 yield pa.RecordBatch.from_arrays([*(rows.column(c) for c in wanted), *made], names=[*wanted, *added])
 
-    return df.select(*wanted, *([source] if source in added else [])).mapInArrow(lambda b: released(mapped(b)), T.StructType(fields))
+    return df.select(*wanted, *([source] if source.lower() in made else [])).mapInArrow(lambda b: released(mapped(b)), T.StructType(fields))
 
 
 def encode_texts(df: DataFrame, path: str, text_col: str = "text", into: str = "ids", decoded: str | None = None) -> DataFrame:
@@ -284,11 +248,10 @@ def encode_texts(df: DataFrame, path: str, text_col: str = "text", into: str = "
     def run(batch):
         v = vocabulary(path)
         for rows in slices(batch, text_col):
-            found = [v.encode(t) if t else np.empty(0, np.int32) for t in rows.column(text_col).to_pylist()]
-            ends = np.cumsum([0, *map(len, found)]).astype(np.int32)
-            made = [pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(found)))]
+            ids, ends = v.encode(rows.column(text_col))
+            made = [pa.ListArray.from_arrays(pa.array(np.concatenate(([0], ends)).astype(np.int32)), pa.array(ids))]
             if decoded:
-                made.append(pa.array([v.decode(ids).decode("utf-8", "replace") for ids in found], pa.string()))
+                made.append(pa.array(v.texts(ids, ends), pa.string()))
             yield rows, made
 
     added = {into: T.ArrayType(T.IntegerType())} | ({decoded: T.StringType()} if decoded else {})

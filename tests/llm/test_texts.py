@@ -4,12 +4,13 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from datascout import runtime
-from datascout.llm import bpe, chat, tokens
+from datascout.llm import bpe, chat, tokens, words
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 ODD = [
@@ -66,19 +67,39 @@ def test_encoder_and_decoder_match_the_library(library):
     rng = np.random.default_rng(0)
     pieces = [b.decode("utf-8", "ignore") for b in v.bytes]
     texts = [t for t in ODD if t] + ["".join(rng.choice(pieces, 9)) for _ in range(300)] + ["".join(rng.choice(list("  \u00a0aAbe-=\t\n$é0'"), rng.integers(1, 50))) for _ in range(3000)]
-    for t in texts:
+    texts += ["<|endoftext|>", "a<|endoftext|> b", " ", "  ", "   ", " \n", "x \n y", "\n x", "a\u2003 b", "a \x1c b"]
+    ids, ends = v.encode(pa.array([*texts, None]))
+    coded = [x.tolist() for x in np.split(ids, ends[:-1])]
+    again, stops = tokens.Encoder(PATH).encode(pa.array([*texts, None]))
+    assert again.tolist() == ids.tolist() and stops.tolist() == ends.tolist() and coded[-1] == []
+    for t, found in zip(texts, coded):
         ids = library.encode(t, add_special_tokens=False).ids
-        assert v.encode(t).tolist() == ids
+        assert found == ids
         assert v.decode(np.array(ids, np.int32)).decode("utf-8", "replace") == library.decode(ids, skip_special_tokens=False) == t
     broken = [library.encode("é", add_special_tokens=False).ids[0], 447, 222, 64]
     assert v.decode(np.array(broken)).decode("utf-8", "replace") == library.decode(broken, skip_special_tokens=False)
 
 
-def test_piece_cache_keeps_used_pieces():
+def test_every_code_point_is_coded_as_by_the_library(library):
+    texts = [chr(c) + "a " + chr(c) + " b" + chr(c) for c in range(0x20000) if not 0xD800 <= c < 0xE000]
+    for coder in (bpe.Vocabulary(PATH), tokens.Encoder(PATH)):
+        ids, ends = coder.encode(pa.array(texts))
+        want = [e.ids for e in library.encode_batch_fast(texts, add_special_tokens=False)]
+        assert ids.tolist() == [i for x in want for i in x] and ends.tolist() == np.cumsum([len(x) for x in want]).tolist()
+
+
+def test_a_full_table_keeps_what_was_used():
     asked = []
-    cache = bpe.PieceCache(lambda p: asked.append(p) or p.encode(), 2)
-    assert [cache[p] for p in ("a", "b", "c", "a", "d", "a")] == [b"a", b"b", b"c", b"a", b"d", b"a"]
-    assert asked == ["a", "b", "c", "d"] and len(cache) <= 2
+
+    def encode(new):
+        asked.extend(new.to_pylist())
+        return np.array([int(x) for x in new.to_pylist()], "<i4"), np.ones(len(new), np.int64)
+
+    table = words.Coded()
+    for batch in (["1", "2"], ["2", "3"], ["2", "3"], ["1"]):
+        table, at = table.with_all(pa.array(batch, pa.large_string()), encode, 2)
+        assert table.gather(at).tolist() == [int(x) for x in batch]
+    assert asked == ["1", "2", "3", "1"]
 
 
 def test_coding_tables(spark, library, monkeypatch):
