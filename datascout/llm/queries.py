@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from datascout.llm import ann, archive, bpe, chat, decontaminate, jaccard, licenses, quality, stage, tokens, urls
+from datascout.llm import ann, archive, bpe, chat, decontaminate, jaccard, licenses, packing, quality, stage, tokens, urls
 from datascout.plans.registry import Tables, query
 from datascout.runtime import scratch_path
 
@@ -185,3 +185,8 @@ def op3(t: Tables) -> DataFrame:
 )
 def op4(t: Tables) -> DataFrame:
     return decontaminate.find_contained(t("documents"), t("benchmark"))
+
+
+@query("op11_packing")
+def op11(t: Tables) -> DataFrame:
+    return packing.pack_documents(t("documents"), vocabulary_path())

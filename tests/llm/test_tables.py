@@ -59,4 +59,4 @@ def test_pipeline(spark, docs, ids):
 
 
 def test_each_operator_has_its_query():
-    assert {f"op{n}" for n in range(1, 11)} == {q.split("_")[0] for q in QUERIES if q.startswith("op")} and queries
+    assert {f"op{n}" for n in range(1, 14)} == {q.split("_")[0] for q in QUERIES if q.startswith("op")} and queries
