@@ -4,8 +4,9 @@ Every document is a demand vector (tokens, 1 segment, loss-bearing tokens), ever
 what is left of its limits. The next document of a sequence is, of those that fit whole, the one with
 the greatest dot product of demand and remainder, each dimension weighted by its mean demand: where a
 limit is scarce, documents that spend little of it come first. When none fits whole, a part of the
-document with the greatest product fills the sequence up and its rest goes on as a document. What a
-task has left at its end is cut into sequences of powers of two, which need no padding.
+document with the greatest product fills the sequence up and its rest goes on as a document. Whole
+sequences are cut off the front of longer documents first. A sequence that a limit closes early, and what a
+task has left at its end, is cut into sequences of powers of two, which need no padding.
 
 A task packs its own partition over a pool of bounded size; nothing is shuffled. Sequence ids follow
 from the number of sequences of each partition.
@@ -47,32 +48,42 @@ class Limits:
 
 class Packer:
     """Deals spans of documents to sequences. `place(key, start, length, sequence, offset)` is called
-    for each piece; sequences count from 0."""
-
-    def __init__(self, limits: Limits, place, pool: int = POOL):
-        self.limits, self.place, self.most = limits, place, pool
-        self.room = np.array([limits.tokens, limits.segments, limits.loss], np.int64)
-        # Of the waiting documents: the demand vectors, and where in its document each goes on.
-        self.demand = np.zeros((pool, 3), np.int64)
+    for each piece, of one sequence after the other; sequences count from 0. `fill(key, start)` is
+    called for each part of a document that is a sequence of its own."""
+
+    def __init__(self, limits: Limits, place, fill, pool: int = POOL):
+        self.limits, self.place, self.fill, self.most = limits, place, fill, pool
+        # Of the waiting documents: tokens and loss-bearing tokens still to place, the place in the
+        # document where they begin, the key, the loss counts.
+        self.tokens, self.loss, self.starts = (np.zeros(pool, np.int64) for _ in range(3))
         self.keys: list = [None] * pool
-        self.starts = np.zeros(pool, np.int64)
-        self.loss: list[np.ndarray | None] = [None] * pool
-        self.waiting = 0
-        self.total, self.seen = np.zeros(3), 0
-        self.left, self.offset, self.sequence = self.room.copy(), 0, 0
+        self.before: list[np.ndarray | None] = [None] * pool
+        self.waiting, self.seen, self.all_tokens, self.all_loss = 0, 0, 0, 0
+        self.sequence = 0
+        self._open()
+
+    def _open(self) -> None:
+        self.offset, self.left = 0, self.limits.tokens
+        self.left_segments, self.left_loss = self.limits.segments, self.limits.loss
 
     def add(self, key, length: int, loss_before: np.ndarray | None = None) -> None:
         """A document of `length` tokens. `loss_before[i]` counts its loss-bearing tokens before token
         i (length + 1 numbers); without it, every token bears loss."""
-        if not length:
+        start, whole = 0, self.limits.tokens
+        while length - start >= whole and (whole if loss_before is None else loss_before[start + whole] - loss_before[start]) <= self.limits.loss:
+            self.fill(key, start)
+            start += whole
+        if start == length:
             return
         if self.waiting == self.most:
             self._one()
         i, self.waiting = self.waiting, self.waiting + 1
-        self.keys[i], self.starts[i], self.loss[i] = key, 0, loss_before
-        self.demand[i] = length, 1, length if loss_before is None else loss_before[-1]
-        self.total += self.demand[i]
+        self.keys[i], self.starts[i], self.before[i] = key, start, loss_before
+        self.tokens[i] = length - start
+        self.loss[i] = length - start if loss_before is None else loss_before[-1] - loss_before[start]
         self.seen += 1
+        self.all_tokens += int(self.tokens[i])
+        self.all_loss += int(self.loss[i])
 
     def finish(self) -> None:
         while self.waiting:
@@ -83,15 +94,17 @@ class Packer:
         """Places documents until one of those that wait is done with."""
         before = self.waiting
         while self.waiting == before:
-            n = self.waiting
-            demand = self.demand[:n]
-            # Limits are made comparable by the mean demand of the documents seen so far.
-            worth = demand @ (self.left * np.where(self.total > 0, self.seen / np.maximum(self.total, 1), 0) ** 2)
-            fits = (demand <= self.left).all(axis=1)
-            if fits.any():
-                best = int(np.where(fits, worth, -1.0).argmax())
-                self._put(best, int(demand[best, 0]))
-                continue
+            tokens, loss = self.tokens[:before], self.loss[:before]
+            # The demands of one document in units of the mean demand, times what is left in the same units;
+            # every document asks for one segment.
+            mean_tokens, mean_loss = self.all_tokens / self.seen, max(self.all_loss / self.seen, 1e-9)
+            worth = tokens * (self.left / mean_tokens**2) + loss * (self.left_loss / mean_loss**2) + self.left_segments
+            if self.left_segments:
+                fits = (tokens <= self.left) & (loss <= self.left_loss)
+                best = int((worth * fits).argmax())
+                if fits[best]:
+                    self._put(best, int(tokens[best]))
+                    continue
             best = int(worth.argmax())
             length = self._part(best)
             if length:
@@ -103,39 +116,41 @@ class Packer:
 
     def _part(self, i: int) -> int:
         """Tokens of document i that still fit the open sequence."""
-        if not self.left[1]:
+        if not self.left_segments:
             return 0
-        length = int(min(self.demand[i, 0], self.left[0]))
-        before = self.loss[i]
+        length = int(min(self.tokens[i], self.left))
+        before = self.before[i]
         if before is None:
-            return int(min(length, self.left[2]))
+            return min(length, self.left_loss)
         start = int(self.starts[i])
-        most = int(np.searchsorted(before, before[start] + self.left[2], "right")) - 1 - start
+        most = int(np.searchsorted(before, before[start] + self.left_loss, "right")) - 1 - start
         return min(length, most)
 
     def _put(self, i: int, length: int) -> None:
-        start, before = int(self.starts[i]), self.loss[i]
+        start, before = int(self.starts[i]), self.before[i]
         spent = length if before is None else int(before[start + length] - before[start])
         self.place(self.keys[i], start, length, self.sequence, self.offset)
-        self.left -= (length, 1, spent)
+        self.left -= length
+        self.left_segments -= 1
+        self.left_loss -= spent
         self.offset += length
-        if length < self.demand[i, 0]:
+        if length < self.tokens[i]:
             self.starts[i] += length
-            self.demand[i, 0] -= length
-            self.demand[i, 2] -= spent
+            self.tokens[i] -= length
+            self.loss[i] -= spent
         else:
             self.waiting -= 1
             last = self.waiting
-            self.keys[i], self.starts[i], self.loss[i] = self.keys[last], self.starts[last], self.loss[last]
-            self.demand[i] = self.demand[last]
-            self.keys[last] = self.loss[last] = None
-        if not self.left[0]:
+            self.keys[i], self.before[i] = self.keys[last], self.before[last]
+            self.starts[i], self.tokens[i], self.loss[i] = self.starts[last], self.tokens[last], self.loss[last]
+            self.keys[last] = self.before[last] = None
+        if not self.left:
             self._close()
 
     def _close(self) -> None:
         if self.offset:
             self.sequence += 1
-            self.left, self.offset = self.room.copy(), 0
+            self._open()
 
 
 def in_powers(pieces: list[tuple], sequence: int, tokens: int) -> Iterator[tuple]:
@@ -181,7 +196,7 @@ def pack_documents(
         held: dict[int, tuple] = {}  # documents with pieces to place: id, ids, tokens not placed yet
         done: list[tuple] = []
         open_pieces: list[tuple] = []
-        state = {"open": 0, "shift": 0}
+        state = {"open": 0, "next": 0}  # the packer's number of the open sequence, the next number given
 
         def emit(key, start, length, sequence, offset):
             row, ids, left, before = held[key]
@@ -193,21 +208,23 @@ def pack_documents(
                 held[key] = (row, ids, left - length, before)
 
         def flush():
-            total = sum(p[2] for p in open_pieces)
-            sequence = state["open"] + state["shift"]
-            for piece in in_powers(open_pieces, sequence, limits.tokens):
+            for piece in in_powers(open_pieces, state["next"], limits.tokens):
                 emit(*piece)
-            if total and total != limits.tokens:
-                state["shift"] += total.bit_count() - 1
+            total = sum(p[2] for p in open_pieces)
+            state["next"] += (total > 0) if total == limits.tokens else total.bit_count()
             open_pieces.clear()
 
+        def fill(key, start):
+            emit(key, start, limits.tokens, state["next"], 0)
+            state["next"] += 1
+
         def place(key, start, length, sequence, offset):
             if sequence != state["open"]:
                 flush()
                 state["open"] = sequence
             open_pieces.append((key, start, length))
 
-        packer, number = Packer(limits, place), 0
+        packer, number = Packer(limits, place, fill), 0
         for batch in batches:
             for rows in slices(batch, "text"):
                 ids, ends = coder.encode(rows.column("text"))
