@@ -35,35 +35,68 @@ def spread(starts: np.ndarray, lengths: np.ndarray, wanted: np.ndarray) -> np.nd
     return np.repeat(starts[wanted] - (np.cumsum(n) - n), n) + np.arange(n.sum())
 
 
-class Coded:
-    """Strings and the ids of each: consecutive parts of one array."""
+class Parts:
+    """Parts of different lengths, one after the other in one array."""
 
-    def __init__(self, keys: pa.Array | None = None, ids: np.ndarray | None = None, lengths: np.ndarray | None = None):
-        self.keys = pa.array([], pa.large_string()) if keys is None else keys
-        self.ids = np.empty(0, "<i4") if ids is None else ids
-        self.lengths = np.empty(0, np.int64) if lengths is None else lengths
-        self.starts = np.cumsum(self.lengths) - self.lengths
+    def __init__(self, values: np.ndarray, lengths: np.ndarray):
+        self.values, self.lengths = values, lengths
+        self.starts = np.cumsum(lengths) - lengths
 
     def gather(self, wanted: np.ndarray) -> np.ndarray:
-        return self.ids[spread(self.starts, self.lengths, wanted)]
+        return self.values[spread(self.starts, self.lengths, wanted)]
 
-    def with_all(self, keys: pa.Array, encode: Callable[[pa.Array], tuple[np.ndarray, np.ndarray]], most: int) -> tuple[Coded, np.ndarray]:
-        """(a table that has all of the distinct `keys`, their places there); `encode` gives the ids
-        of those that are new and how many each has."""
+    def take(self, wanted: np.ndarray) -> Parts:
+        return Parts(self.gather(wanted), self.lengths[wanted])
+
+    def joined(self, other: Parts) -> Parts:
+        return Parts(np.concatenate((self.values, other.values)), np.concatenate((self.lengths, other.lengths)))
+
+
+def _take(column, wanted: np.ndarray):
+    return column[wanted] if isinstance(column, np.ndarray) else column.take(pa.array(wanted) if isinstance(column, pa.Array) else wanted)
+
+
+def _joined(a, b):
+    if isinstance(a, Parts):
+        return a.joined(b)
+    return pa.concat_arrays([a, b]) if isinstance(a, pa.Array) else np.concatenate((a, b))
+
+
+class Known:
+    """What has been found for strings: columns (arrays or parts) in the order of the keys."""
+
+    def __init__(self, keys: pa.Array | None = None, *columns):
+        self.keys, self.columns = pa.array([], pa.large_string()) if keys is None else keys, columns
+
+    def __getitem__(self, column: int):
+        return self.columns[column]
+
+    def take(self, wanted: np.ndarray) -> Known:
+        return Known(self.keys.take(pa.array(wanted)), *(_take(c, wanted) for c in self.columns))
+
+    def with_all(self, keys: pa.Array, find: Callable[[pa.Array], tuple], most: int = KEPT) -> tuple[Known, np.ndarray]:
+        """(a table that has all of the distinct `keys`, their places there); `find` gives the columns
+        of those that are new. Beyond `most` entries only those that these keys use are kept."""
         at = pc.fill_null(pc.index_in(keys, self.keys), -1).to_numpy().astype(np.int64)
         new = np.flatnonzero(at < 0)
         if not len(new):
             return self, at
-        ids, lengths = encode(keys.take(pa.array(new)))
+        fresh = keys.take(pa.array(new))
+        held = self
         if len(self.keys) + len(new) > most:
             used = np.flatnonzero(at >= 0)
-            held = Coded(keys.take(pa.array(used)), self.gather(at[used]), self.lengths[at[used]])
+            held = self.take(at[used])
             at[used] = np.arange(len(used))
-        else:
-            held = self
         at[new] = len(held.keys) + np.arange(len(new))
-        joined = pa.concat_arrays([held.keys, keys.take(pa.array(new))])
-        return Coded(joined, np.concatenate((held.ids, ids)), np.concatenate((held.lengths, lengths))), at
+        columns = find(fresh)
+        if held.columns:
+            columns = [_joined(a, b) for a, b in zip(held.columns, columns)]
+        return Known(pa.concat_arrays([held.keys, fresh]), *columns), at
+
+    def without_long(self, most: int = 64) -> Known:
+        """The entries of short keys: whole texts are not worth keeping."""
+        size = pc.binary_length(self.keys).to_numpy()
+        return self if (size <= most).all() else self.take(np.flatnonzero(size <= most))
 
 
 def units(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
@@ -82,13 +115,39 @@ def units(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     return pa.LargeStringArray.from_buffers(len(begins), pa.py_buffer(bounds.astype(np.int64)), data or pa.py_buffer(b"")), counts
 
 
+def cut(texts: pa.Array, whole: str | None = None) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """(distinct strings, their numbers text by text, how many each text has) that make up the texts and
+    are coded alike anywhere. A text is one string where a space has white space, or nothing, on both
+    sides, which makes it no border, or where a unit matches the pattern `whole`."""
+    found, counts = units(texts)
+    coded = found.dictionary_encode()
+    numbers, distinct = coded.indices.to_numpy().astype(np.int64), coded.dictionary
+    ends = np.cumsum(counts)
+    opens, closes = (mask(pc.match_substring_regex(distinct, p))[numbers] for p in (OPENS, CLOSES))
+    at = np.flatnonzero(closes[:-1] & opens[1:])
+    owners = np.searchsorted(ends, at, "right")
+    owners = owners[at + 1 < ends[owners]]
+    if whole is not None:
+        owners = np.append(owners, np.searchsorted(ends, np.flatnonzero(mask(pc.match_substring_regex(distinct, whole))[numbers]), "right"))
+    owners = np.unique(owners)
+    if not len(owners):
+        return distinct, numbers, counts
+    kept = np.ones(len(counts), bool)
+    kept[owners] = False
+    strings = pc.fill_null(texts, "").take(pa.array(owners)).cast(pa.large_string())
+    keys = pa.concat_arrays([distinct, strings]).dictionary_encode()  # a text may equal a unit
+    same = keys.indices.to_numpy().astype(np.int64)
+    numbers = np.insert(same[numbers[np.repeat(kept, counts)]], np.cumsum(np.where(kept, counts, 0))[owners], same[len(distinct) :])
+    return keys.dictionary, numbers, np.where(kept, counts, 1)
+
+
 class WordCoder:
     """Ids of whole texts; `encode_pieces` gives the ids of distinct pieces, one after the other, and
     how many each has."""
 
-    def __init__(self, encode_pieces: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], most: int = KEPT):
-        self.encode_pieces, self.most = encode_pieces, most
-        self.pieces, self.known = Coded(), Coded()
+    def __init__(self, encode_pieces: Callable[[list[str]], tuple[np.ndarray, np.ndarray]]):
+        self.encode_pieces = encode_pieces
+        self.pieces, self.known = Known(), Known()
         self.find = regex.compile(PIECES).findall
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -97,41 +156,17 @@ class WordCoder:
             return np.empty(0, "<i4"), np.empty(0, np.int64)
         gc.disable()  # many strings are made, no cycles
         try:
-            return self._encode(texts)
+            keys, numbers, counts = cut(texts)
+            table, places = self.known.with_all(keys, self.units)
         finally:
             gc.enable()
-
-    def _encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        found, counts = units(texts)
-        coded = found.dictionary_encode()
-        numbers, distinct = coded.indices.to_numpy().astype(np.int64), coded.dictionary
-        ends = np.cumsum(counts)
-        # A space with white space, or nothing, on both sides is no border: such texts are cut whole.
-        opens, closes = (mask(pc.match_substring_regex(distinct, p))[numbers] for p in (OPENS, CLOSES))
-        at = np.flatnonzero(closes[:-1] & opens[1:])
-        owners = np.searchsorted(ends, at, "right")
-        whole = np.unique(owners[at + 1 < ends[owners]])
-        if len(whole):
-            strings = texts.take(pa.array(whole)).cast(pa.large_string())
-            kept = np.ones(len(texts), bool)
-            kept[whole] = False
-            numbers = np.insert(numbers[np.repeat(kept, counts)], np.cumsum(np.where(kept, counts, 0))[whole], len(distinct) + np.arange(len(whole)))
-            counts = np.where(kept, counts, 1)
-            distinct = pa.concat_arrays([distinct, strings])
-        # Whole texts may be equal to units; each is a key once.
-        keys = distinct.unique() if len(whole) else distinct
-        table, places = self.known.with_all(keys, self._units, self.most)
-        if len(whole):
-            places = places[pc.index_in(distinct, keys).to_numpy().astype(np.int64)]
-            short = np.flatnonzero(pc.binary_length(table.keys).to_numpy() <= 64)
-            self.known = Coded(table.keys.take(pa.array(short)), table.gather(short), table.lengths[short])
-        else:
-            self.known = table
+        self.known = table.without_long()
         wanted = places[numbers]
-        total = np.concatenate(([0], np.cumsum(table.lengths[wanted])))
-        return table.gather(wanted), total[np.cumsum(counts)]
+        total = np.concatenate(([0], np.cumsum(table[0].lengths[wanted])))
+        return table[0].gather(wanted), total[np.cumsum(counts)]
 
-    def _units(self, keys: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    def units(self, keys: pa.Array) -> tuple[Parts]:
+        """The ids of distinct strings that `cut` gives."""
         plain = mask(pc.match_substring_regex(keys, PLAIN)) & ~mask(pc.match_substring_regex(keys, CLOSES))
         plain &= mask(pc.equal(pc.count_substring(keys, " "), 1))
         easy, others = np.flatnonzero(plain), np.flatnonzero(~plain)
@@ -145,13 +180,13 @@ class WordCoder:
         cut = [self.find(t) for t in keys.take(pa.array(others)).to_pylist()]
         n[others] = list(map(len, cut))
         coded = pa.array(pieces + [p for ps in cut for p in ps], pa.large_string()).dictionary_encode()
-        self.pieces, at = self.pieces.with_all(coded.dictionary, lambda new: self.encode_pieces(new.to_pylist()), self.most)
+        self.pieces, at = self.pieces.with_all(coded.dictionary, lambda new: (Parts(*self.encode_pieces(new.to_pylist())),))
         wanted = at[coded.indices.to_numpy()]
         # From the order of cutting to that of the keys.
         order = np.concatenate((easy, others))
         begins = np.empty(len(keys), np.int64)
         begins[order] = np.cumsum(n[order]) - n[order]
         wanted = wanted[spread(begins, n, np.arange(len(keys)))]
-        sums = np.concatenate(([0], np.cumsum(self.pieces.lengths[wanted])))
+        sums = np.concatenate(([0], np.cumsum(self.pieces[0].lengths[wanted])))
         ends = np.cumsum(n)
-        return self.pieces.gather(wanted), sums[ends] - sums[ends - n]
+        return (Parts(self.pieces[0].gather(wanted), sums[ends] - sums[ends - n]),)

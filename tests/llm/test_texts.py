@@ -93,12 +93,12 @@ def test_a_full_table_keeps_what_was_used():
 
     def encode(new):
         asked.extend(new.to_pylist())
-        return np.array([int(x) for x in new.to_pylist()], "<i4"), np.ones(len(new), np.int64)
+        return (words.Parts(np.array([int(x) for x in new.to_pylist()], "<i4"), np.ones(len(new), np.int64)),)
 
-    table = words.Coded()
+    table = words.Known()
     for batch in (["1", "2"], ["2", "3"], ["2", "3"], ["1"]):
         table, at = table.with_all(pa.array(batch, pa.large_string()), encode, 2)
-        assert table.gather(at).tolist() == [int(x) for x in batch]
+        assert table[0].gather(at).tolist() == [int(x) for x in batch]
     assert asked == ["1", "2", "3", "1"]
 
 
