@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from datascout.llm import ann, archive, bpe, chat, decontaminate, jaccard, licenses, packing, quality, stage, tokens, urls
+from datascout.llm import align, ann, archive, bpe, chat, decontaminate, jaccard, licenses, packing, quality, stage, tokens, urls, variants
 from datascout.plans.registry import Tables, query
 from datascout.runtime import scratch_path
 
@@ -190,3 +190,13 @@ def op4(t: Tables) -> DataFrame:
 @query("op11_packing")
 def op11(t: Tables) -> DataFrame:
     return packing.pack_documents(t("documents"), vocabulary_path())
+
+
+@query("op12_cross_tokenizer")
+def op12(t: Tables) -> DataFrame:
+    return align.align_documents(t("documents"), vocabulary_path(), vocabulary_path("piece_bpe_32k.model"))
+
+
+@query("op13_spelling")
+def op13(t: Tables) -> DataFrame:
+    return variants.variant_forms(variants.count_words(t("documents"), drop_one_in=97))
