@@ -16,8 +16,8 @@ from datascout.operators.ledger import ledger_as_catalog
 from datascout.operators.profile import profile
 from datascout.operators.search import dedupe, limit_per_provider, scored
 from datascout.runtime import written
-from datascout.sources.files import detect_files, text_lines
-from datascout.sources.readers import CHARSETS, read_delimited, read_table
+from datascout.sources.files import detect_files, file_names
+from datascout.sources.readers import count_records, read_table
 
 CONDITION_ARGUMENTS = ["task", "size_cond", "rows_cond", "license_type"]
 
@@ -56,20 +56,15 @@ def inspect_file(spark: SparkSession, path: str, approx: bool = False, **options
 def inspect_files(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """``(path, delimiter, encoding, rows, columns, error)`` of every delimited file below ``path``.
 
-    Files of one delimiter, encoding and header line are read together. Quoted values may hold line
-    breaks. An empty file has the error of an empty table.
+    Files of one delimiter are read together, each in splits, whatever their headers; quoted values may
+    hold line breaks. An empty file has the error of an empty table.
     """
     found = written(detect_files(spark, path), "files")
-    lines = text_lines(spark, path).groupBy("path").agg(F.min_by("value", F.struct("block", "line_id")).alias("header"))
-    found = written(found.join(lines, "path", "left"), "files")
-    kinds = found.where(F.col("header").isNotNull()).select("delimiter", "encoding", "header").distinct().collect()  # one row a layout
     counted = spark.createDataFrame([], "path string, rows bigint, columns bigint")
-    for delimiter, encoding, header in kinds:
-        same = (F.col("delimiter") == delimiter) & (F.col("encoding") == encoding) & (F.col("header") == header)
-        paths = [unquote(r["path"]) for r in found.where(same).select("path").collect()]  # the reader takes the list of files
-        raw = read_delimited(spark, paths, delimiter, CHARSETS[encoding], infer=False)
-        rows = raw.groupBy(F.col("_metadata.file_path").alias("path")).agg(F.count("*").alias("rows"))
-        counted = counted.unionByName(rows.withColumn("columns", F.lit(len(raw.columns)).cast("bigint")))
+    for (delimiter,) in found.select("delimiter").distinct().collect():  # at most four
+        same = found.where(F.col("delimiter") == delimiter).join(file_names(spark, path), "path")
+        paths = [unquote(r["uri"]) for r in same.select("uri").collect()]  # the reader takes the list of files
+        counted = counted.unionByName(count_records(spark, paths, delimiter))
     out = found.join(counted, "path", "left").withColumn("rows", F.coalesce("rows", F.lit(0)))
     return out.select(
         "path", F.col("delimiter_name").alias("delimiter"), "encoding", "rows", F.coalesce("columns", F.lit(0)).alias("columns"),

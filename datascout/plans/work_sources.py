@@ -91,6 +91,17 @@ def s4_columns(t: Tables):
     return readers.read_json_doc(t.spark, _written(docs, scratch_path(t.spark, "s4c")))
 
 
+@query("s4_read_json_texts", "SELECT doc_id, text, lang FROM documents")
+def s4_texts(t: Tables):
+    """All documents as one array in one file, which is read in splits; texts hold brackets and quotes."""
+    path = scratch_path(t.spark, "s4t")
+    record = F.to_json(F.struct("doc_id", "text", "lang"), {"ignoreNullFields": "false"})
+    one = lambda text: t.spark.range(1, numPartitions=1).select(F.lit(text).alias("value"))
+    rows = t("documents").select(F.concat(record, F.lit(",")).alias("value"))
+    one("[").unionByName(rows).unionByName(one("null]")).coalesce(1).write.text(path)
+    return readers.read_json_doc(t.spark, path).select("doc_id", "text", "lang")
+
+
 @query("s5_read_json_lines", "SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders")
 def s5(t: Tables):
     path = scratch_path(t.spark, "s5")

@@ -13,7 +13,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from datascout.schema import NA_TOKENS, ident
+from datascout.runtime import scratch_path, written
 from datascout.sources.files import detect_files, text_lines
+from datascout.sources.records import ArrayElements, QuotedLines, block_states, split_records, text_units
 
 #: Names of the detected encodings as Spark's reader knows them.
 CHARSETS = {"utf-8": "UTF-8", "latin-1": "ISO-8859-1"}
@@ -23,6 +25,8 @@ DECIMAL = r"^\s*[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?\s*$"
 INFINITE = r"^\s*[+-]?([iI][nN][fF]([iI][nN][iI][tT][yY])?)\s*$"
 BOOLEANS = ["true", "True", "TRUE", "false", "False", "FALSE"]
 OVERFLOW = "__overflow"
+#: Encodings in which quotes, delimiters and line breaks are the bytes of ASCII, and no other character holds them.
+ASCII_LIKE = {"utf-8", "us-ascii", "iso-8859-1", "iso-8859-15", "windows-1252"}
 
 
 def _fits(c: Column) -> list[Column]:
@@ -77,11 +81,16 @@ def read_delimited(
 ) -> DataFrame:
     """Delimited text with a header line. Short lines are padded with NULL, longer ones raise.
 
-    Quoted values may hold line breaks; a file is then one task. ``multiline=False`` says that they
-    do not, which lets large files be split. With ``schema`` the values are read as those types in
-    one scan, missing-value tokens as NULL; otherwise a first scan infers them.
+    Quoted values may hold line breaks; a scan finds out whether they do and where records end, so
+    that large files are split in either case (see `records`). ``multiline=False`` says that they do not,
+    which saves that scan. Encodings that are not like ASCII (UTF-16) are read by one task a file.
+    With ``schema`` the values are read as those types in one scan, missing-value tokens as NULL;
+    otherwise a first scan infers them.
     """
-    raw = _raw(spark, path, sep, encoding, multiLine=multiline)
+    if multiline and encoding.lower() in ASCII_LIKE:
+        raw = _raw_records(spark, path, sep, encoding)
+    else:
+        raw = _raw(spark, path, sep, encoding, multiLine=multiline)
     if schema is not None:
         return _typed(raw.drop(OVERFLOW), schema)
     return infer_types(raw) if infer else raw.drop(OVERFLOW)
@@ -96,6 +105,35 @@ def _raw(spark: SparkSession, path: str | Sequence[str], sep: str, encoding: str
     return spark.read.options(**options, header=True, enforceSchema=True, mode="PERMISSIVE").schema(texts).csv(path)
 
 
+def _raw_records(spark: SparkSession, path: str | Sequence[str], sep: str, encoding: str, **more) -> DataFrame:
+    """As `_raw`, of files whose quoted values may hold line breaks, in splits."""
+    kind = QuotedLines(sep.encode(encoding))
+    states = written(block_states(text_units(spark, path, kind.separator), kind), "states")
+    if states.where(~F.col("closed")).limit(1).count() == 0:
+        return _raw(spark, path, sep, encoding, multiLine=False, **more)
+    plain = _raw(spark, path, sep, encoding, multiLine=True, **more)
+    if len(spark.read.text(path).columns) > 1:
+        return plain  # folders named key=value are columns, which records do not have
+    records = split_records(spark, path, kind, states).where(~F.col("first")).withColumn("text", F.decode("value", encoding))
+    # In files of CR LF, both end a record, and a line break in a value is read as LF alone.
+    whole = F.when(F.col("text").endswith("\r"), F.replace(F.expr("substring(text, 1, length(text) - 1)"), F.lit("\r\n"), F.lit("\n"))).otherwise(F.col("text"))
+    fields = ", ".join("`" + c.replace("`", "``") + "` string" for c in plain.columns)
+    parsed = F.from_csv("text", fields, {"sep": sep, "quote": '"', "escape": '"'})
+    return records.withColumn("text", whole).where("text != ''").select(parsed.alias("r")).select("r.*")
+
+
+def count_records(spark: SparkSession, path: str | Sequence[str], sep: str) -> DataFrame:
+    """``(path, rows, columns)`` of delimited files of one delimiter and an encoding like ASCII, whatever their
+    headers: records without the header and empty lines, and the fields of the header."""
+    records = split_records(spark, path, QuotedLines(sep.encode()))
+    filled = ~F.col("first") & ~F.decode("value", "ISO-8859-1").isin("", "\r")
+    header = F.max(F.when(F.col("first"), F.decode("value", "ISO-8859-1")))
+    found = records.groupBy("path").agg(F.count_if(filled).alias("rows"), header.alias("header"))
+    # A delimiter counts if the quotes before it are closed: quoted values become empty first.
+    bare = F.regexp_replace("header", '"(?:[^"]|"")*+"', "")
+    return found.select("path", "rows", (1 + F.length(bare) - F.length(F.replace(bare, F.lit(sep), F.lit("")))).cast("bigint").alias("columns"))
+
+
 def _read_detected(spark: SparkSession, path: str, sep: str | None, encoding: str | None) -> DataFrame:
     """Delimited text below ``path``: files of one delimiter, encoding and header line are read
     together, the columns of all are matched by name, and types are inferred over all rows."""
@@ -139,7 +177,16 @@ def read_json_lines(spark: SparkSession, path: str | Sequence[str]) -> DataFrame
 
 
 def read_json_doc(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
-    """One document per file: an array of records, or columns ``{column: {row: value}}``."""
+    """One document per file: an array of records, or columns ``{column: {row: value}}``.
+
+    Arrays are cut into their records by many tasks (see `records`) if the files hold nothing else, and the
+    types follow from all records. Files of columns are read by one task each.
+    """
+    units = text_units(spark, path, "}").withColumn("place", F.struct("block", F.monotonically_increasing_id()))
+    starts = units.groupBy("path").agg(F.min_by("value", "place").alias("start"))
+    first = F.substring(F.regexp_replace(F.decode("start", "UTF-8"), r"^\s+", ""), 1, 1)
+    if not starts.where(~first.isin("[", "")).limit(1).count():
+        return _read_json_arrays(spark, path)
     texts = spark.read.text(path, wholetext=True).select(
         F.col("_metadata.file_path").alias("file"), F.ltrim("value").alias("value")
     )
@@ -164,6 +211,17 @@ def read_json_doc(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
     return infer_types(wide.drop("file", "r"))
 
 
+def _read_json_arrays(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
+    """The objects of arrays, one array a file. Elements that are no objects hold no record; an array
+    whose elements they are has none."""
+    text = F.regexp_replace(F.decode("value", "UTF-8"), r"^[\s\[,]+", "")
+    records = split_records(spark, path, ArrayElements()).select(F.concat(text, F.lit("}")).alias("value")).where(F.col("value").startswith("{"))
+    # A line each: raw line breaks are white space in JSON, never part of a string.
+    lines = scratch_path(spark, "records")
+    records.select(F.translate("value", "\r\n", "  ").alias("value")).write.text(lines)
+    return spark.read.json(lines)
+
+
 def read_arff(spark: SparkSession, path: str | Sequence[str], legacy: bool = False) -> DataFrame:
     """Attribute-relation files: declared names, comma-separated rows, types inferred.
 
