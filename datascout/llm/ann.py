@@ -130,10 +130,11 @@ def build_index(vectors: DataFrame, tree: Tree) -> DataFrame:
 
 
 def _spread(index: DataFrame, k: int) -> DataFrame:
-    """The vectors that can be results: of equal vectors the k + 1 of the smallest ids, the query
-    itself being one of them. WindowGroupLimit cuts the copies in the map tasks."""
-    copies = Window.partitionBy("vec").orderBy("id")
-    return index.withColumn("copy", F.row_number().over(copies)).where(F.col("copy") <= k + 1).drop("copy")
+    """The rows that can be results: of equal vectors those of the k + 1 smallest ids, a query's own id being
+    one of them, and of each id k rows. WindowGroupLimit cuts the copies in the map tasks."""
+    copies, ids = Window.partitionBy("vec", "id").orderBy("leaf"), Window.partitionBy("vec").orderBy("id")
+    some = index.withColumn("copy", F.row_number().over(copies)).where(F.col("copy") <= k).drop("copy")
+    return some.withColumn("place", F.dense_rank().over(ids)).where(F.col("place") <= k + 1).drop("place")
 
 
 def _nearest(ids: np.ndarray, x: np.ndarray, q: np.ndarray, own, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -247,7 +248,7 @@ def nearest(
     All rows but the query are candidates; fewer than k in all are returned whole. Vectors that are
     null, zero, of an unusual length, or hold null or non-finite components take no part; nor do null
     ids. Ids are integers; rows with one id count as that many candidates, none of which a query of
-    that id finds. Other columns are not read. An empty table gives an empty result.
+    that id finds. An id asks once, with the least of its vectors (by the first components that differ). Other columns are not read. An empty table gives an empty result.
     """
     spark, parts = df.sparkSession, shuffle_parts(df)
     vectors = valid_vectors(df.where(F.col(id_col).isNotNull()), id_col, vec_col)
@@ -280,7 +281,7 @@ def nearest(
             )
 
     shape = T.StructType([*index.schema.fields, T.StructField("chunk", T.IntegerType())])
-    asked = index.where(is_query(F.col("id"))).select("id", "vec").mapInArrow(routes, shape)
+    asked = index.where(is_query(F.col("id"))).groupBy("id").agg(F.min("vec").alias("vec")).mapInArrow(routes, shape)
     pieces = spark.createDataFrame([(leaf, -(-n // CHUNK_ROWS)) for leaf, n in counts.items()], "leaf int, pieces int")
     stored = rows.join(F.broadcast(pieces), "leaf").withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("pieces")).cast("int"))
     both = asked.withColumn("asks", F.lit(True)).unionByName(stored.drop("pieces").withColumn("asks", F.lit(False)))

@@ -6,8 +6,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from datascout.llm import ann, jaccard
+from datascout.llm import ann, jaccard, queries  # noqa: F401
 from datascout.llm.components import components
+from datascout.plans.registry import QUERIES
 
 
 def shingles(text):
@@ -169,3 +170,30 @@ def test_best_bin_first_visits_each_leaf_once():
     tree = ann.Tree(x, 30)
     assert tree.leaves > 10 and sorted(tree.visits(x[3])) == list(range(tree.leaves))
     assert next(tree.visits(x[3])) == tree.assign(x[3:4])[0]
+
+
+def test_repeated_rows_and_ids_leave_no_neighbour_out(spark):
+    v, w, u = [1.0, 0.0], [0.0, 3.0], [1.0, 1.0]
+    for rows in ([(0, v)] * 15 + [(5, v), (6, w)], [(0, v)] * 3 + [(5, v), (6, w)], [(0, v), (0, w), (5, v), (5, v), (6, w)], [(7, v)] * 9 + [(0, v), (6, u), (8, u)]):
+        df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+        got = [tuple(r) for r in ann.nearest(df, lambda i: i == 0, k=3).orderBy("rank").collect()]
+        own = min(x for i, x in rows if i == 0)
+        near = sorted((float(np.sqrt(((np.array(x) - own) ** 2).sum())), i) for i, x in rows if i)[:3]
+        assert got == [(0, k, i, d) for k, (d, i) in enumerate(near, 1)]
+
+
+def test_op6_recall_on_whole_tables(spark):
+    sf = "/root/testdata/sf0.001"
+    rows = [(r.vec_id, r.embedding) for r in spark.read.parquet(f"{sf}/embeddings.parquet").collect()]
+    ids, x = np.array([i for i, _ in rows]), np.array([e for _, e in rows], np.float64)
+    found = {}
+    for r in QUERIES["op6_nearest"](spark, sf).collect():
+        found.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
+    hits = 0
+    asked = [i for i in ids if i % 100 == 0]
+    for q in asked:
+        d = np.sqrt(((x - x[ids == q][0]) ** 2).sum(1))
+        best = [int(ids[j]) for j in np.lexsort((ids, d)) if ids[j] != q][:10]
+        hits += len(set(best) & {i for _, i, _ in found[q]})
+        assert all(s == d[ids == i][0] for _, i, s in found[q]) and sorted(k for k, _, _ in found[q]) == list(range(1, len(best) + 1))
+    assert set(found) == set(asked) and hits >= 0.9 * 10 * len(asked)
