@@ -14,6 +14,8 @@ from datascout.schema import ident
 # Spark cuts groups to their first rows before the shuffle up to this many rows.
 GROUP_LIMIT = 1000
 SALTS = 64
+# Keys with more than one in so many rows are dealt with apart; there are fewer than that many.
+HEAVY = 1000
 
 
 def top_n_per_group(
@@ -56,6 +58,44 @@ def join_same(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str =
     return left.join(other, reduce(lambda x, y: x & y, same), how).drop(*named.values())
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with underscores until no column is called so in any case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def heavy_keys(counts: DataFrame, keys: Sequence[str], n: str = "n") -> DataFrame:
+    """The keys that hold more than one in ``HEAVY`` of all rows, fewer than ``HEAVY`` of them; ``counts``
+    is ``(keys..., n)``, read twice. Keys with a NULL are not among them."""
+    known = reduce(lambda x, y: x & y, [ident(k).isNotNull() for k in keys])
+    total = counts.agg(F.sum(n).alias("__total"))  # one row
+    found = counts.where(known).join(F.broadcast(total)).where(ident(n) * HEAVY > F.col("__total"))
+    return found.select(*[ident(k) for k in keys])
+
+
+def spread_join(left: DataFrame, right: DataFrame, keys: Sequence[str], heavy: DataFrame, how: str = "inner") -> DataFrame:
+    """Inner or left join on ``keys`` when few of them hold most rows of ``left``.
+
+    The rows of a heavy key, and those with a NULL, go to the tasks by the partition they come from,
+    ``SALTS`` at most, to each of which the partners of the heavy keys are sent. ``heavy`` has fewer
+    than ``HEAVY`` rows (``heavy_keys``). Beyond the keys the two tables share no column name.
+    """
+    salt, hot = free_name(left, free_name(right, "__salt")), free_name(left, free_name(right, "__hot"))
+    marks = F.broadcast(heavy.select(*[ident(k) for k in keys], F.lit(True).alias(hot)))
+    unknown = reduce(lambda x, y: x | y, [ident(k).isNull() for k in keys])
+    apart = ident(hot).isNotNull() | unknown
+    # The number of a partition, unlike a random one, is the same when a lost task runs again.
+    dealt = left.join(marks, list(keys), "left").withColumn(
+        salt, F.when(apart, F.pmod(F.spark_partition_id(), F.lit(SALTS))).otherwise(0)
+    )
+    copies = F.when(ident(hot).isNotNull(), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    sent = right.join(marks, list(keys), "left").withColumn(salt, F.explode(copies)).drop(hot)
+    others = [c for c in right.columns if c not in keys]
+    return dealt.drop(hot).join(sent, [*keys, salt], how).select(*[ident(c) for c in [*left.columns, *others]])
+
+
 def ranged(df: DataFrame, order: Sequence[str], part: str = "__part") -> DataFrame:
     """The rows dealt to ranges of ``order`` and written, with the number of their range: however
     often they are read again, a row stays in its range."""
@@ -98,18 +138,19 @@ def hash_index(
 
     The leading hex digits cut the hash range into even buckets without sampling (16**digits
     of them), so bucket counts give each bucket its offset and no task sorts more than one
-    bucket. ``key`` should identify rows; the rest of the row breaks ties.
+    bucket. ``key`` should identify rows. A column of the name ``out`` is replaced, all others stay.
     """
-    text = F.concat_ws("|", F.lit(str(seed)), *[F.col(f"`{k}`").cast("string") for k in key])
-    hashed = df.withColumn("__h", F.md5(text)).withColumn("__b", F.substring("__h", 1, digits))
+    h, b, place, offset = (free_name(df, c) for c in ("__h", "__b", "__rn", "__offset"))
+    text = F.concat_ws("|", F.lit(str(seed)), *[ident(k).cast("string") for k in key])
+    hashed = df.withColumn(h, F.md5(text)).withColumn(b, F.substring(h, 1, digits))
     # At most 16**digits rows.
-    counts = hashed.groupBy("__b").agg(F.count("*").alias("__n"))
-    w = Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("__b", F.coalesce(F.sum("__n").over(w), F.lit(0)).alias("__offset"))
-    local = Window.partitionBy("__b").orderBy("__h", *[F.col(f"`{k}`") for k in key])
+    counts = hashed.groupBy(b).agg(F.count("*").alias("n"))
+    w = Window.orderBy(b).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select(b, F.coalesce(F.sum("n").over(w), F.lit(0)).alias(offset))
+    local = Window.partitionBy(b).orderBy(h, *[ident(k) for k in key])
     return (
-        hashed.withColumn("__rn", F.row_number().over(local))
-        .join(F.broadcast(offsets), "__b")
-        .withColumn(out, (F.col("__offset") + F.col("__rn") - 1).cast("bigint"))
-        .drop("__h", "__b", "__rn", "__offset")
+        hashed.withColumn(place, F.row_number().over(local))
+        .join(F.broadcast(offsets), b)
+        .withColumn(out, (F.col(offset) + F.col(place) - 1).cast("bigint"))
+        .drop(h, b, place, offset)
     )

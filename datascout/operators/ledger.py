@@ -10,6 +10,8 @@ from datascout.schema import LEDGER_COLUMNS, PUBLIC_COLUMNS
 
 HISTORY_LIMIT = 50
 DEFAULT_CAP_BYTES = 10 * 1024**3
+# Ranges of time whose totals are taken before any entry is sorted.
+RANGES = 128
 
 
 def recent_queries(events: DataFrame, n: int = HISTORY_LIMIT) -> DataFrame:
@@ -60,14 +62,36 @@ def eviction_plan(ledger: DataFrame, max_bytes: int = DEFAULT_CAP_BYTES) -> Data
     """Add ``evict``: the oldest entries whose removal brings the total down to ``max_bytes``.
 
     ``ledger`` holds ``id``, ``downloaded_at``, ``actual_size`` and ``path_exists``. Entries
-    without a path count nothing and stay.
+    without a path count nothing and stay; those without a time come first, ids break ties.
+
+    The plan is a cut in (time, id) order. Totals of ranges of time, bounded by a sketch, tell which
+    range holds the cut; only that one is summed row by row. All others are decided by comparison.
     """
-    size = F.when(F.col("path_exists"), F.coalesce("actual_size", F.lit(0))).otherwise(0).cast("bigint")
-    one = F.lit(1).alias("__one")
-    total = ledger.agg(F.coalesce(F.sum(size), F.lit(0)).alias("__total")).select("__total", one)  # one row
-    ordered = running_sum(ledger, ["downloaded_at", "id"], size, "__prior").select("*", one).join(F.broadcast(total), "__one")
-    evicted = F.col("path_exists") & (F.col("__total") - F.col("__prior") > max_bytes)
-    return ordered.withColumn("evict", evicted).drop("__one", "__prior", "__total")
+    paths = F.coalesce("path_exists", F.lit(False))
+    size = F.when(paths, F.coalesce("actual_size", F.lit(0))).otherwise(0).cast("bigint")
+    at = F.col("downloaded_at").cast("double")
+    sized = ledger.select(at.alias("at"), "id", size.alias("size"))
+    marks = sized.agg(F.percentile_approx("at", [i / RANGES for i in range(1, RANGES)]).alias("m")).first()["m"]
+    bounds = F.array(*[F.lit(float(m)) for m in sorted(set(marks or []))]).cast("array<double>")
+    ranges = F.when(F.col("at").isNull(), -1).otherwise(F.size(F.filter(bounds, lambda m: m < F.col("at"))))
+    placed = sized.withColumn("part", ranges)
+    totals = sorted(placed.groupBy("part").agg(F.sum("size").alias("size")).collect())  # RANGES + 1 rows at most
+    excess = sum(t["size"] for t in totals) - max_bytes
+    before, cut = 0, None
+    for part, inside in totals:
+        if before >= excess:
+            break
+        before, cut = before + inside, (part, before)
+    if cut is None:
+        return ledger.withColumn("evict", F.lit(False))
+    part, offset = cut
+    summed = running_sum(placed.where(F.col("part") == part), ["at", "id"], F.col("size"), "prior")
+    # Entries before which less than the excess is freed go: the last of them is the cut.
+    last = summed.where(F.col("prior") + offset < excess).agg(F.max(F.struct("at", "id")).alias("last")).first()["last"]
+    stamp = F.lit(last["at"]).cast("double")
+    early = F.lit(False) if last["at"] is None else at.isNull() | (at < stamp)
+    same = at.eqNullSafe(stamp) & (F.col("id").isNull() | (F.col("id") <= F.lit(last["id"])))
+    return ledger.withColumn("evict", paths & F.coalesce(early | same, F.lit(False)))
 
 
 def ledger_as_catalog(ledger: DataFrame) -> DataFrame:

@@ -12,13 +12,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from datascout.operators.groups import hash_index, running_sum
+from datascout.operators.groups import free_name, hash_index, heavy_keys, running_sum, spread_join
 from datascout.operators.profile import (
     cardinality,
     categorical_summary,
     column_quantiles,
     default_target,
 )
+from datascout.runtime import written
 from datascout.schema import ident, nan_to_null, split_columns
 
 
@@ -95,15 +96,17 @@ def train_test_split(
     if not exact:
         return df.withColumn("split", F.when(_hash_share(key, seed) < test, "test").otherwise("train"))
     wanted = -(-df.count() * round(test * 10**9) // 10**9)
-    indexed = hash_index(df, key, seed, out="__index")
-    return indexed.withColumn("split", F.when(F.col("__index") < wanted, "test").otherwise("train")).drop("__index")
+    index = free_name(df, "__index")
+    indexed = hash_index(df, key, seed, out=index)
+    return indexed.withColumn("split", F.when(F.col(index) < wanted, "test").otherwise("train")).drop(index)
 
 
 def batches(df: DataFrame, key: str | Sequence[str], size: int = 32, seed: int = 42) -> DataFrame:
     """Add ``batch_id``: rows in a fixed shuffled order, ``size`` to a batch."""
     key = [key] if isinstance(key, str) else list(key)
-    indexed = hash_index(df, key, seed, out="__index")
-    return indexed.withColumn("batch_id", F.floor(F.col("__index") / size).cast("bigint")).drop("__index")
+    index = free_name(df, "__index")
+    indexed = hash_index(df, key, seed, out=index)
+    return indexed.withColumn("batch_id", F.floor(F.col(index) / size).cast("bigint")).drop(index)
 
 
 def category_codes(df: DataFrame, column: str) -> DataFrame:
@@ -113,15 +116,28 @@ def category_codes(df: DataFrame, column: str) -> DataFrame:
 
 
 def encode_categories(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """Replace text columns by integer codes in value order; missing stays missing."""
+    """Replace text columns by integer codes in value order; missing stays missing, and any column
+    names are kept. No rows give no rows.
+
+    The values of all columns are counted in one pass, which also tells the frequent ones.
+    """
     columns = columns or [f.name for f in df.schema if isinstance(f.dataType, T.StringType)]
-    out = df
-    for i, c in enumerate(columns):
+    if not columns:
+        return df
+    named = df.toDF(*[f"c{i}" for i in range(len(df.columns))])
+    places = [df.columns.index(c) for c in columns]
+    cells = F.stack(F.lit(len(places)), *[x for i in places for x in (F.lit(i), F.col(f"c{i}").cast("string"))])
+    counts = named.select(cells.alias("ci", "value")).where("value is not null").groupBy("ci", "value").agg(F.count("*").alias("n"))
+    counts = written(counts, "values")
+    codes = written(running_sum(counts, ["value"], F.lit(1), "code", ["ci"]).select("ci", "value", "code"), "codes")
+    out = named
+    for i in places:
+        of_column = counts.where(F.col("ci") == i).select(F.col("value").alias(f"c{i}"), "n")
         # Small dictionaries are broadcast by Spark's own size check, large ones are shuffled.
-        codes = category_codes(df, c).select(F.col("value").alias(f"__v{i}"), F.col("code").alias(f"__c{i}"))
-        out = out.join(codes, ident(c) == F.col(f"__v{i}"), "left").drop(f"__v{i}")
-    new = {c: F.col(f"__c{i}").cast("bigint") for i, c in enumerate(columns)}
-    return out.select(*[new[c].alias(c) if c in new else ident(c) for c in df.columns])
+        coded = codes.where(F.col("ci") == i).select(F.col("value").alias(f"c{i}"), F.col("code").cast("bigint").alias(f"code{i}"))
+        out = spread_join(out, coded, [f"c{i}"], heavy_keys(of_column, [f"c{i}"]), "left")
+    chosen = [F.col(f"code{i}" if i in places else f"c{i}").alias(c) for i, c in enumerate(df.columns)]
+    return out.select(*chosen)
 
 
 def fill_missing_label(df: DataFrame, label: str = "missing") -> DataFrame:

@@ -14,8 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from datascout.operators.groups import join_same
-from datascout.operators.quantiles import counted_quantiles
+from datascout.operators.groups import heavy_keys, join_same
+from datascout.operators.quantiles import counted_quantiles, quantiles
 from datascout.runtime import written
 from datascout.schema import TARGET_PATTERNS, column_types, ident, is_numeric, nan_to_null, split_columns
 
@@ -34,6 +34,28 @@ def _label(names: Sequence[str], index: str | Column = "ci") -> Column:
     return F.element_at(F.array(*[F.lit(n) for n in names]), F.col(index) + 1 if isinstance(index, str) else index + 1)
 
 
+def _keyed(df: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, list[str]]:
+    """``df`` with its keys under names that no figure has, and those names."""
+    taken = {c.lower() for c in df.columns}
+    mark = "__key"
+    while any(c.startswith(mark) for c in taken):
+        mark += "_"
+    inner = {k: f"{mark}{i}" for i, k in enumerate(keys)}
+    return df.select(*[ident(c).alias(inner.get(c, c)) for c in df.columns]), list(inner.values())
+
+
+def _restored(out: DataFrame, keys: Sequence[str], inner: Sequence[str]) -> DataFrame:
+    """The keys under their own names again; one named like a figure becomes ``key_<name>``."""
+    taken = {c.lower() for c in out.columns if c not in inner}
+    names = {}
+    for key, name in zip(keys, inner):
+        while key.lower() in taken:
+            key = f"key_{key}"
+        taken.add(key.lower())
+        names[name] = key
+    return out.select(*[ident(c).alias(names.get(c, c)) for c in out.columns])
+
+
 def _stack(df: DataFrame, keys: Sequence[str], rows: Sequence[Sequence[Column]], names: Sequence[str]) -> DataFrame:
     """One output row for each entry of ``rows``, generated inside the scan stage. At least one entry."""
     flat = [c for row in rows for c in row]
@@ -89,13 +111,16 @@ def _is_present() -> Column:
 
 
 def value_counts(df: DataFrame, columns: Sequence[str] | None = None, keys: Sequence[str] = ()) -> DataFrame:
-    """``(keys, column, value, n)`` for every distinct value, missing ones as NULL."""
-    df = nan_to_null(df)
-    names = _names(df, columns, keys)
+    """``(keys, column, value, n)`` for every distinct value, missing ones as NULL.
+
+    Here and below a key named like a column of the result is returned as ``key_<name>``."""
+    df, inner = _keyed(nan_to_null(df), keys)
+    names = _names(df, columns, [*keys, *inner])
     if not names:
-        return _no_columns(df, keys, "value string, n bigint")
+        return _restored(_no_columns(df, inner, "value string, n bigint"), keys, inner)
     value = F.coalesce("vt", F.col("vl").cast("string"), F.col("vd").cast("string"))
-    return _typed_counts(df, names, keys).select(*keys, _label(names).alias("column"), value.alias("value"), "n")
+    found = _typed_counts(df, names, inner).select(*inner, _label(names).alias("column"), value.alias("value"), "n")
+    return _restored(found, keys, inner)
 
 
 def _count_figures(counts: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
@@ -154,7 +179,8 @@ def duplicate_stats(df: DataFrame) -> DataFrame:
     """Rows beyond the first of each set of equal rows; NULL equals NULL, NaN equals NaN.
 
     Rows are first counted by a 64-bit hash, so the shuffle carries eight bytes for each row
-    that has no copy in its task. Only rows whose hash occurs again are compared in full.
+    that has no copy in its task. Only rows whose hash occurs again are compared in full; those of
+    a very frequent hash are counted inside their task first, so that each travels once a task.
     """
     df = nan_to_null(df)
     plain = [
@@ -163,10 +189,15 @@ def duplicate_stats(df: DataFrame) -> DataFrame:
         else ident(f.name)
         for f in df.schema
     ]
-    hashed = df.select(*plain).withColumn("__h", F.xxhash64(*[ident(c) for c in df.columns]))
-    repeated = hashed.groupBy("__h").agg(F.count("*").alias("__n")).where(F.col("__n") > 1).select("__h")
-    copies = hashed.join(repeated, "__h", "left_semi").groupBy(*[ident(c) for c in df.columns]).count()
-    parts = copies.select(F.lit(0).cast("bigint").alias("r"), (F.col("count") - 1).alias("d")).union(
+    places = [f"c{i}" for i in range(len(plain))]
+    hashed = df.select(*plain).toDF(*places).withColumn("h", F.xxhash64(*places))
+    repeated = written(hashed.groupBy("h").agg(F.count("*").alias("n")).where("n > 1"), "hashes")
+    heavy = F.broadcast(written(heavy_keys(repeated, ["h"]), "heavy"))  # fewer than HEAVY rows
+    frequent = hashed.join(heavy, "h", "left_semi")
+    others = hashed.join(heavy, "h", "left_anti").join(repeated, "h", "left_semi")
+    # Grouped by the hash, so that the tasks count before the shuffle, and by all columns.
+    copies = [rows.groupBy("h", *places).agg(F.count("*").alias("n")) for rows in (frequent, others)]
+    parts = copies[0].unionByName(copies[1]).select(F.lit(0).cast("bigint").alias("r"), (F.col("n") - 1).alias("d")).union(
         df.agg(F.count("*").alias("r")).select("r", F.lit(0).cast("bigint"))
     )
     return parts.agg(F.sum("r").alias("rows"), F.sum("d").alias("duplicate_rows")).select(
@@ -238,7 +269,7 @@ def column_quantiles(
     long = numeric_long(df, names, keys)
     if approx:
         return long.groupBy(*group).agg(F.percentile_approx("v", list(probs), 10_000).alias("q"))
-    return counted_quantiles(long.groupBy(*group, "v").agg(F.count("*").alias("n")), group, "v", probs)
+    return quantiles(long, group, "v", probs)
 
 
 def _outside(v: Column) -> Column:
@@ -252,32 +283,38 @@ STATS = ["mean", "std", "min", "q25", "median", "q75", "max", "outlier_count"]
 def _figures(counts: DataFrame) -> list[Column]:
     """Aggregates of value counts that need no order."""
     n, present, v = F.col("n"), _is_present(), _number()
-    worded = F.col("vt").isNotNull() & F.col("vd").isNull()
     return [
         F.sum("n").alias("total"),
         F.coalesce(F.sum(F.when(~present, n)), F.lit(0)).alias("missing_count"),
         F.count_if(present).alias("cardinality"),
-        F.min(F.when(worded, F.struct((-n).alias("m"), "vt"))).alias("best"),
         F.try_divide(F.sum(v * n), F.sum(F.when(v.isNotNull(), n))).alias("mean"),
         F.min(v).alias("min"),
         F.max(v).alias("max"),
     ]
 
 
-def _counted_stats(counts: DataFrame, keys: Sequence[str], quartiles: DataFrame | None) -> DataFrame:
+def _counted_stats(counts: DataFrame, keys: Sequence[str], quartiles: DataFrame | None, texts: bool = True) -> DataFrame:
     """Every figure the value counts hold, for all columns at once; ``quartiles`` is ``(keys, ci, q)``
-    of the numeric ones. A column has its row whether it has values or not."""
+    of the numeric ones, ``texts`` says whether there are others. A column has its row whether it
+    has values or not."""
     group = [*keys, "ci"]
     out = counts.groupBy(*group).agg(*_figures(counts))
-    out = out.withColumns({"top": F.col("best.vt"), "freq": -F.col("best.m")}).drop("best")
+    if texts:
+        # Apart from the others: an aggregate of text sorts its rows, here only those it needs.
+        worded = counts.where("vt is not null and vd is null")
+        top = worded.groupBy(*group).agg(F.min(F.struct((-F.col("n")).alias("m"), "vt")).alias("best"))
+        top = top.select(*group, F.col("best.vt").alias("top"), (-F.col("best.m")).alias("freq"))
+        out = join_same(out, top, group, "left")
+    else:
+        out = out.withColumns({"top": F.lit(None).cast("string"), "freq": F.lit(None).cast("bigint")})
     if quartiles is None:
         return out
     marks = {f"q[{i}]": c for i, c in enumerate(["q25", "median", "q75"])}
     out = join_same(out, quartiles.selectExpr(*[f"`{k}`" for k in group], *[f"{e} as {c}" for e, c in marks.items()]), group, "left")
+    # One row for each column and key; written, so that Spark knows whether it may be broadcast.
+    out = written(out, "figures")
     bounds = out.where("mean is not null").select(*group, "mean", "q25", "q75")
     numbers = counts.withColumn("v", _number()).where("v is not null").select(*group, "v", "n")
-    if not keys:
-        bounds = F.broadcast(bounds)  # one row for each column of the table
     off = F.col("v") - F.col("mean")
     spread = (
         join_same(numbers, bounds, group)
@@ -297,8 +334,6 @@ def _quartiles(df: DataFrame, counts: DataFrame, names: Sequence[str], keys: Seq
         places = F.element_at(F.array(*[F.lit(names.index(c)) for c in numeric]), F.col("ci") + 1)
         return column_quantiles(df, numeric, keys, approx=True).withColumn("ci", places)
     numbers = counts.select(*[ident(k) for k in group], _number().alias("v"), "n")
-    # Exact decimals may share a double.
-    numbers = numbers.where("v is not null").groupBy(*group, "v").agg(F.sum("n").alias("n"))
     return counted_quantiles(numbers, group, "v", QUARTILES)
 
 
@@ -308,16 +343,18 @@ def numeric_summary(
     """Mean, sample deviation, range, quartiles and outlier count of each numeric column.
 
     A column without values has NULLs; a table without numeric columns gives no rows."""
-    df = nan_to_null(df)
-    names = [c for c in _names(df, columns, keys) if is_numeric(df.schema[c].dataType)]
+    df, inner = _keyed(nan_to_null(df), keys)
+    names = [c for c in _names(df, columns, [*keys, *inner]) if is_numeric(df.schema[c].dataType)]
     if not names:
-        return _no_columns(df, keys, "mean double, std double, min double, q25 double, median double, q75 double, max double, outlier_count bigint")
-    return _numeric_figures(df, names, keys, approx).select(*[ident(k) for k in keys], _label(names).alias("column"), *STATS)
+        none = "mean double, std double, min double, q25 double, median double, q75 double, max double, outlier_count bigint"
+        return _restored(_no_columns(df, inner, none), keys, inner)
+    found = _numeric_figures(df, names, inner, approx).select(*inner, _label(names).alias("column"), *STATS)
+    return _restored(found, keys, inner)
 
 
 def _numeric_figures(df: DataFrame, names: Sequence[str], keys: Sequence[str], approx: bool) -> DataFrame:
     counts = written(_typed_counts(df, names, keys), "counts")
-    return _counted_stats(counts, keys, _quartiles(df, counts, names, keys, approx))
+    return _counted_stats(counts, keys, _quartiles(df, counts, names, keys, approx), texts=False)
 
 
 def outliers(df: DataFrame, columns: Sequence[str] | None = None, approx: bool = False) -> DataFrame:
@@ -337,18 +374,19 @@ def outliers(df: DataFrame, columns: Sequence[str] | None = None, approx: bool =
 def categorical_summary(df: DataFrame, columns: Sequence[str] | None = None, keys: Sequence[str] = ()) -> DataFrame:
     """Non-missing count, distinct count and most frequent value of each non-numeric column; of
     equally frequent values the first in order. No rows for a table without such columns."""
-    df = nan_to_null(df)
-    names = [c for c in _names(df, columns, keys) if not is_numeric(df.schema[c].dataType)]
+    df, inner = _keyed(nan_to_null(df), keys)
+    names = [c for c in _names(df, columns, [*keys, *inner]) if not is_numeric(df.schema[c].dataType)]
     if not names:
-        return _no_columns(df, keys, "count bigint, unique bigint, top string, freq bigint")
-    return _counted_stats(_typed_counts(df, names, keys), keys, None).select(
-        *[ident(k) for k in keys],
+        return _restored(_no_columns(df, inner, "count bigint, unique bigint, top string, freq bigint"), keys, inner)
+    found = _counted_stats(_typed_counts(df, names, inner), inner, None).select(
+        *inner,
         _label(names).alias("column"),
         (F.col("total") - F.col("missing_count")).alias("count"),
         F.col("cardinality").alias("unique"),
         F.coalesce("top", F.lit("N/A")).alias("top"),
         F.coalesce("freq", F.lit(0)).alias("freq"),
     )
+    return _restored(found, keys, inner)
 
 
 # ---- correlation --------------------------------------------------------------------------
@@ -519,7 +557,8 @@ def _column_profile(df: DataFrame, keys: Sequence[str], approx: bool) -> DataFra
 def _profiled(df: DataFrame, counts: DataFrame, keys: Sequence[str], approx: bool) -> DataFrame:
     names = _names(df, None, keys)
     if any(is_numeric(df.schema[c].dataType) for c in names):
-        out = _counted_stats(counts, keys, _quartiles(df, counts, names, keys, approx))
+        texts = not all(is_numeric(df.schema[c].dataType) for c in names)
+        out = _counted_stats(counts, keys, _quartiles(df, counts, names, keys, approx), texts)
     else:
         out = _counted_stats(counts, keys, None)
         out = out.withColumns({c: F.lit(None).cast("double") for c in STATS})
@@ -547,9 +586,11 @@ def column_profile(df: DataFrame, approx: bool = False) -> DataFrame:
 
 
 def profile_by(df: DataFrame, keys: str | Sequence[str], approx: bool = False) -> DataFrame:
-    """``column_profile`` of every part of the table with equal ``keys``."""
+    """``column_profile`` of every part of the table with equal ``keys``; NULL is a key, and a key
+    named like a figure (``total``, ``mean``, ...) is returned as ``key_<name>``."""
     keys = [keys] if isinstance(keys, str) else list(keys)
-    return _column_profile(nan_to_null(df), keys, approx)
+    df, inner = _keyed(nan_to_null(df), keys)
+    return _restored(_column_profile(df, inner, approx), keys, inner)
 
 
 def table_profile(df: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from datascout.operators.groups import heavy_keys, spread_join
 from datascout.operators.groups import top_n_per_group
 
 # Delimiters in order of preference, and their display names.
@@ -176,6 +177,11 @@ def verify_checksums(digests: DataFrame, manifest: DataFrame) -> DataFrame:
     return found.select("path", status.alias("status"))
 
 
+def _with_totals(files: DataFrame, totals: DataFrame) -> DataFrame:
+    """Files with the totals of their dataset; one with very many files stays spread over the tasks."""
+    return spread_join(files, totals, ["dataset_id"], heavy_keys(totals, ["dataset_id"], "n_files"))
+
+
 def select_hub_files(listing: DataFrame) -> DataFrame:
     """Data files of each hub dataset; all its files where none looks like data.
 
@@ -187,11 +193,12 @@ def select_hub_files(listing: DataFrame) -> DataFrame:
     # Totals are folded per task before the shuffle; a dataset with many files stays spread out.
     size = F.coalesce("size", F.lit(0))
     totals = files.groupBy("dataset_id").agg(
+        F.count("*").alias("n_files"),
         F.bool_or("is_data").alias("any_data"),
         F.sum(F.when(F.col("is_data"), size)).alias("data_size"),
         F.sum(size).alias("all_size"),
     )
-    chosen = files.join(totals, "dataset_id").where(F.col("is_data") | ~F.col("any_data"))
+    chosen = _with_totals(files, totals).where(F.col("is_data") | ~F.col("any_data"))
     total = F.when(F.col("any_data"), F.col("data_size")).otherwise(F.col("all_size"))
     return chosen.select("dataset_id", "path", "size", total.alias("total_size"))
 
@@ -203,8 +210,10 @@ def select_repo_files(listing: DataFrame, cat: DataFrame) -> DataFrame:
     from the catalog.
     """
     files = listing.where((F.col("type") == "file") & _ends_with(F.lower("path"), REPO_EXTENSIONS))
-    totals = files.groupBy("dataset_id").agg(F.sum(F.coalesce("size", F.lit(0))).alias("total_size"))
-    chosen = files.join(totals, "dataset_id").select(
+    totals = files.groupBy("dataset_id").agg(
+        F.count("*").alias("n_files"), F.sum(F.coalesce("size", F.lit(0))).alias("total_size")
+    )
+    chosen = _with_totals(files, totals).select(
         "dataset_id", "path", F.col("download_url").alias("url"), "size", "total_size"
     )
     archives = (
