@@ -94,12 +94,12 @@ def words_sql(query: str) -> str:
 def documents_with_labels(t: Tables) -> DataFrame:
     """Documents with their labels; most have none."""
     return t("documents").join(t("labels"), "doc_id", "left").select(
-        "doc_id", "lang", "source", "n_chars", "quality", "toxic"
+        "doc_id", "text", "lang", "source", "n_chars", "quality", "toxic"
     )
 
 
 LABELLED_CTE = """labelled AS (
-  SELECT d.doc_id, d.lang, d.source, d.n_chars, l.quality, l.toxic
+  SELECT d.doc_id, d.text, d.lang, d.source, d.n_chars, l.quality, l.toxic
   FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id)"""
 
 

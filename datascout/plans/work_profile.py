@@ -12,7 +12,7 @@ LINEITEM_NUMERIC = [
 LINEITEM_OTHER = ["l_returnflag", "l_linestatus", "l_shipdate"]
 LINEITEM = [*LINEITEM_NUMERIC, *LINEITEM_OTHER]
 LINEITEM_TYPES = ["bigint"] * 3 + ["int"] + ["double"] * 4 + ["string"] * 2 + ["timestamp_ntz"]
-LABELLED = ["doc_id", "lang", "source", "n_chars", "quality", "toxic"]
+LABELLED = ["doc_id", "text", "lang", "source", "n_chars", "quality", "toxic"]
 
 
 def union(parts: list[str]) -> str:
@@ -26,8 +26,8 @@ def p1(t: Tables):
 
 @query(
     "p2_footprint",
-    """SELECT sum(8 + 8 + strlen(text) + strlen(lang) + strlen(source))::BIGINT AS memory_bytes,
-    round(sum(8 + 8 + strlen(text) + strlen(lang) + strlen(source))::DOUBLE / 1048576, 4) AS memory_mb FROM documents""",
+    """SELECT sum(8 + 8 + strlen(text) + coalesce(strlen(text), 0) + strlen(lang) + strlen(source))::BIGINT AS memory_bytes,
+    round(sum(8 + 8 + strlen(text) + coalesce(strlen(text), 0) + strlen(lang) + strlen(source))::DOUBLE / 1048576, 4) AS memory_mb FROM documents""",
 )
 def p2(t: Tables):
     return profile.footprint(t("documents")).withColumn("memory_mb", F.round("memory_mb", 4))
@@ -87,7 +87,7 @@ def p5_approx(t: Tables):
 @query(
     "p7_overall_missing",
     f"""WITH {LABELLED_CTE}, m AS (SELECT count(*) AS n, {' + '.join(f'(count(*) - count({c}))' for c in LABELLED)} AS m
-    FROM labelled) SELECT m::BIGINT AS total_missing, round(m::DOUBLE * 100 / (n * 6), 4) AS overall_missing_pct FROM m""",
+    FROM labelled) SELECT m::BIGINT AS total_missing, round(m::DOUBLE * 100 / (n * 7), 4) AS overall_missing_pct FROM m""",
 )
 def p7(t: Tables):
     found = profile.overall_missing(documents_with_labels(t))
@@ -320,7 +320,7 @@ def p18(t: Tables):
     + _profile_sql(
         "labelled",
         LABELLED,
-        ["bigint", "string", "string", "bigint", "int", "int"],
+        ["bigint", "string", "string", "string", "bigint", "int", "int"],
         ["doc_id", "n_chars", "quality", "toxic"],
     ),
 )
@@ -331,9 +331,9 @@ def p18_gaps(t: Tables):
 @query(
     "p18_table_profile",
     f"""WITH {LABELLED_CTE}, m AS (SELECT count(*) AS n, {' + '.join(f'(count(*) - count({c}))' for c in LABELLED)} AS m,
-      sum(8 + 8 + 4 + 4 + strlen(lang) + strlen(source)) AS bytes FROM labelled)
-    SELECT n AS "rows", 6::BIGINT AS "columns", 0::BIGINT AS duplicate_rows, m::BIGINT AS total_missing,
-      round(m::DOUBLE * 100 / (n * 6), 4) AS overall_missing_pct, round(bytes::DOUBLE / 1048576, 4) AS memory_mb FROM m""",
+      sum(8 + 8 + 4 + 4 + coalesce(strlen(text), 0) + strlen(lang) + strlen(source)) AS bytes FROM labelled)
+    SELECT n AS "rows", 7::BIGINT AS "columns", 0::BIGINT AS duplicate_rows, m::BIGINT AS total_missing,
+      round(m::DOUBLE * 100 / (n * 7), 4) AS overall_missing_pct, round(bytes::DOUBLE / 1048576, 4) AS memory_mb FROM m""",
 )
 def p18_table(t: Tables):
     found = profile.table_profile(documents_with_labels(t))
@@ -347,26 +347,26 @@ def p18_table(t: Tables):
     union(
         [
             f"SELECT '{c}' AS \"column\", {c}::VARCHAR AS \"value\", count(*) AS n FROM lineitem GROUP BY {c}"
-            for c in ["l_returnflag", "l_linestatus", "l_linenumber", "l_suppkey"]
+            for c in LINEITEM
         ]
     ),
 )
 def p19(t: Tables):
-    return profile.value_counts(t("lineitem"), ["l_returnflag", "l_linestatus", "l_linenumber", "l_suppkey"])
+    return profile.value_counts(t("lineitem"))
 
 
 @query(
     "p20_profile_by",
     union(
         [
-            _numeric_sql(c, "lineitem", "l_linestatus, l_returnflag")
-            for c in ["l_quantity", "l_extendedprice", "l_partkey"]
+            *[_numeric_sql(c, "lineitem", "l_linestatus, l_returnflag") for c in LINEITEM_NUMERIC],
+            """SELECT l_linestatus, l_returnflag, 'l_shipdate', NULL, NULL, NULL, NULL, NULL, NULL, NULL
+      FROM lineitem GROUP BY l_linestatus, l_returnflag""",
         ]
     ),
 )
 def p20(t: Tables):
-    df = t("lineitem").select("l_linestatus", "l_returnflag", "l_quantity", "l_extendedprice", "l_partkey")
-    found = profile.profile_by(df, ["l_linestatus", "l_returnflag"])
+    found = profile.profile_by(t("lineitem"), ["l_linestatus", "l_returnflag"])
     return _rounded_stats(
         found, "l_linestatus", "l_returnflag", "column", "mean", "std", "min", "q25", "median", "q75", "max"
     )
@@ -516,7 +516,7 @@ def q3(t: Tables):
     "q4_summary_findings",
     f"""WITH {LABELLED_CTE}, target AS ({candidates_sql('labelled', LABELLED, 1)}),
     m AS (SELECT count(*) AS n, {' + '.join(f'(count(*) - count({c}))' for c in LABELLED)} AS m FROM labelled)
-    SELECT n AS "rows", 6::BIGINT AS "columns", "column" AS target, inferred_task AS task, m::BIGINT AS total_missing,
+    SELECT n AS "rows", 7::BIGINT AS "columns", "column" AS target, inferred_task AS task, m::BIGINT AS total_missing,
       0::BIGINT AS duplicate_rows FROM m, target""",
 )
 def q4(t: Tables):
