@@ -60,6 +60,15 @@ def r3_filtered(t: Tables):
     return hits.select("id", "name", rounded("score"))
 
 
+@query(
+    "r4_search_offline",
+    f"""WITH {LEDGER_CTE} SELECT id, name, 100.0::DOUBLE AS score FROM ledger
+    WHERE contains(lower(name), 'doc fr 1') ORDER BY id LIMIT 10""",
+)
+def r4_offline(t: Tables):
+    return search_datasets([], "DOC fr 1", ledger=document_ledger(t)).select("id", "name", "score")
+
+
 @query(
     "r4_search_local",
     f"""WITH {LEDGER_CTE} SELECT id, name, 100.0::DOUBLE AS score FROM ledger WHERE contains(lower(name), 'doc fr 1')""",
