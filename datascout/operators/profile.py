@@ -192,7 +192,7 @@ def duplicate_stats(df: DataFrame) -> DataFrame:
     places = [f"c{i}" for i in range(len(plain))]
     hashed = df.select(*plain).toDF(*places).withColumn("h", F.xxhash64(*places))
     repeated = written(hashed.groupBy("h").agg(F.count("*").alias("n")).where("n > 1"), "hashes")
-    heavy = F.broadcast(written(heavy_keys(repeated, ["h"]), "heavy"))  # fewer than HEAVY rows
+    heavy = F.broadcast(heavy_keys(repeated, ["h"]))  # fewer than HEAVY rows
     frequent = hashed.join(heavy, "h", "left_semi")
     others = hashed.join(heavy, "h", "left_anti").join(repeated, "h", "left_semi")
     # Grouped by the hash, so that the tasks count before the shuffle, and by all columns.
