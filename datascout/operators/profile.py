@@ -20,6 +20,10 @@ from datascout.runtime import written
 from datascout.schema import TARGET_PATTERNS, column_types, ident, is_numeric, nan_to_null, split_columns
 
 QUARTILES = [0.25, 0.5, 0.75]
+# Targets need exact numbers of values only below this; the rules compare with 15, 20 and 30.
+MANY = 31
+# Bits of `bitmap_construct_agg`.
+BITS = 32_768
 
 
 def _percent(part: Column, whole: Column) -> Column:
@@ -506,15 +510,58 @@ def _best(found: DataFrame, k: int) -> DataFrame:
     return found.orderBy(F.col("score").desc(), "ci").limit(k)
 
 
+def _bounded_counts(df: DataFrame, names: Sequence[str]) -> DataFrame:
+    """``(ci, total, missing_count, cardinality)`` of each column; the cardinality is exact below
+    ``MANY``, of a column with more values it says no more than that.
+
+    One pass sets a bit for each hash of a value, 4 KB a column and task. Values that share a bit
+    make the number too small, never too large: a column with ``MANY`` bits has as many values. Only
+    the values of the others, a handful each, are counted themselves. No value of a column with
+    many is shuffled.
+    """
+    marks = [F.count("*").alias("total")]
+    for i, name in enumerate(names):
+        dtype, value = df.schema[name].dataType, ident(name)
+        value = value if isinstance(dtype, (T.IntegralType, T.FloatType, T.DoubleType)) else as_text(value, dtype)
+        bit = F.when(value.isNotNull(), F.pmod(F.xxhash64(value), F.lit(BITS)))
+        marks += [F.count_if(value.isNull()).alias(f"m{i}"), F.bitmap_count(F.bitmap_construct_agg(bit)).alias(f"b{i}")]
+    seen = df.agg(*marks).first()
+    few = [i for i in range(len(names)) if seen[f"b{i}"] < MANY]
+    exact = {}
+    if few and seen["total"]:
+        # One row for each column.
+        figures = _column_counts(df, [names[i] for i in few]).collect()
+        exact = {few[r["ci"]]: r["cardinality"] for r in figures}
+    rows = [(i, seen["total"], seen[f"m{i}"], exact.get(i, seen[f"b{i}"])) for i in range(len(names))]
+    schema = "ci int, total bigint, missing_count bigint, cardinality bigint"
+    return df.sparkSession.createDataFrame(rows if seen["total"] else [], schema)
+
+
+def _likeliest(df: DataFrame, k: int) -> DataFrame:
+    """The ``k`` likeliest targets; a cardinality from ``MANY`` on is a lower bound."""
+    return _best(_candidates(_bounded_counts(df, df.columns), df.columns), k)
+
+
 def target_candidates(df: DataFrame, k: int = 3) -> DataFrame:
-    """The ``k`` likeliest target columns: ``(column, score, inferred_task, cardinality)``."""
+    """The ``k`` likeliest target columns: ``(column, score, inferred_task, cardinality)``.
+
+    Whether a column has few values is known without counting those of the others; the shown
+    cardinality is exact, so the values of a shown column with many are counted as well.
+    """
     df = nan_to_null(df)
-    return _best(_candidates(_column_counts(df, df.columns), df.columns), k).drop("ci")
+    best = _likeliest(df, k)
+    shown = best.collect()  # k rows, at most one for each column
+    many = [r["column"] for r in shown if r["cardinality"] >= MANY]
+    found = df.sparkSession.createDataFrame(shown, best.schema)
+    if many:
+        counted = _column_counts(df, many).select(_label(many).alias("column"), F.col("cardinality").alias("exact"))
+        found = found.join(counted, "column", "left").withColumn("cardinality", F.coalesce("exact", "cardinality"))
+    return _best(found, k).select("column", "score", "inferred_task", "cardinality")
 
 
 def default_target_row(df: DataFrame, fallback: str = "target") -> DataFrame:
     """One row ``(column)``: the likeliest target, or ``fallback``."""
-    return target_candidates(df, 1).agg(F.coalesce(F.first("column"), F.lit(fallback)).alias("column"))
+    return _likeliest(nan_to_null(df), 1).agg(F.coalesce(F.first("column"), F.lit(fallback)).alias("column"))
 
 
 def default_target(df: DataFrame, fallback: str = "target") -> str:
@@ -536,15 +583,18 @@ def _balance(counts: DataFrame, wanted: DataFrame, max_classes: int) -> DataFram
 
 def class_balance(df: DataFrame, column: str | None = None, max_classes: int = 30) -> DataFrame:
     """``(column, value, count, percentage)`` of the primary target (or of ``column``); no rows
-    when it has more than ``max_classes`` values."""
-    df = nan_to_null(df)
-    names = [column] if column else df.columns
-    counts = _typed_counts(df, names)
+    when it has more than ``max_classes`` values. Only the values of that column are counted, and
+    none of a column that is seen to have too many."""
+    df, spark = nan_to_null(df), df.sparkSession
     if column:
-        one = df.sparkSession.range(1).select(F.lit(0).alias("ci"), F.lit(column).alias("column"))
-        return _balance(counts, one, max_classes)
-    counts = written(counts, "counts")
-    return _balance(counts, _best(_candidates(_count_figures(counts), names), 1).select("ci", "column"), max_classes)
+        seen = _bounded_counts(df, [column]).first()
+    else:
+        seen = _likeliest(df, 1).first()
+        column = seen and seen["column"]
+    if seen is None or max_classes < MANY <= seen["cardinality"]:
+        return spark.createDataFrame([], "column string, value string, count bigint, percentage double")
+    one = spark.range(1).select(F.lit(0).alias("ci"), F.lit(column).alias("column"))
+    return _balance(_typed_counts(df, [column]), one, max_classes)
 
 
 # ---- the full report ----------------------------------------------------------------------

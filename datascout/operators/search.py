@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from datascout.functions.text import match_score, words
 from datascout.operators.groups import first_per_group, top_n_per_group
-from datascout.operators.substring import substring_pairs
+from datascout.operators.substring import needles_within, substring_pairs
 from datascout.runtime import cut_lineage
 
 # Id prefixes that differ from the provider name.
@@ -198,14 +198,19 @@ def alias_lookup(queries: DataFrame, aliases: DataFrame, limit: int = 10) -> Dat
     """``(query_id, id, rank)``: aliases that contain the query or lie within it.
 
     ``aliases`` holds ``alias`` (lower case, not blank), ``id`` and ``pos`` (table order). An
-    all-digit query without a match is taken as the id itself.
+    all-digit query without a match is taken as the id itself. A NULL query has no answer. Queries
+    may be long texts: those longer than every alias lie in none, and all aliases are sought in
+    one reading of a text.
     """
     asked = queries.select("query_id", F.lower("query").alias("text"))
     texts = asked.select("text").distinct()
     names = aliases.select("alias").distinct()
-    inside = substring_pairs(names, texts.where(F.col("text") != ""))
-    around = substring_pairs(texts, names)
-    pairs = inside.select("text", "alias").union(around.select("text", "alias")).distinct()
+    longest = names.agg(F.max(F.char_length("alias")).alias("longest"))  # one row
+    short = texts.join(F.broadcast(longest), F.char_length("text") <= F.col("longest")).where(F.col("text") != "")
+    inside = substring_pairs(names, short.select("text"))
+    around = needles_within(texts, names)
+    # Only a text equal to its alias is found both ways.
+    pairs = inside.select("text", "alias").union(around.where("text != alias").select("text", "alias"))
     found = pairs.join(aliases, "alias").select("text", "id", "pos")
     # A blank query lies within every alias; only the first of them can be returned.
     blank = aliases.orderBy("pos").limit(limit).select(F.lit("").alias("text"), "id", "pos")

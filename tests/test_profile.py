@@ -171,6 +171,36 @@ def test_target_rules(spark):
     assert [r["column"] for r in profile.target_candidates(small, 10).collect()] == ["y", "subclass"]
 
 
+def test_targets_count_no_more_values_than_they_need(spark, monkeypatch):
+    n = 600
+    df = spark.range(n, numPartitions=3).select(
+        (F.col("id") % 30).alias("thirty"), (F.col("id") % 31).cast("string").alias("label"), F.col("id").alias("id_target"),
+        F.when(F.col("id") % 5 > 0, (F.col("id") % 15).cast("decimal(9,2)")).alias("fifteen"),
+        F.expr("case id % 4 when 0 then 0d when 1 then -0d when 2 then double('nan') end").alias("zero"),
+        F.lit(None).cast("string").alias("class"), F.col("id").alias("last"),
+    )
+    counted = []
+    plain = profile._typed_counts
+    monkeypatch.setattr(profile, "_typed_counts", lambda df, names, keys=(): counted.append(list(names)) or plain(df, names, keys))
+    figures = {r["ci"]: r for r in profile._bounded_counts(profile.nan_to_null(df), df.columns).collect()}
+    assert counted == [["thirty", "fifteen", "zero", "class"]]
+    assert [figures[i]["cardinality"] for i in (0, 3, 4, 5)] == [30, 12, 1, 0]
+    assert all(figures[i]["cardinality"] >= profile.MANY for i in (1, 2, 6))
+    assert [figures[i]["missing_count"] for i in range(7)] == [0, 0, 0, 120, 300, 600, 0]
+    got = [tuple(r) for r in profile.target_candidates(df, 9).collect()]
+    assert got == [
+        ("label", 50.0, "Regression / High Cardinality", 31), ("id_target", 50.0, "Regression / High Cardinality", 600),
+        ("class", 50.0, "Classification", 0), ("fifteen", 30.0, "Classification", 12),
+    ]
+    counted.clear()
+    assert profile.default_target(df) == "label" and profile.class_balance(df).count() == 0
+    assert profile.class_balance(df, "id_target").count() == 0
+    assert not any({"label", "id_target", "last"} & set(names) for names in counted)
+    assert {r["count"] for r in profile.class_balance(df, "thirty").collect()} == {20}
+    assert profile.class_balance(df, "label", max_classes=31).count() == 31
+    assert profile.target_candidates(df.limit(0)).count() == 0 and profile.class_balance(df.limit(0)).count() == 0
+
+
 @pytest.mark.parametrize("shape", ["spread", "hot", "tiny", "powers"])
 def test_quantiles_are_exact(spark, shape):
     n = 5000

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from test_text import _python_score
 
 from datascout.operators import search
+from datascout.operators import substring
 from datascout.operators.substring import substring_pairs
 from datascout.plans.flows import search_datasets
 
@@ -39,6 +40,25 @@ def test_substring_pairs_equals_all_pairs(spark):
     assert sorted(map(tuple, got.collect())) == sorted((h, n) for h in hay for n in needles if n and n in h)
 
 
+def test_needles_within_equals_all_pairs_for_long_texts_and_many_needles(spark, monkeypatch):
+    rng = random.Random(2)
+    hay = ["", "é", "x" * 100_000 + "abc", *("".join(rng.choices("abcdé😀 ", k=n)) for n in (5, 60, 3_000, 100_000))]
+    needles = ["", "a", "é", "😀", "ab", "bc", "abc", "zz", "x" * 40, *("".join(rng.choices("abcdé😀 ", k=4)) for _ in range(30))]
+    needles = sorted(set(needles))
+    table = spark.createDataFrame([(h,) for h in [*hay, None]], "h string")
+    wanted = spark.createDataFrame([(n,) for n in needles], "n string")
+    expected = sorted((h, n) for h in hay for n in needles if n and n in h)
+    found = substring.needles_within(table, wanted)
+    assert sorted(map(tuple, found.collect())) == expected
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+    assert substring.needles_within(table, wanted.where("n = ''")).count() == 0
+    # Beyond the bound of one automaton the n-gram join gives the same.
+    monkeypatch.setattr(substring, "NEEDLES", 3)
+    assert sorted(map(tuple, substring.needles_within(table.where("length(h) < 4000"), wanted).collect())) == [
+        p for p in expected if len(p[0]) < 4000
+    ]
+
+
 def _random_catalog(rng, n, providers):
     vocabulary = ["data", "iris", "ir", "flower", "big", "x1", "Census", "données", "a"]
     out = []
@@ -104,6 +124,18 @@ def test_alias_lookup_equals_all_pairs(spark):
         assert got == sorted(expected)
 
 
+def test_alias_lookup_with_long_texts_empty_tables_and_nulls(spark):
+    table = spark.createDataFrame([("e", 1, 0), ("iris", 53, 1)], "alias string, id bigint, pos int")
+    long = "x y " * 25_000
+    asked = spark.createDataFrame(
+        [(1, long), (2, long + "Iris"), (3, long + "e"), (4, None), (4, "e"), (4, "e")], "query_id int, query string"
+    )
+    got = sorted(map(tuple, search.alias_lookup(asked, table).collect()))
+    assert got == [(2, 53, 1), (3, 1, 1), (4, 1, 1), (4, 1, 1)]
+    assert search.alias_lookup(asked.limit(0), table).count() == 0
+    assert search.alias_lookup(asked, table.limit(0)).count() == 0
+
+
 def test_resolve_takes_the_first_ledger_row(spark):
     ledger = spark.createDataFrame(
         [("a/1", "Wine", 0), ("wine", "other", 1), ("b/2", "WINE", 2)], "id string, name string, pos int"
