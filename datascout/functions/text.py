@@ -32,11 +32,12 @@ def match_score(
     description: Column,
     popularity: Column,
     quality: Column,
+    distinct: Column | None = None,
 ) -> Column:
     """Relevance of a catalog record for a query, 0 to 100.
 
     A literal query unrolls into plain ``contains`` tests that stay in generated code; a
-    query column goes through array functions.
+    query column goes through array functions, over its ``distinct`` words where they are known.
     """
     name_l, id_l = F.lower(name), F.lower(id)
     desc_l = F.lower(F.coalesce(description, F.lit("")))
@@ -54,7 +55,7 @@ def match_score(
             desc_hits = desc_hits + desc_l.contains(w).cast("int")
     else:
         whole = F.lower(query)
-        distinct = words(query)
+        distinct = words(query) if distinct is None else distinct
         n_words = F.size(distinct)
         title_hits = F.size(F.filter(distinct, lambda w: F.contains(name_l, w) | F.contains(id_l, w)))
         desc_hits = F.size(F.filter(distinct, lambda w: F.contains(desc_l, w)))

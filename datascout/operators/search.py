@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from datascout.functions.text import match_score, words
@@ -27,7 +25,7 @@ def dedupe(cat: DataFrame) -> DataFrame:
     return first_per_group(cat.withColumn("__key", key), ["__key"], best).drop("__key")
 
 
-def _score(query: str | Column) -> Column:
+def _score(query: str | Column, distinct: Column | None = None) -> Column:
     return match_score(
         query,
         F.col("id"),
@@ -35,6 +33,7 @@ def _score(query: str | Column) -> Column:
         F.col("description"),
         F.col("popularity"),
         F.col("quality_score"),
+        distinct,
     )
 
 
@@ -97,51 +96,99 @@ def _word_matches(cat: DataFrame, asked: DataFrame, scope: list[str]) -> DataFra
     )
 
 
+# What one word adds at most when all words of a query are in the title or the description, and what
+# a title adds that holds or is the whole query.
+IN_TITLE, IN_DESC, HOLDS_ALL, IS_ALL = 40.0, 10.0, 30.0, 50.0
+# Bands of popularity and quality in which the records of a word are read, from the top down.
+BANDS = 30
+
+
+def _gain() -> Column:
+    return F.col("in_title").cast("double") * IN_TITLE + F.col("in_desc").cast("double") * IN_DESC
+
+
+def _band(static: Column) -> Column:
+    return F.greatest(F.lit(0), F.least(F.lit(BANDS), F.floor(static).cast("int")))
+
+
+def _placed_words(asked: DataFrame, matches: DataFrame, scope: list[str]) -> DataFrame:
+    """The matched words of each text, commonest first, with what their records add at most."""
+    stats = matches.groupBy(*scope, "word").agg(
+        F.count("*").alias("spread"), F.max(_gain()).alias("gain"), F.max("static").alias("most")
+    )
+    order = Window.partitionBy(*scope, "text").orderBy(F.col("spread").desc(), "word")
+    earlier = order.rowsBetween(Window.unboundedPreceding, -1)
+    return (
+        asked.join(stats, [*scope, "word"])
+        .withColumn("n", F.size("words"))
+        .withColumn("place", F.row_number().over(order))
+        .withColumn("before", F.coalesce(F.sum("gain").over(earlier), F.lit(0.0)))
+        .drop("spread")
+    )
+
+
+def _within_reach(placed: DataFrame, bars: DataFrame, matches: DataFrame, scope: list[str]) -> DataFrame:
+    """``(text, words, id)`` of the records that can still be among the best of a text.
+
+    A record is looked at under the rarest of its words. It holds none but that and the commoner
+    ones, so its score is at most what those add, its popularity and quality, and, if it holds all,
+    the whole query. Records that stay below the bar of the text that way are left out; those of a
+    word are read by bands of popularity and quality, only as far down as the bar allows.
+    """
+    whole = F.when(F.col("place") == F.col("n"), F.lit(IS_ALL)).otherwise(0.0)
+    need = F.coalesce(F.col("bar"), F.lit(float("-inf"))) - F.lit(1e-6)
+    asked = (
+        placed.join(bars, [*scope, "text"], "left")
+        .withColumn("need", need - F.col("before") / F.col("n") - whole)
+        .withColumn("lowest", F.col("need") - F.col("gain") / F.col("n"))
+        .where(F.col("most").isNull() | (F.col("lowest") <= F.col("most")))
+        # At most BANDS + 1 rows for each word of a text.
+        .withColumn("band", F.explode(F.sequence(_band(F.greatest("lowest", F.lit(0.0))), F.lit(BANDS))))
+    )
+    banded = matches.withColumn("band", F.coalesce(_band(F.col("static")), F.lit(BANDS)))
+    pairs = asked.select(*scope, "text", "words", "word", "band", "n", "need").join(banded, [*scope, "word", "band"])
+    reached = F.col("static").isNull() | (F.col("static") + _gain() / F.col("n") >= F.col("need"))
+    return pairs.where(reached).select(*scope, "text", "words", "id")
+
+
 def _scoped_hits(cat: DataFrame, texts: DataFrame, scope: list[str], k: int) -> DataFrame:
     """Scored records for every query text, among them its ``k`` best.
 
-    The most common word of a query is not expanded to all its records. A record that
-    matches no other word of the query scores by its own popularity and quality alone, so of
-    those only the ``k`` best for that word and kind of match can be among the best of the
-    query: any further one has ``k`` records before it.
+    The most popular records of every word are scored first; the ``k``-th of them sets the bar of a
+    text. Then only records that can reach the bar are scored. Where fewer than ``k`` were found
+    there is no bar: then no word has more records than were found.
     """
-    asked = texts.select(*scope, "text", F.explode(words(F.col("text"))).alias("word"))
-    # Read four times below.
+    group, key = [*scope, "text"], [*scope, "word"]
+    # The words of a text go along, so that they are cut once for each text.
+    carried = [*group, "words", "id"]
+    asked = texts.select(*group, words(F.col("text")).alias("words"))
+    asked = asked.select("*", F.explode("words").alias("word"))
+    # Read several times below.
     matches = cut_lineage(_word_matches(cat, asked, scope))
-    key = [*scope, "word"]
     best = [F.col("static").desc(), F.col("id")]
-    heads = top_n_per_group(matches, [*key, "in_title", "in_desc"], best, k)
-    alone = F.least(
-        F.lit(100.0),
-        F.col("in_title").cast("int") * 40.0
-        + F.col("in_desc").cast("int") * 10.0
-        + F.when(F.col("is_whole"), 50.0).when(F.col("in_title"), 30.0).otherwise(0.0)
-        + F.col("static"),
-    )
+    whole = F.when(F.col("is_whole"), IS_ALL).when(F.col("in_title"), HOLDS_ALL).otherwise(0.0)
+    # A text that is its only word scores by what is known of that word's records.
+    alone = F.least(F.lit(100.0), _gain() + whole + F.col("static"))
     alone_heads = top_n_per_group(matches, key, [alone.desc(), F.col("id")], k)
-    spread = matches.groupBy(*key).agg(F.count("*").alias("spread"))
-    commonest = (
-        asked.join(spread, key)
-        .groupBy(*scope, "text")
-        .agg(F.max_by("word", F.struct("spread", "word")).alias("common"))
-    )
-    marked = asked.join(commonest, [*scope, "text"]).withColumn("n", F.size(words(F.col("text"))))
-    is_common, is_text = F.col("word") == F.col("common"), F.col("word") == F.col("text")
-    # One word repeated or with spaces around it is not its word: titles may hold it whole.
-    spaced = (F.col("n") == 1) & ~is_text
-    parts = [
-        marked.where(~is_common).join(matches, key),
-        marked.where(is_common & ~is_text).join(heads, key),
-        marked.where(is_text).join(alone_heads, key),
-        marked.where(spaced).join(matches.where("in_title"), key),
-    ]
-    candidates = reduce(DataFrame.union, [p.select(*scope, "text", "id") for p in parts]).distinct()
+    placed = _placed_words(asked, matches, scope)
+    is_text = F.col("word") == F.col("text")
+    several = placed.where(~is_text)
+    heads = top_n_per_group(matches, [*key, "in_title", "in_desc"], best, k)
     fields = ["id", "name", "description", "popularity", "quality_score"]
-    return (
-        candidates.join(cat.select(*scope, *fields), [*scope, "id"])
-        .withColumn("score", _score(F.col("text")))
-        .select(*scope, "text", "id", "score")
-    )
+
+    # Small rows with much work each: they are not to be gathered in few tasks.
+    tasks = int(cat.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def score(candidates: DataFrame) -> DataFrame:
+        found = candidates.join(cat.select(*scope, *fields), [*scope, "id"]).repartition(tasks, *group, "id")
+        found = found.dropDuplicates([*group, "id"])
+        return found.withColumn("score", _score(F.col("text"), F.col("words"))).select(*group, "id", "score")
+
+    opening = score(several.join(heads, key).select(*carried))
+    bars = top_n_per_group(opening, group, [F.col("score").desc(), F.col("id")], k, rank="rank")
+    bars = bars.where(F.col("rank") == k).select(*group, F.col("score").alias("bar"))
+    candidates = _within_reach(several, bars, matches, scope).select(*carried)
+    return score(candidates.union(placed.where(is_text).join(alone_heads, key).select(*carried)))
 
 
 def search_batch(

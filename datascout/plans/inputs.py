@@ -63,6 +63,17 @@ CATALOG_CTE = """cat AS (
     'http://data.example/' || p_partkey AS source_url, p_type AS tag1, p_brand AS tag2
   FROM part)"""
 
+def named_catalog(t: Tables) -> DataFrame:
+    """`part_catalog` with a name of its own for most parts; every eighth keeps one it shares."""
+    own = F.concat("name", F.lit(" v"), F.regexp_extract("id", "([0-9]+)$", 1))
+    shared = F.regexp_extract("id", "([0-9]+)$", 1).cast("bigint") % 8 == 0
+    return part_catalog(t).withColumn("name", F.when(shared, F.col("name")).otherwise(own))
+
+
+NAMED_CTE = CATALOG_CTE.replace(
+    "p_name AS name", "CASE WHEN p_partkey % 8 = 0 THEN p_name ELSE p_name || ' v' || p_partkey END AS name"
+)
+
 DEDUPED_CTE = (
     CATALOG_CTE
     + """, deduped AS (
@@ -189,3 +200,6 @@ def conditions_sql(text: str) -> str:
     coalesce({condition('>', 'more than|greater than|>', rows, False)},
       {condition('<', 'less than|fewer than|<', rows, False)}) AS rows_cond,
     CASE {license} END AS license_type"""
+
+
+NAMED_DEDUPED_CTE = NAMED_CTE + DEDUPED_CTE.removeprefix(CATALOG_CTE)

@@ -8,7 +8,9 @@ from datascout.plans.inputs import (
     CATALOG_CTE,
     DEDUPED_CTE,
     LEDGER_CTE,
+    NAMED_DEDUPED_CTE,
     document_ledger,
+    named_catalog,
     part_catalog,
     rounded,
     score_sql,
@@ -47,6 +49,15 @@ def r3(t: Tables):
     return search.search(search.dedupe(part_catalog(t)), ASKED, 10).select("id", "name", rounded("score"))
 
 
+@query(
+    "r3_search_many_names",
+    f"""WITH {NAMED_DEDUPED_CTE}, s AS (SELECT id, name, {score_sql(_LITERAL, words_sql(_LITERAL))} AS score FROM deduped)
+    SELECT id, name, round(score, 4) AS score FROM s ORDER BY s.score DESC, id LIMIT 10""",
+)
+def r3_many(t: Tables):
+    return search.search(search.dedupe(named_catalog(t)), ASKED, 10).select("id", "name", rounded("score"))
+
+
 @query(
     "r3_search_filtered",
     f"""WITH {DEDUPED_CTE}, s AS (
@@ -141,21 +152,31 @@ def _batch_queries(t: Tables):
     return t("part").select(F.col("p_partkey").alias("query_id"), asked.alias("query"))
 
 
-@query(
-    "r6_search_batch",
-    f"""WITH {DEDUPED_CTE}, q AS (SELECT DISTINCT lower({_BATCH}) AS text FROM part),
+def _batch_sql(deduped: str) -> str:
+    return f"""WITH {deduped}, q AS (SELECT DISTINCT lower({_BATCH}) AS text FROM part),
     w AS (SELECT text, {words_sql('text')} AS words FROM q),
     s AS (SELECT text, id, {score_sql('text', 'words')} AS score FROM w, deduped),
     top AS (SELECT *, row_number() OVER (PARTITION BY text ORDER BY score DESC, id) AS place FROM s)
     SELECT p_partkey AS query_id, id, round(score, 4) AS score, place::BIGINT AS "rank"
-    FROM part JOIN top ON text = lower({_BATCH}) WHERE place <= 5""",
-)
-def r6(t: Tables):
-    cat = cut_lineage(search.dedupe(part_catalog(t)))  # read several times
+    FROM part JOIN top ON text = lower({_BATCH}) WHERE place <= 5"""
+
+
+def _batch(t: Tables, catalog):
+    cat = cut_lineage(search.dedupe(catalog))  # read several times
     found = search.search_batch(cat, _batch_queries(t), 5)
     return found.select("query_id", "id", rounded("score"), F.col("rank").cast("bigint").alias("rank"))
 
 
+@query("r6_search_batch", _batch_sql(DEDUPED_CTE))
+def r6(t: Tables):
+    return _batch(t, part_catalog(t))
+
+
+@query("r6_search_many_names", _batch_sql(NAMED_DEDUPED_CTE))
+def r6_many(t: Tables):
+    return _batch(t, named_catalog(t))
+
+
 _REQUEST = """CASE c_custkey % 3 WHEN 0 THEN 'hf/doc' || (c_custkey % 700) WHEN 1 THEN 'DOC en ' || (c_custkey % 60)
   ELSE 'none ' || c_custkey END"""
 

@@ -5,8 +5,7 @@ from conftest import CATALOG_DDL, ids
 from pyspark.sql import functions as F
 from test_text import _python_score
 
-from datascout.operators import search
-from datascout.operators import substring
+from datascout.operators import search, substring
 from datascout.operators.substring import substring_pairs
 from datascout.plans.flows import search_datasets
 
@@ -87,6 +86,34 @@ def test_search_batch_equals_single_searches(spark, min_score):
             assert all(abs(g[2] + e[0]) < 1e-9 for g, e in zip(got, expected))
 
 
+def test_search_batch_reads_only_what_can_reach_the_bar(spark, monkeypatch):
+    rng = random.Random(8)
+    names, texts = ["small", "large"], ["set of data", "data", None]
+    records = [
+        _record(i, f"{rng.choice(names)} data v{i}", "p", rng.choice(texts), float(i * 37 % 101), float(i * 53 % 101))
+        for i in range(1500)
+    ]
+    asked = ["small data", "large data v77", "data set of", "v1 zebra data", " data ", "data", "small  data set of v1499"]
+    read = []
+    plain = search._within_reach
+
+    def noted(placed, bars, matches, scope):
+        out = plain(placed, bars, matches, scope)
+        read.append((out.count(), placed.join(matches, [*scope, "word"]).count()))
+        return out
+
+    monkeypatch.setattr(search, "_within_reach", noted)
+    cat = spark.createDataFrame(records, CATALOG_DDL)
+    queries = spark.createDataFrame(list(enumerate(asked)), "query_id int, query string")
+    found = search.search_batch(cat, queries, 5).collect()
+    for i, q in enumerate(asked):
+        scored = sorted((-_python_score(q, r[0], r[1], r[10], r[8], r[9]), r[0]) for r in records)[:5]
+        got = sorted((r["rank"], r["id"], round(r["score"], 6)) for r in found if r["query_id"] == i)
+        assert got == [(n + 1, id, round(-s, 6)) for n, (s, id) in enumerate(scored)], q
+    ((candidates, postings),) = read
+    assert candidates * 4 < postings, (candidates, postings)
+
+
 def test_search_batch_within_a_scope(spark):
     rng = random.Random(6)
     records = _random_catalog(rng, 60, ["p", "q", "r"])
