@@ -85,7 +85,7 @@ def _word_matches(cat: DataFrame, asked: DataFrame, scope: list[str]) -> DataFra
         asked.select(*scope, "word")
         .distinct()
         .join(pairs, "word")
-        .join(postings, [*scope, "token"])
+        .join(postings.hint("merge"), [*scope, "token"])
         .groupBy(*scope, "word", "id")
         .agg(
             F.max("static").alias("static"),
@@ -180,7 +180,7 @@ def _scoped_hits(cat: DataFrame, texts: DataFrame, scope: list[str], k: int) ->
     tasks = int(cat.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def score(candidates: DataFrame) -> DataFrame:
-        found = candidates.join(cat.select(*scope, *fields), [*scope, "id"]).repartition(tasks, *group, "id")
+        found = candidates.join(cat.select(*scope, *fields).hint("merge"), [*scope, "id"]).repartition(tasks, *group, "id")
         found = found.dropDuplicates([*group, "id"])
         return found.withColumn("score", _score(F.col("text"), F.col("words"))).select(*group, "id", "score")
 
@@ -204,6 +204,9 @@ def search_batch(
     text is worked out once. ``scope`` names columns both tables share (such as ``provider``)
     that must agree. With ``min_score`` 0 a query with fewer than ``k`` matches is filled up
     with score-0 records in id order, as one search does.
+
+    Joins with the whole catalog or all queries are merge joins: their size would be guessed by that of
+    compressed files, and tables far above the limit of broadcasts would go through the driver.
     """
     scope = scope or []
     group = [*scope, "text"]
@@ -215,6 +218,7 @@ def search_batch(
         hits = hits.where(F.col("score") >= min_score)
     top = top_n_per_group(hits, group, order, k)
     if min_score <= 0:
+        top = cut_lineage(top)  # read twice
         # Fewer than k matches stand before the filler, so the first 2k - 1 ids hold enough of it.
         head = top_n_per_group(cat.select(*scope, "id"), scope or [F.lit(0)], [F.col("id")], 2 * k - 1)
         head = head.groupBy(*scope).agg(F.collect_list("id").alias("ids")) if scope else _as_array(head)
@@ -233,7 +237,7 @@ def search_batch(
         )
         top = top.unionByName(filler)
     ranked = top_n_per_group(top, group, order, k, rank="rank")
-    return asked.join(ranked, group).select("query_id", *scope, "id", "score", "rank")
+    return asked.hint("merge").join(ranked, group).select("query_id", *scope, "id", "score", "rank")
 
 
 def _as_array(head: DataFrame) -> DataFrame:
@@ -269,7 +273,7 @@ def alias_lookup(queries: DataFrame, aliases: DataFrame, limit: int = 10) -> Dat
         .select("text", F.col("text").try_cast("bigint").alias("id"), F.lit(1).alias("rank"))
     )
     answers = top.select("text", F.col("id").cast("bigint").alias("id"), "rank").union(literal)
-    return asked.join(answers, "text").select("query_id", "id", "rank")
+    return asked.hint("merge").join(answers, "text").select("query_id", "id", "rank")  # see search_batch
 
 
 def resolve(requests: DataFrame, ledger: DataFrame) -> DataFrame:

@@ -209,3 +209,22 @@ def test_limit_per_provider_with_salted_cut(spark, monkeypatch):
 def test_top_n_is_cut_before_the_shuffle(spark, catalog):
     plan = search.dedupe(catalog)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("WindowGroupLimit") == 2
+
+
+def test_whole_tables_are_not_broadcast(spark, catalog):
+    """Sizes are guessed without the copies that rows get, so what is small by its guess is not."""
+
+    def plan(df):
+        return df._jdf.queryExecution().executedPlan().toString()
+
+    hay = spark.range(3000).select(F.concat(F.lit("part/"), F.col("id").cast("string")).alias("token")).distinct()
+    needles = spark.createDataFrame([("art/12",), ("99",), ("none",)], "word string").distinct()
+    pairs = substring_pairs(hay, needles)
+    assert sorted(r["token"] for r in pairs.where("word = 'art/12'").collect()) == sorted(
+        f"part/{i}" for i in range(3000) if str(i).startswith("12")
+    )
+    assert "BuildLeft" not in (pairs.collect() and plan(pairs))
+    queries = spark.range(2000).select(F.col("id").alias("query_id"), F.concat(F.lit("iris flowers x"), F.col("id").cast("string")).alias("query"))
+    found = search.search_batch(catalog, queries, k=1)
+    assert {(r["query_id"], r["id"]) for r in found.collect()} == {(i, "uci/1") for i in range(2000)}
+    assert "BuildLeft" not in plan(found)
