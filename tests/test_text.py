@@ -1,4 +1,5 @@
 import random
+from decimal import Decimal
 
 from pyspark.sql import functions as F
 
@@ -26,6 +27,33 @@ def test_format_size_matches_python(spark):
     assert got == [_python_size(s) for s in sizes]
 
 
+def test_format_size_beyond_64_bits(spark):
+    def exact(s):
+        tenths, rest = divmod(10 * s, 1024**5)
+        tenths += 2 * rest > 1024**5 or (2 * rest == 1024**5 and tenths % 2 == 1)
+        return f"{tenths // 10}.{tenths % 10} PB"
+
+    rng = random.Random(5)
+    sizes = [2**63 - 1, 2**63, 2**63 + 2**46, 2**64 + 2**49, 3 * 2**70 + 2**49, 3 * 8_999_994**3, 10**37]
+    sizes += [rng.randrange(2**60, 2 ** rng.randrange(62, 120)) for _ in range(300)]
+    sizes += [1024**5 * k + 1024**5 // 20 * j for k in (10**4, 10**9) for j in range(20)]
+    rows = [(Decimal(s),) for s in sizes] + [(Decimal(-(10**30)),), (None,), (Decimal(1536),)]
+    df = spark.createDataFrame(rows, "s decimal(38,0)")
+    got = [r[0] for r in df.select(text.format_size(F.col("s"))).collect()]
+    assert got == [*map(exact, sizes), "Unknown", "Unknown", "1.5 KB"]
+    longs = spark.createDataFrame([(2**63 - 1,), (-(2**63),)], "s bigint")
+    assert [r[0] for r in longs.select(text.format_size(F.col("s"))).collect()] == ["8192.0 PB", "Unknown"]
+
+
+def test_format_size_query_over_large_keys(spark, tmp_path):
+    from datascout.plans import registry, work_filters  # noqa: F401
+
+    keys = spark.createDataFrame([(0,), (7,), (9_000_000,), (None,)], "o_orderkey bigint")
+    keys.write.parquet(f"{tmp_path}/orders.parquet")
+    found = {r[0]: r[1] for r in registry.QUERIES["f11_format_size"](spark, str(tmp_path)).collect()}
+    assert found == {0: "Unknown", 7: "24.0 B", 9_000_000: "1942443.0 PB", None: "Unknown"}
+
+
 def test_parse_size(spark):
     cases = {
         "12 MB": 12 * 1024**2, "12MB": None, "7": 7, "x GB": None, "": None, "  ": None, "1.5 kb": 1536, "3 blocks": 3,
