@@ -184,7 +184,8 @@ def s8(t: Tables):
 def s9(t: Tables):
     path = scratch_path(t.spark, "s9")
     rows = t("documents").select("lang", F.regexp_replace("text", "[\r\n]", " ").alias("text"))
-    rows.repartition("lang").write.partitionBy("lang").option("encoding", "ISO-8859-1").csv(path)
+    # Every task writes a file for each language it meets, so that no task reads all of a language.
+    rows.write.partitionBy("lang").option("encoding", "ISO-8859-1").csv(path)
     found = files.detect_encoding(files.text_lines(t.spark, f"{path}/lang=*"), files.file_names(t.spark, f"{path}/lang=*"))
     lang = F.regexp_extract("path", "lang=([a-z]+)", 1).alias("lang")
     # A language of many files is latin-1 if any of them is.
