@@ -1,5 +1,6 @@
 """Queries: sources and sinks. Files are written by Spark below the shared folder, then read back."""
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -93,12 +94,20 @@ def s4_columns(t: Tables):
 
 @query("s4_read_json_texts", "SELECT doc_id, text, lang FROM documents")
 def s4_texts(t: Tables):
-    """All documents as one array in one file, which is read in splits; texts hold brackets and quotes."""
+    """All documents as arrays, a file for each writing task, which are read in splits; texts hold brackets and quotes."""
     path = scratch_path(t.spark, "s4t")
     record = F.to_json(F.struct("doc_id", "text", "lang"), {"ignoreNullFields": "false"})
-    one = lambda text: t.spark.range(1, numPartitions=1).select(F.lit(text).alias("value"))
     rows = t("documents").select(F.concat(record, F.lit(",")).alias("value"))
-    one("[").unionByName(rows).unionByName(one("null]")).coalesce(1).write.text(path)
+    # A task writes what four tasks read, so that a file of many documents is longer than a split.
+    rows = rows.coalesce(-(-max(1, rows.rdd.getNumPartitions()) // 4))
+
+    def as_array(batches):
+        line = lambda text: pa.RecordBatch.from_arrays([pa.array([text], pa.string())], ["value"])
+        yield line("[")
+        yield from batches
+        yield line("null]")
+
+    rows.mapInArrow(as_array, "value string").write.text(path)
     return readers.read_json_doc(t.spark, path).select("doc_id", "text", "lang")
 
 

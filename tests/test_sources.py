@@ -175,3 +175,45 @@ def test_files_of_a_mixed_folder_are_read_each_in_its_own_way(spark, tmp_path):
     write(tmp_path / "g.csv", "n;x\n3;a;b\n")
     with pytest.raises(ValueError, match="more fields"):
         readers.read_table(spark, str(tmp_path))
+
+
+def _many_files(spark, folder):
+    rows = [(i, f"t [{i}] \"q\" }} café" if i % 2 else f"plain {i}", "en" if i % 2 else "de") for i in range(80)]
+    spark.createDataFrame(rows, "doc_id bigint, text string, lang string").repartition(8).write.parquet(f"{folder}/documents.parquet")
+    return rows
+
+
+def _query_over_small_splits(spark, name, folder):
+    """The rows of a query, and the folder of the files that it wrote."""
+    import glob
+
+    from datascout.plans import registry, work_sources  # noqa: F401
+
+    label = {"s4_read_json_texts": "s4t", "s9_detect_encoding": "s9"}[name]
+    shared = spark.conf.get("spark.checkpoint.dir")
+    before = set(glob.glob(f"{shared}/{label}-*"))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "64k")
+    try:
+        found = [tuple(r) for r in registry.QUERIES[name](spark, str(folder)).collect()]
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    (made,) = set(glob.glob(f"{shared}/{label}-*")) - before
+    return found, made
+
+
+def test_json_texts_are_written_by_several_tasks(spark, tmp_path):
+    from pathlib import Path
+
+    rows = _many_files(spark, tmp_path)
+    found, made = _query_over_small_splits(spark, "s4_read_json_texts", tmp_path)
+    assert sorted(found) == rows
+    assert len(list(Path(made).glob("part-*"))) == 2
+
+
+def test_a_language_is_written_by_several_tasks(spark, tmp_path):
+    from pathlib import Path
+
+    _many_files(spark, tmp_path)
+    found, made = _query_over_small_splits(spark, "s9_detect_encoding", tmp_path)
+    assert sorted(found) == [("de", "utf-8"), ("en", "latin-1")]
+    assert len(list(Path(made).glob("lang=en/part-*"))) > 1
