@@ -159,6 +159,8 @@ TREES, SEED = 100, 42
 ROUNDS, STEP, DEPTH = 10, 0.3, 6
 # Fixed value: targets with at most so many values are classes.
 MOST_CLASSES = 20
+# Feature values of the rows that one task trains on. Tree learners keep them as objects, about 35 bytes each.
+TASK_CELLS = 4_000_000
 
 
 def _prepared(train: DataFrame, test: DataFrame, target: str, classes: bool, scaled: bool) -> list[DataFrame]:
@@ -190,6 +192,16 @@ def _prepared(train: DataFrame, test: DataFrame, target: str, classes: bool, sca
     return [assemble(d).select("features", "label") for d in both]
 
 
+def _dealt(rows: DataFrame, train: DataFrame, target: str) -> DataFrame:
+    """Training rows as they are, or dealt evenly where a task has more than ``TASK_CELLS`` values of features."""
+    width = max(1, len([c for c in split_columns(train)[0] if c != target]))
+    counts = rows.groupBy(F.spark_partition_id().alias("task")).agg(F.count("*").alias("n"))
+    size = counts.agg(F.max("n").alias("most"), F.sum("n").alias("total")).first()
+    if (size["most"] or 0) * width <= TASK_CELLS:
+        return rows
+    return rows.repartition(max(-(-size["total"] * width // TASK_CELLS), rows.sparkSession.sparkContext.defaultParallelism))
+
+
 def _score(spark, metric: str, value: float, objective: str) -> DataFrame:
     return spark.createDataFrame([(objective, metric, float(value))], "objective string, metric string, value double")
 
@@ -207,7 +219,7 @@ def fit_baseline(
         regression = cardinality(train, [target]).first()["cardinality"] > MOST_CLASSES
     data = _prepared(train, test, target, classes=not regression, scaled=True)
     learner = RandomForestRegressor if regression else RandomForestClassifier
-    model = learner(numTrees=trees, seed=seed).fit(data[0])
+    model = learner(numTrees=trees, seed=seed).fit(_dealt(data[0], train, target))
     metric = "r2" if regression else "accuracy"
     evaluator = (RegressionEvaluator if regression else MulticlassClassificationEvaluator)(metricName=metric)
     value = evaluator.evaluate(model.transform(data[1]))
@@ -226,7 +238,7 @@ def fit_boosted(
     objective = choose_objective(train, target)
     learner = GBTClassifier(maxIter=rounds, stepSize=step, maxDepth=depth, seed=seed)
     metric = "logLoss" if objective == "binary" else "accuracy"
-    model = (learner if objective == "binary" else OneVsRest(classifier=learner)).fit(data[0])
+    model = (learner if objective == "binary" else OneVsRest(classifier=learner)).fit(_dealt(data[0], train, target))
     value = MulticlassClassificationEvaluator(metricName=metric).evaluate(model.transform(data[1]))
     return _score(train.sparkSession, metric, value, objective)
 

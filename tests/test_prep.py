@@ -106,3 +106,12 @@ def test_baselines_take_gaps_and_any_two_labels(spark):
     assert prep.fit_baseline(train.drop("y"), test.drop("y"), "z", trees=5).first()["objective"] == "regression"
     boosted = prep.fit_boosted(train.drop("z"), test.drop("z"), "y", rounds=3).first()
     assert boosted["objective"] == "binary" and boosted["value"] < 0.6
+
+
+def test_training_rows_are_dealt_evenly(spark, monkeypatch):
+    rows = spark.range(1000).select(F.col("id").alias("a"), (F.col("id") * 2).alias("b"), F.lit("x").alias("y")).coalesce(1)
+    assert prep._dealt(rows, rows, "y").rdd.getNumPartitions() == 1
+    monkeypatch.setattr(prep, "TASK_CELLS", 100)
+    dealt = prep._dealt(rows, rows, "y")
+    assert max(r["count"] for r in dealt.groupBy(F.spark_partition_id()).count().collect()) <= 60
+    assert sorted(r["a"] for r in dealt.collect()) == list(range(1000))
