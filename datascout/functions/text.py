@@ -60,11 +60,22 @@ def match_score(
         n_words = F.size(distinct)
         title_hits = F.size(F.filter(distinct, lambda w: F.contains(name_l, w) | F.contains(id_l, w)))
         desc_hits = F.size(F.filter(distinct, lambda w: F.contains(desc_l, w)))
-    bonus = (
+    return hits_score(title_hits, desc_hits, n_words, whole_bonus(whole, name_l, id_l), popularity, quality)
+
+
+def whole_bonus(whole: Column, name_l: Column, id_l: Column) -> Column:
+    """What a record gains if its name or id is, or holds, the whole query (all in lower case)."""
+    return (
         F.when((whole == name_l) | (whole == id_l), 50.0)
         .when(F.contains(name_l, whole) | F.contains(id_l, whole), 30.0)
         .otherwise(0.0)
     )
+
+
+def hits_score(
+    title_hits: Column, desc_hits: Column, n_words: Column, bonus: Column, popularity: Column, quality: Column
+) -> Column:
+    """``match_score`` from the number of words of a query in the title and in the description of a record."""
     relevance = (
         F.coalesce(F.try_divide(title_hits, n_words), F.lit(0.0)) * 40.0
         + F.coalesce(F.try_divide(desc_hits, n_words), F.lit(0.0)) * 10.0

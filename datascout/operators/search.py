@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from datascout.functions.text import match_score, words
-from datascout.operators.groups import first_per_group, top_n_per_group
+from datascout.functions.text import hits_score, match_score, whole_bonus, words
+from datascout.operators.groups import first_per_group, sent_join, top_n_per_group
 from datascout.operators.substring import needles_within, substring_pairs
-from datascout.runtime import cut_lineage
+from datascout.runtime import cut_lineage, written
 
 # Id prefixes that differ from the provider name.
 ID_PREFIX_PROVIDER = {"hf": "huggingface"}
@@ -54,8 +54,9 @@ def search_local(downloads: DataFrame, query: str) -> DataFrame:
     return downloads.where(F.lower("name").contains(query.lower())).withColumn("score", F.lit(100.0))
 
 
-def _word_matches(cat: DataFrame, asked: DataFrame, scope: list[str]) -> DataFrame:
-    """``(word, id)`` for every asked word in a record's name, id or description.
+def _matched_records(cat: DataFrame, asked: DataFrame, scope: list[str]) -> DataFrame:
+    """The records with an asked word: ``id``, popularity, quality and, sorted, the asked words that lie in the
+    name or id (``titles``), that lie in the description (``descs``), and that are the whole name or id (``wholes``).
 
     A word holds no whitespace, so it lies within one whitespace-separated token. Words are
     matched to the distinct tokens of the catalog, far fewer than its records, and the token
@@ -76,23 +77,41 @@ def _word_matches(cat: DataFrame, asked: DataFrame, scope: list[str]) -> DataFra
     all_tokens = F.concat(
         tokens(F.concat_ws(" ", "name", "id"), True), tokens(F.coalesce("description", F.lit("")), False)
     )
-    static = F.col("popularity") * 0.2 + F.col("quality_score") * 0.1
-    postings = cat.select(*scope, "id", static.alias("static"), F.explode(all_tokens).alias("t")).select(
-        *scope, "id", "static", "t.*"
-    )
-    pairs = substring_pairs(postings.select("token").distinct(), asked.select("word").distinct())
+    # A record without an id is no answer.
+    record = [*scope, "id", "popularity", "quality_score"]
+    postings = cat.where("id is not null").select(*record, F.explode(all_tokens).alias("t")).select(*record, "t.*")
+    pairs = needles_within(postings.select("token").distinct(), asked.select("word").distinct())
+
+    def found(where: Column, name: str) -> Column:
+        return F.array_sort(F.collect_set(F.when(where, F.col("word")))).alias(name)
+
     return (
         asked.select(*scope, "word")
         .distinct()
         .join(pairs, "word")
         .join(postings.hint("merge"), [*scope, "token"])
-        .groupBy(*scope, "word", "id")
+        .select(*record, "word", "in_title", (F.col("is_whole") & (F.col("token") == F.col("word"))).alias("is_whole"))
+        .repartition(*scope, "id")  # lists grow after the shuffle only
+        .groupBy(*scope, "id")
         .agg(
-            F.max("static").alias("static"),
-            F.bool_or("in_title").alias("in_title"),
-            F.bool_or(~F.col("in_title")).alias("in_desc"),
-            F.bool_or(F.col("is_whole") & (F.col("token") == F.col("word"))).alias("is_whole"),
+            F.max("popularity").alias("popularity"),
+            F.max("quality_score").alias("quality_score"),
+            found(F.col("in_title"), "titles"),
+            found(~F.col("in_title"), "descs"),
+            found(F.col("is_whole"), "wholes"),
         )
+        .withColumn("static", F.col("popularity") * 0.2 + F.col("quality_score") * 0.1)
+    )
+
+
+def _postings(records: DataFrame) -> DataFrame:
+    """A row for each record and asked word in it."""
+    return records.withColumn("word", F.explode(F.array_union("titles", "descs"))).withColumns(
+        {
+            "in_title": F.array_contains("titles", F.col("word")),
+            "in_desc": F.array_contains("descs", F.col("word")),
+            "is_whole": F.array_contains("wholes", F.col("word")),
+        }
     )
 
 
@@ -101,6 +120,8 @@ def _word_matches(cat: DataFrame, asked: DataFrame, scope: list[str]) -> DataFra
 IN_TITLE, IN_DESC, HOLDS_ALL, IS_ALL = 40.0, 10.0, 30.0, 50.0
 # Bands of popularity and quality in which the records of a word are read, from the top down.
 BANDS = 30
+# Scores are compared by more than what the order of adding changes.
+CLOSE = 1e-6
 
 
 def _gain() -> Column:
@@ -111,44 +132,103 @@ def _band(static: Column) -> Column:
     return F.greatest(F.lit(0), F.least(F.lit(BANDS), F.floor(static).cast("int")))
 
 
+def _undominated(records: DataFrame, scope: list[str], k: int) -> DataFrame:
+    """The records that can be among the ``k`` best of a text without the bonus for whole queries.
+
+    Records with the same asked words in the title and in the description differ by popularity and
+    quality only, for every text: those with less than the ``k``-th of them have are left out, but for
+    what the limit of a score may make equal, and of those with equal popularity and quality the ``k`` first ids stay.
+    """
+    same = [*scope, "titles", "descs"]
+    heads = top_n_per_group(records, same, [F.col("static").desc(), F.col("id")], k)
+    # Fewer than k known values set no floor.
+    floors = heads.groupBy(*same).agg(F.when(F.count("static") >= k, F.min("static")).alias("floor"))
+    static = F.col("static")
+    limited = static >= 100.0 - IN_TITLE - IN_DESC - CLOSE
+    stays = static.isNull() | F.col("floor").isNull() | limited | (static >= F.col("floor") - CLOSE)
+    known = {f"__{c}": F.when(static.isNotNull(), F.col(c)) for c in ("popularity", "quality_score")}
+    near = sent_join(records, written(floors, "floors"), same).where(stays).withColumns(known)
+    return top_n_per_group(near, [*same, *known], [F.col("id")], k).select(*records.columns)
+
+
 def _placed_words(asked: DataFrame, matches: DataFrame, scope: list[str]) -> DataFrame:
-    """The matched words of each text, commonest first, with what their records add at most."""
+    """The matched words of each text, commonest first, with what their records add at most.
+
+    ``ranked`` holds them all in that order; ``whole`` says that each of the words, matched or not,
+    lies in the title of some record.
+    """
     stats = matches.groupBy(*scope, "word").agg(
-        F.count("*").alias("spread"), F.max(_gain()).alias("gain"), F.max("static").alias("most")
+        F.count("*").alias("spread"),
+        F.max(_gain()).alias("gain"),
+        F.when(F.bool_and(F.col("static").isNotNull()), F.max("static")).alias("most"),
+        F.bool_or("in_title").cast("int").alias("titled"),
     )
     order = Window.partitionBy(*scope, "text").orderBy(F.col("spread").desc(), "word")
     earlier = order.rowsBetween(Window.unboundedPreceding, -1)
+    every = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     return (
-        asked.join(stats, [*scope, "word"])
-        .withColumn("n", F.size("words"))
+        asked.withColumn("n", F.size("words"))
+        .drop("words")
+        .join(stats, [*scope, "word"])
         .withColumn("place", F.row_number().over(order))
         .withColumn("before", F.coalesce(F.sum("gain").over(earlier), F.lit(0.0)))
-        .drop("spread")
+        .withColumn("ranked", F.collect_list("word").over(every))
+        .withColumn("whole", F.sum("titled").over(every) == F.col("n"))
+        .drop("spread", "titled")
     )
 
 
-def _within_reach(placed: DataFrame, bars: DataFrame, matches: DataFrame, scope: list[str]) -> DataFrame:
-    """``(text, words, id)`` of the records that can still be among the best of a text.
+def _ranked_score(bonus: Column) -> Column:
+    """The score of a record with ``titles`` and ``descs`` for a text of ``n`` words, ``ranked`` those that any record has."""
+    return hits_score(
+        F.size(F.array_intersect("ranked", "titles")),
+        F.size(F.array_intersect("ranked", "descs")),
+        F.col("n"),
+        bonus,
+        F.col("popularity"),
+        F.col("quality_score"),
+    )
+
 
-    A record is looked at under the rarest of its words. It holds none but that and the commoner
-    ones, so its score is at most what those add, its popularity and quality, and, if it holds all,
-    the whole query. Records that stay below the bar of the text that way are left out; those of a
-    word are read by bands of popularity and quality, only as far down as the bar allows.
+def _within_reach(placed: DataFrame, bars: DataFrame, matches: DataFrame, scope: list[str]) -> DataFrame:
+    """``(text, id, score)`` of the records that can still be among the best of a text, without the
+    bonus for whole queries.
+
+    A record is looked at under the rarest of its words, once. It holds none but that and the commoner
+    ones, so its score is at most what those add, its popularity and quality. Records that stay
+    below the bar of the text that way are left out; those of a word are read by bands of
+    popularity and quality, only as far down as the bar allows. The words of a record go along
+    with it, so pairs are scored and left out where they are made.
     """
-    whole = F.when(F.col("place") == F.col("n"), F.lit(IS_ALL)).otherwise(0.0)
-    need = F.coalesce(F.col("bar"), F.lit(float("-inf"))) - F.lit(1e-6)
+    bar = F.coalesce(F.col("bar"), F.lit(float("-inf")))
     asked = (
         placed.join(bars, [*scope, "text"], "left")
-        .withColumn("need", need - F.col("before") / F.col("n") - whole)
+        .withColumn("bar", bar)
+        .withColumn("need", bar - CLOSE - F.col("before") / F.col("n"))
         .withColumn("lowest", F.col("need") - F.col("gain") / F.col("n"))
         .where(F.col("most").isNull() | (F.col("lowest") <= F.col("most")))
         # At most BANDS + 1 rows for each word of a text.
         .withColumn("band", F.explode(F.sequence(_band(F.greatest("lowest", F.lit(0.0))), F.lit(BANDS))))
+        .select(*scope, "text", "ranked", "place", "word", "band", "n", "need", "bar")
     )
     banded = matches.withColumn("band", F.coalesce(_band(F.col("static")), F.lit(BANDS)))
-    pairs = asked.select(*scope, "text", "words", "word", "band", "n", "need").join(banded, [*scope, "word", "band"])
+    pairs = sent_join(banded, written(asked, "asked"), [*scope, "word", "band"])
     reached = F.col("static").isNull() | (F.col("static") + _gain() / F.col("n") >= F.col("need"))
-    return pairs.where(reached).select(*scope, "text", "words", "id")
+    rarer = F.slice("ranked", F.col("place") + 1, F.size("ranked"))
+    rarest = ~(F.arrays_overlap(rarer, F.col("titles")) | F.arrays_overlap(rarer, F.col("descs")))
+    scored = pairs.where(reached & rarest).withColumn("score", _ranked_score(F.lit(0.0)))
+    return scored.where(F.col("score") >= F.col("bar")).select(*scope, "text", "id", "score")
+
+
+def _with_whole(placed: DataFrame, records: DataFrame, cat: DataFrame, scope: list[str]) -> DataFrame:
+    """``(text, id, score)`` of all records whose name or id holds the whole text, and so each of its words:
+    they are looked up under the rarest of those."""
+    asked = placed.where(F.col("whole") & (F.col("place") == F.col("n"))).select(*scope, "text", "ranked", "n", "word")
+    named = records.join(cat.select(*scope, "id", F.lower("name").alias("name_l")).hint("merge"), [*scope, "id"])
+    pairs = sent_join(named.withColumn("word", F.explode("titles")), written(asked, "whole"), [*scope, "word"])
+    bonus = whole_bonus(F.col("text"), F.col("name_l"), F.lower("id"))
+    holding = pairs.where(F.size(F.array_intersect("ranked", "titles")) == F.col("n")).where(bonus > 0)
+    return holding.select(*scope, "text", "id", _ranked_score(bonus).alias("score"))
 
 
 def _scoped_hits(cat: DataFrame, texts: DataFrame, scope: list[str], k: int) -> DataFrame:
@@ -156,39 +236,46 @@ def _scoped_hits(cat: DataFrame, texts: DataFrame, scope: list[str], k: int) ->
 
     The most popular records of every word are scored first; the ``k``-th of them sets the bar of a
     text. Then only records that can reach the bar are scored. Where fewer than ``k`` were found
-    there is no bar: then no word has more records than were found.
+    there is no bar: then no word has more records than were found. Scores come from the matched words
+    of a record, and the best of a text are cut in the tasks that make its pairs: no pairs are shuffled but
+    those of the best.
     """
     group, key = [*scope, "text"], [*scope, "word"]
-    # The words of a text go along, so that they are cut once for each text.
-    carried = [*group, "words", "id"]
     asked = texts.select(*group, words(F.col("text")).alias("words"))
     asked = asked.select("*", F.explode("words").alias("word"))
     # Read several times below.
-    matches = cut_lineage(_word_matches(cat, asked, scope))
-    best = [F.col("static").desc(), F.col("id")]
-    whole = F.when(F.col("is_whole"), IS_ALL).when(F.col("in_title"), HOLDS_ALL).otherwise(0.0)
-    # A text that is its only word scores by what is known of that word's records.
-    alone = F.least(F.lit(100.0), _gain() + whole + F.col("static"))
-    alone_heads = top_n_per_group(matches, key, [alone.desc(), F.col("id")], k)
-    placed = _placed_words(asked, matches, scope)
-    is_text = F.col("word") == F.col("text")
-    several = placed.where(~is_text)
-    heads = top_n_per_group(matches, [*key, "in_title", "in_desc"], best, k)
-    fields = ["id", "name", "description", "popularity", "quality_score"]
-
+    records = written(_matched_records(cat, asked, scope), "records")
+    matches = _postings(records)
+    placed = written(_placed_words(asked, matches, scope), "placed")
     # Small rows with much work each: they are not to be gathered in few tasks.
     tasks = int(cat.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    near = _postings(written(_undominated(records, scope, k), "near").repartition(tasks))
+    order = [F.col("score").desc(), F.col("id")]
+    is_text = F.col("word") == F.col("text")
+    several = placed.where(~is_text)
 
-    def score(candidates: DataFrame) -> DataFrame:
-        found = candidates.join(cat.select(*scope, *fields).hint("merge"), [*scope, "id"]).repartition(tasks, *group, "id")
-        found = found.dropDuplicates([*group, "id"])
-        return found.withColumn("score", _score(F.col("text"), F.col("words"))).select(*group, "id", "score")
-
-    opening = score(several.join(heads, key).select(*carried))
-    bars = top_n_per_group(opening, group, [F.col("score").desc(), F.col("id")], k, rank="rank")
+    best = [F.col("static").desc(), F.col("id")]
+    heads = top_n_per_group(near, [*key, "in_title", "in_desc"], best, k)
+    opening = (
+        several.select(*group, "ranked", "n", "word")
+        .join(heads, key)
+        .select(*group, "id", _ranked_score(F.lit(0.0)).alias("score"))
+        .dropDuplicates([*group, "id"])
+    )
+    bars = top_n_per_group(opening, group, order, k, rank="rank")
     bars = bars.where(F.col("rank") == k).select(*group, F.col("score").alias("bar"))
-    candidates = _within_reach(several, bars, matches, scope).select(*carried)
-    return score(candidates.union(placed.where(is_text).join(alone_heads, key).select(*carried)))
+    hits = top_n_per_group(_within_reach(several, bars, near, scope), group, order, k)
+    if not several.where("whole").isEmpty():
+        hits = hits.union(top_n_per_group(_with_whole(several, records, cat, scope), group, order, k))
+    if not placed.where(is_text).isEmpty():
+        # A text that is its only word scores by what is known of that word's records.
+        whole = F.when(F.col("is_whole"), IS_ALL).when(F.col("in_title"), HOLDS_ALL).otherwise(0.0)
+        hit, in_desc = F.col("in_title").cast("int"), F.col("in_desc").cast("int")
+        alone = hits_score(hit, in_desc, F.lit(1), whole, F.col("popularity"), F.col("quality_score"))
+        heads = top_n_per_group(matches.withColumn("score", alone), key, order, k)
+        hits = hits.union(placed.where(is_text).select(*group, "word").join(heads, key).select(*group, "id", "score"))
+    # A record found with and without the bonus for whole queries has it.
+    return hits.groupBy(*group, "id").agg(F.max("score").alias("score"))
 
 
 def search_batch(

@@ -114,6 +114,49 @@ def test_search_batch_reads_only_what_can_reach_the_bar(spark, monkeypatch):
     assert candidates * 4 < postings, (candidates, postings)
 
 
+def test_search_batch_keeps_few_of_many_records_alike(spark, monkeypatch):
+    """Records with the same words and the same popularity and quality differ by id only."""
+    records = [_record(i, f"{['small', 'large'][i % 2]} data v{i}", "p", "set", 50.0, 40.0) for i in range(900)]
+    read = []
+    plain = search._within_reach
+
+    def noted(*args):
+        read.append(plain(*args).count())
+        return plain(*args)
+
+    monkeypatch.setattr(search, "_within_reach", noted)
+    cat = spark.createDataFrame(records, CATALOG_DDL)
+    asked = ["small data set", "set of large things", "data set"]
+    queries = spark.createDataFrame(list(enumerate(asked)), "query_id int, query string")
+    found = search.search_batch(cat, queries, 5).collect()
+    for i, q in enumerate(asked):
+        scored = sorted((-_python_score(q, r[0], r[1], r[10], r[8], r[9]), r[0]) for r in records)[:5]
+        assert sorted((r["rank"], r["id"]) for r in found if r["query_id"] == i) == [(n + 1, id) for n, (_, id) in enumerate(scored)]
+    assert sum(read) <= 40, read
+
+
+def test_search_batch_equals_single_searches_on_odd_records(spark):
+    """Unknown, close and very large popularity; whole queries within names, ids and spaces."""
+    rng = random.Random(9)
+    # 0.1 * 2 and 0.2 * 1 in other orders: scores that differ by the last digit or not at all
+    pops, quals = [None, 0.0, 10.0, 20.0, 30.1, 400.0, 410.0], [None, 0.0, 20.0, 40.0, 0.2, 300.0]
+    names = ["big data", "data  big", "bigdata set", "the big data set", "Big Data", "iris", "set", "a big", "é data"]
+    records = [
+        (f"p/{i}" if i % 9 else f"big data/{i}", rng.choice(names), "p", "t", 1, 1, 1, "mit", rng.choice(pops), rng.choice(quals),
+         rng.choice([None, "", "big", "set data", "iris big set"]), [])
+        for i in range(260)
+    ]
+    cat = spark.createDataFrame(records, CATALOG_DDL)
+    asked = ["big data", " big data", "data  big", "iris", "set", "big", "a big data", "é data", "p/17", "big data/9", "set nothing"]
+    queries = spark.createDataFrame(list(enumerate(asked)), "query_id int, query string")
+    for k in (1, 3, 40):
+        found = search.search_batch(cat, queries, k).collect()
+        for i, q in enumerate(asked):
+            got = sorted((r["rank"], r["id"], r["score"]) for r in found if r["query_id"] == i)
+            single = search.search(cat, q, k).collect()
+            assert got == [(n + 1, r["id"], r["score"]) for n, r in enumerate(single)], (k, q)
+
+
 def test_search_batch_within_a_scope(spark):
     rng = random.Random(6)
     records = _random_catalog(rng, 60, ["p", "q", "r"])
