@@ -133,7 +133,7 @@ def _band(static: Column) -> Column:
 
 
 def _undominated(records: DataFrame, scope: list[str], k: int) -> DataFrame:
-    """The records that can be among the ``k`` best of a text without the bonus for whole queries.
+    """The records that can be among the ``k`` best of a word or a text without the bonus for whole queries.
 
     Records with the same asked words in the title and in the description differ by popularity and
     quality only, for every text: those with less than the ``k``-th of them have are left out, but for
@@ -160,7 +160,7 @@ def _placed_words(asked: DataFrame, matches: DataFrame, scope: list[str]) -> Dat
     stats = matches.groupBy(*scope, "word").agg(
         F.count("*").alias("spread"),
         F.max(_gain()).alias("gain"),
-        F.when(F.bool_and(F.col("static").isNotNull()), F.max("static")).alias("most"),
+        F.max("static").alias("most"),
         F.bool_or("in_title").cast("int").alias("titled"),
     )
     order = Window.partitionBy(*scope, "text").orderBy(F.col("spread").desc(), "word")
@@ -190,42 +190,61 @@ def _ranked_score(bonus: Column) -> Column:
     )
 
 
+def _reaching(placed: DataFrame, bars: DataFrame, scope: list[str]) -> DataFrame:
+    """The words of texts that have records within reach of the bar of the text: those need ``need`` by popularity,
+    quality and that word, and at least ``lowest`` by popularity and quality.
+
+    A record is looked at under the rarest of its words. It holds none but that and the commoner
+    ones, so its score is at most what those add, its popularity and quality, and, if it holds all,
+    the whole query.
+    """
+    whole = F.when(F.col("place") == F.col("n"), F.lit(IS_ALL)).otherwise(0.0)
+    need = F.coalesce(F.col("bar"), F.lit(float("-inf"))) - F.lit(CLOSE)
+    return (
+        placed.join(bars, [*scope, "text"], "left")
+        .withColumn("need", need - F.col("before") / F.col("n") - whole)
+        .withColumn("lowest", F.col("need") - F.col("gain") / F.col("n"))
+        .where(F.col("most").isNull() | (F.col("lowest") <= F.col("most")))
+    )
+
+
+def _reached() -> Column:
+    return F.col("static") + _gain() / F.col("n") >= F.col("need")
+
+
 def _within_reach(placed: DataFrame, bars: DataFrame, matches: DataFrame, scope: list[str]) -> DataFrame:
     """``(text, id, score)`` of the records that can still be among the best of a text, without the
     bonus for whole queries.
 
-    A record is looked at under the rarest of its words, once. It holds none but that and the commoner
-    ones, so its score is at most what those add, its popularity and quality. Records that stay
-    below the bar of the text that way are left out; those of a word are read by bands of
+    Records that stay below the bar of the text are left out; those of a word are read by bands of
     popularity and quality, only as far down as the bar allows. The words of a record go along
-    with it, so pairs are scored and left out where they are made.
+    with it, so pairs are scored and left out where they are made, under the rarest word only.
     """
-    bar = F.coalesce(F.col("bar"), F.lit(float("-inf")))
     asked = (
-        placed.join(bars, [*scope, "text"], "left")
-        .withColumn("bar", bar)
-        .withColumn("need", bar - CLOSE - F.col("before") / F.col("n"))
-        .withColumn("lowest", F.col("need") - F.col("gain") / F.col("n"))
-        .where(F.col("most").isNull() | (F.col("lowest") <= F.col("most")))
+        _reaching(placed, bars, scope)
         # At most BANDS + 1 rows for each word of a text.
         .withColumn("band", F.explode(F.sequence(_band(F.greatest("lowest", F.lit(0.0))), F.lit(BANDS))))
-        .select(*scope, "text", "ranked", "place", "word", "band", "n", "need", "bar")
+        .select(*scope, "text", "ranked", "place", "word", "band", "n", "need", "known_bar")
     )
-    banded = matches.withColumn("band", F.coalesce(_band(F.col("static")), F.lit(BANDS)))
+    banded = matches.where("static is not null").withColumn("band", _band(F.col("static")))
     pairs = sent_join(banded, written(asked, "asked"), [*scope, "word", "band"])
-    reached = F.col("static").isNull() | (F.col("static") + _gain() / F.col("n") >= F.col("need"))
     rarer = F.slice("ranked", F.col("place") + 1, F.size("ranked"))
     rarest = ~(F.arrays_overlap(rarer, F.col("titles")) | F.arrays_overlap(rarer, F.col("descs")))
-    scored = pairs.where(reached & rarest).withColumn("score", _ranked_score(F.lit(0.0)))
-    return scored.where(F.col("score") >= F.col("bar")).select(*scope, "text", "id", "score")
+    scored = pairs.where(_reached() & rarest).withColumn("score", _ranked_score(F.lit(0.0)))
+    below = F.coalesce(F.col("score") < F.col("known_bar"), F.lit(False))
+    return scored.where(~below).select(*scope, "text", "id", "score")
 
 
-def _with_whole(placed: DataFrame, records: DataFrame, cat: DataFrame, scope: list[str]) -> DataFrame:
-    """``(text, id, score)`` of all records whose name or id holds the whole text, and so each of its words:
+def _with_whole(reaching: DataFrame, records: DataFrame, names: DataFrame, scope: list[str]) -> DataFrame:
+    """``(text, id, score)`` of the records whose name or id holds the whole text, and so each of its words:
     they are looked up under the rarest of those."""
-    asked = placed.where(F.col("whole") & (F.col("place") == F.col("n"))).select(*scope, "text", "ranked", "n", "word")
-    named = records.join(cat.select(*scope, "id", F.lower("name").alias("name_l")).hint("merge"), [*scope, "id"])
-    pairs = sent_join(named.withColumn("word", F.explode("titles")), written(asked, "whole"), [*scope, "word"])
+    asked = reaching.where(F.col("whole") & (F.col("place") == F.col("n")))
+    asked = asked.select(*scope, "text", "ranked", "n", "need", "word")
+    named = records.where("static is not null").join(names.hint("merge"), [*scope, "id"])
+    named = named.withColumn("word", F.explode("titles")).withColumns(
+        {"in_title": F.lit(True), "in_desc": F.array_contains("descs", F.col("word"))}
+    )
+    pairs = sent_join(named, written(asked, "whole"), [*scope, "word"]).where(_reached())
     bonus = whole_bonus(F.col("text"), F.col("name_l"), F.lower("id"))
     holding = pairs.where(F.size(F.array_intersect("ranked", "titles")) == F.col("n")).where(bonus > 0)
     return holding.select(*scope, "text", "id", _ranked_score(bonus).alias("score"))
@@ -254,19 +273,29 @@ def _scoped_hits(cat: DataFrame, texts: DataFrame, scope: list[str], k: int) ->
     is_text = F.col("word") == F.col("text")
     several = placed.where(~is_text)
 
+    names = cat.select(*scope, "id", F.lower("name").alias("name_l"))
     best = [F.col("static").desc(), F.col("id")]
     heads = top_n_per_group(near, [*key, "in_title", "in_desc"], best, k)
+    bonus = whole_bonus(F.col("text"), F.col("name_l"), F.lower("id"))
     opening = (
         several.select(*group, "ranked", "n", "word")
         .join(heads, key)
-        .select(*group, "id", _ranked_score(F.lit(0.0)).alias("score"))
         .dropDuplicates([*group, "id"])
+        .join(names.hint("merge"), [*scope, "id"])
+        .select(*group, "id", "static", _ranked_score(bonus).alias("score"))
     )
-    bars = top_n_per_group(opening, group, order, k, rank="rank")
-    bars = bars.where(F.col("rank") == k).select(*group, F.col("score").alias("bar"))
+    # A bar set by records of unknown popularity or quality is none for the scores of others.
+    known_bar = F.when(F.bool_and(F.col("static").isNotNull()), F.min("score"))
+    bars = top_n_per_group(opening, group, order, k).groupBy(*group)
+    bars = bars.agg(F.count("*").alias("n"), F.min("score").alias("bar"), known_bar.alias("known_bar"))
+    bars = written(bars.where(F.col("n") == k).drop("n"), "bars")
     hits = top_n_per_group(_within_reach(several, bars, near, scope), group, order, k)
+    reaching = _reaching(several, bars, scope)
     if not several.where("whole").isEmpty():
-        hits = hits.union(top_n_per_group(_with_whole(several, records, cat, scope), group, order, k))
+        hits = hits.union(top_n_per_group(_with_whole(reaching, records, names, scope), group, order, k))
+    # Records of unknown popularity or quality have the highest score under each word within reach.
+    unknown = top_n_per_group(near.where("static is null"), key, [F.col("id")], k).select(*key, "id")
+    hits = hits.union(reaching.join(unknown, key).select(*group, "id", F.lit(100.0).alias("score")))
     if not placed.where(is_text).isEmpty():
         # A text that is its only word scores by what is known of that word's records.
         whole = F.when(F.col("is_whole"), IS_ALL).when(F.col("in_title"), HOLDS_ALL).otherwise(0.0)
