@@ -147,7 +147,8 @@ class WordCoder:
 
     def __init__(self, encode_pieces: Callable[[list[str]], tuple[np.ndarray, np.ndarray]]):
         self.encode_pieces = encode_pieces
-        self.pieces, self.known = Known(), Known()
+        # The first texts may have no pieces.
+        self.pieces, self.known = Known(None, Parts(np.empty(0, "<i4"), np.empty(0, np.int64))), Known()
         self.find = regex.compile(PIECES).findall
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
